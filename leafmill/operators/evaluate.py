@@ -27,6 +27,8 @@ REASON_UNMET = "requirements not met"
 STARTED = "started"
 SKIPPED = "skipped"
 
+_LAST_ACTIVE = 2**53 + 1  # 2 * order + 1 of a stage that is newer than every stored one
+
 
 @dataclass(frozen=True)
 class Evaluation:
@@ -90,42 +92,41 @@ def with_stage_summary(
     return joined.na.fill(zero).na.fill(False, [_has(n, s) for n, s in pairs])
 
 
-def _step(rows: DataFrame, d: StageDefinition, no: int, pairs, installed, allow_rerun: bool) -> DataFrame:
-    """Decide one definition for every document and update the running state."""
+def _step(
+    rows: DataFrame, docs: DataFrame, d: StageDefinition, no: int, pairs, installed, allow_rerun: bool, on_save: bool
+) -> DataFrame:
+    """Decide one definition for every document and update the running state, in one projection."""
     n, run = _c(_n(d.name)), _c(_run(d.name))
-    running = run.isNotNull()
+    before, after = REASON_RUNNING.split("{}")
     status_of_first = F.when(run % 2 == 1, F.lit("active")).otherwise(F.lit("scheduled"))
-    running_reason = F.concat(*[F.lit(REASON_RUNNING.split("{}")[0]), status_of_first, F.lit(REASON_RUNNING.split("{}")[1])])
-    exists = REASON_EXISTS + (REASON_RERUN_HINT if d.multiple_callable else "")
-    blocked = F.when(running, running_reason)
+    blocked = F.when(run.isNotNull(), F.concat(F.lit(before), status_of_first, F.lit(after)))
     if not allow_rerun:
-        blocked = blocked.when(n > 0, F.lit(exists))
+        blocked = blocked.when(n > 0, F.lit(REASON_EXISTS + (REASON_RERUN_HINT if d.multiple_callable else "")))
     elif not d.multiple_callable:
         blocked = blocked.when(n > 0, F.lit(REASON_NOT_CALLABLE))
     if d.no_eval:
         blocked = blocked.otherwise(F.lit(REASON_NO_EVAL))
-    met = requirements_met(rows, d, installed, lambda name, status: _c(_has(name, status)))
-    rows = rows.withColumns({"_blocked": blocked, "_met": met})
-    started = F.col("_blocked").isNull() & F.col("_met")
+    met = requirements_met(docs, d, installed, lambda name, status: _c(_has(name, status)))
+    in_scope = F.col("status").isin("inbox", "active") if on_save else F.lit(True)
+    started = in_scope & blocked.isNull() & met
     outcome = F.struct(
         F.lit(d.name).alias("definition"),
         F.when(started, F.lit(STARTED)).otherwise(F.lit(SKIPPED)).alias("outcome"),
-        F.when(~started, F.coalesce("_blocked", F.lit(REASON_UNMET))).alias("reason"),
-        F.col("_blocked").isNull().alias("checked"),
+        F.when(~started, F.coalesce(blocked, F.lit(REASON_UNMET))).alias("reason"),
+        blocked.isNull().alias("checked"),
         F.when(started, n + 1).alias("counter"),
     )
-    rows = rows.withColumn(f"_outcome{no}", F.when(F.col("_open"), outcome))
-    started = _c(f"_outcome{no}")["outcome"].eqNullSafe(STARTED)
     update = {
+        f"_outcome{no}": F.when(in_scope, outcome),
         _n(d.name): F.when(started, n + 1).otherwise(n),
         # A started stage is active, and the greatest of its name.
-        _run(d.name): F.when(started, F.lit(9007199254740993)).otherwise(run),
+        _run(d.name): F.when(started, F.lit(_LAST_ACTIVE)).otherwise(run),
         "_stages": F.when(started, F.col("_stages") + 1).otherwise(F.col("_stages")),
         "status": F.when(started & (F.col("status") == "inbox"), F.lit("active")).otherwise(F.col("status")),
     }
     if (d.name, "active") in pairs:
-        update[_has(d.name, "active")] = F.when(started, F.lit(True)).otherwise(_c(_has(d.name, "active")))
-    return rows.withColumns(update).drop("_blocked", "_met")
+        update[_has(d.name, "active")] = started | _c(_has(d.name, "active"))
+    return rows.withColumns(update)
 
 
 def evaluate_stages(
@@ -159,9 +160,8 @@ def evaluate_stages(
     for p in range(1, passes + 1):
         # The passes of a save look at every definition, but only for inbox and active documents.
         on_save = p > 1
-        rows = rows.withColumn("_open", F.col("status").isin("inbox", "active") if on_save else F.lit(True))
         for d in active if on_save else chosen:
-            rows = _step(rows, d, no, pairs, installed, allow_rerun and not on_save)
+            rows = _step(rows, docs, d, no, pairs, installed, allow_rerun and not on_save, on_save)
             made = F.struct(F.lit(p).alias("pass"), F.col(f"_outcome{no}.*"))
             cells.append(F.when(_c(f"_outcome{no}").isNotNull(), made))
             no += 1

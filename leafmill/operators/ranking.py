@@ -48,31 +48,47 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.groupBy(*keys).agg(winner.alias("_row")).select(*keys, "_row.*")
 
 
+HOT_SHARE = 0.001
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None, min_rows: int | None = None) -> list:
+    """Keys that hold at least ``share`` of the rows and at least ``min_rows`` rows.
+
+    One narrow aggregation with map-side combine. By the share there are at most ``1 / share`` such
+    keys (1000 by default), so the collected list is bounded whatever the data.
+    """
+    share, min_rows = share or HOT_SHARE, min_rows or HOT_ROWS
+    counts = df.groupBy(key).count().where(F.col("count") >= min_rows)
+    limit = df.agg((F.count("*") * share).alias("limit")).scalar()
+    return [row[0] for row in counts.where(F.col("count") >= limit).select(key).collect()]
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
-    key: str,
+    on: str | list[str],
     spread: list[str],
     how: str = "inner",
-    counts: DataFrame | None = None,
-    hot_share: float = 0.001,
+    hot: list | None = None,
     salts: int = 64,
 ) -> DataFrame:
-    """Join in which a hot ``key`` of ``facts`` is spread over ``salts`` tasks by a hash of ``spread``.
+    """Join in which the hot values of the first ``on`` column are spread over ``salts`` tasks.
 
-    A key is hot when it holds at least ``hot_share`` of the rows, so there are at most
-    ``1 / hot_share`` hot keys: that proven bound makes their broadcast safe. Only the lookup rows
-    of hot keys are repeated, once per salt. The salt depends on row values alone, so a task that
-    runs again after a lost executor gives the same rows. ``counts`` (key, count) saves the
-    counting pass. Null keys match nothing and are spread as well.
+    Without hot values this is the plain join, left to the optimizer. With them, the facts of a hot
+    value get a salt from a hash of ``spread``, and only the lookup rows of hot values are repeated,
+    once per salt. The salt depends on row values alone, so a task that runs again after a lost
+    executor gives the same rows. ``hot`` reuses the ``hot_keys`` of the source of ``facts``.
     """
-    counts = facts.groupBy(key).count() if counts is None else counts
-    total = counts.agg(F.sum("count").alias("total"))
-    hot = counts.where((F.col("count") >= hot_share * total.scalar()) & F.col(key).isNotNull())
-    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    on = [on] if isinstance(on, str) else on
+    hot = hot_keys(facts, on[0]) if hot is None else hot
+    if not hot:
+        return facts.join(lookup, on, how)
+    key = F.col(on[0])
+    values = [v for v in hot if v is not None]
+    is_hot = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
     slot = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = facts.join(hot, key, "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    left = facts.withColumn("_salt", F.when(is_hot | key.isNull(), slot).otherwise(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.withColumn("_salt", F.explode(copies))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
