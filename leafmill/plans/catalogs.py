@@ -106,7 +106,7 @@ def deep_merge_layers(spark, sf_dir):
     return cat.deep_merge(paths, ["name"], FILE_ORDER)
 
 
-ITEMS_SQL = """raw AS (SELECT name AS owner, layer_rank AS layer, file_no, max(part) AS part, arg_max(discount, part) AS discount FROM layers GROUP BY ALL),
+ITEMS_SQL = """raw AS (SELECT name AS owner, layer_rank AS layer, file_no, max(part) AS part, arg_max(discount, part * 100 + discount) AS discount FROM layers GROUP BY ALL),
 items AS (SELECT owner, layer, CASE WHEN discount < 0.02 THEN NULL ELSE 'wf' || file_no END AS item, part * 10 + file_no AS item_no FROM raw)"""
 
 
