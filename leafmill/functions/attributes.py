@@ -33,6 +33,15 @@ def dotted_path(path: str) -> str:
     return "$" + "".join(f"['{part}']" for part in path.split("."))
 
 
+def try_json(text: Column) -> Column:
+    """JSON text as VARIANT, null if it is none. Spark's own parser stops after the first value and
+    ignores what follows, so the text has to parse as an array item and as an object member."""
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.size(F.try_variant_get(item, "$", "array<variant>")) == 1
+    return F.when(one & member.isNotNull(), F.try_variant_get(item, "$[0]", "variant"))
+
+
 def try_number(text: Column) -> Column:
     """Text to double the way Python's float() reads it; NaN and bad text give null."""
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.attributes import dotted_path, false_if_null
+from leafmill.functions.attributes import dotted_path, false_if_null, try_json
 from leafmill.model import DEFAULT_DOCUMENT_STATUS, DOCUMENT_STATUS, DROPPABLE_STATUS, STAGE_STATUS
 from leafmill.operators.ranking import hot_keys, last_per_key, running_number, salted_join
 
@@ -58,10 +58,10 @@ def set_attributes(docs: DataFrame, changes: DataFrame) -> Change:
 def set_json_attributes(docs: DataFrame, changes: DataFrame) -> Change:
     """The same with ``json`` text instead of ``value``; text that is no JSON is rejected."""
     known, unknown, _ = _known(changes, docs)
-    parsed = known.withColumn("value", F.try_parse_json("json"))
+    parsed = known.withColumn("value", try_json(F.col("json")))
     bad = parsed.where("value IS NULL").drop("value")
     last = last_per_key(parsed.where("value IS NOT NULL").select("id", "key", "seq", "json"), ["id", "key"], [F.col("seq")])
-    values = last.select("id", "key", F.parse_json("json").alias("value"))
+    values = last.select("id", "key", try_json(F.col("json")).alias("value"))
     rejects = unknown.unionByName(bad.withColumn("error", F.lit("invalid JSON")))
     return Change(_merge_attributes(docs, values), rejects)
 
@@ -88,7 +88,7 @@ def create_documents(
     if steps:
         given = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
         last = last_per_key(given, ["id", "key"], [F.col("step"), F.col("seq")])
-        value = F.when(F.col("step") == 0, F.col("text").cast("variant")).otherwise(F.try_parse_json("text"))
+        value = F.when(F.col("step") == 0, F.col("text").cast("variant")).otherwise(try_json(F.col("text")))
         rows = _merge_attributes(rows, last.select("id", "key", value.alias("value")))
     return docs.select("id", "status", "body", "attrs").unionByName(rows)
 
