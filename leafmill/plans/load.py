@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from leafmill.plans import catalogs, changes, documents, enrichment, evaluation, flows  # noqa: F401
+from leafmill.plans import catalogs, changes, documents, enrichment, evaluation, files, flows  # noqa: F401
