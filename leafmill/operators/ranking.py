@@ -58,7 +58,8 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None, min_rows: int
     One narrow aggregation with map-side combine. By the share there are at most ``1 / share`` such
     keys (1000 by default), so the collected list is bounded whatever the data.
     """
-    share, min_rows = share or HOT_SHARE, min_rows or HOT_ROWS
+    share = HOT_SHARE if share is None else share
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     counts = df.groupBy(key).count().where(F.col("count") >= min_rows)
     limit = df.agg((F.count("*") * share).alias("limit")).scalar()
     return [row[0] for row in counts.where(F.col("count") >= limit).select(key).collect()]

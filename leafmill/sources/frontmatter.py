@@ -27,6 +27,13 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_tree(spark: SparkSession, base: str, statuses: tuple[str, ...], name: str) -> DataFrame:
+    """All files called ``name`` below the status folders; large folders are listed by a Spark job."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    texts = reader.text(f"{base}/{{{','.join(statuses)}}}", wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def split_frontmatter(text: Column) -> tuple[Column, Column]:
     """YAML head and body. A text that does not start with three dashes is all body."""
     marked = text.startswith("---")
@@ -93,7 +100,8 @@ def _from_path(place: int) -> Column:
 
 def read_documents(spark: SparkSession, base: str, statuses: tuple[str, ...] = DOCUMENT_STATUS) -> tuple[DataFrame, DataFrame]:
     """All documents below ``base``; a choice of statuses reads only their folders."""
-    return parse_documents(read_texts(spark, f"{base}/{{{','.join(statuses)}}}/*/doc.md"))
+    texts = read_tree(spark, base, statuses, "doc.md")
+    return parse_documents(texts.where(F.col("path").rlike(rf"/({_STATUS})/[^/]+/doc\.md$")))
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +111,7 @@ def read_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
 
 def read_stages(spark: SparkSession, base: str) -> DataFrame:
     """Stage files; the folders give name and counter, other than numeric folders and corrupt files are skipped."""
-    texts = read_texts(spark, f"{base}/{{{','.join(DOCUMENT_STATUS)}}}/*/stages/*/*/stage.md")
+    texts = read_tree(spark, base, DOCUMENT_STATUS, "stage.md")
     place = r"/([^/]+)/stages/([^/]+)/([0-9]+)/stage\.md$"
     texts = texts.where(F.col("path").rlike(place))
     head, body = split_frontmatter(F.col("value"))
@@ -122,7 +130,7 @@ def read_stages(spark: SparkSession, base: str) -> DataFrame:
 
 def attachments(spark: SparkSession, base: str) -> DataFrame:
     """Files beside the documents and stages: ``(doc_id, stage, counter, filename, length)``; contents are not read."""
-    folders = f"{base}/{{{','.join(DOCUMENT_STATUS)}}}/*"
+    folders = f"{base}/{{{','.join(DOCUMENT_STATUS)}}}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "length")
     files = files.where(~F.col("path").rlike(r"/(doc|stage)\.md$"))
     at = rf"/(?:{_STATUS})/([^/]+)(?:/stages/([^/]+)/([0-9]+))?/([^/]+)$"

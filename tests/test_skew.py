@@ -1,0 +1,156 @@
+"""Ranks and joins with one key that holds most rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from leafmill.operators import catalog as cat
+from leafmill.operators import ranking as rk
+
+random.seed(7)
+ROWS = [("hot" if random.random() < 0.6 else f"k{random.randrange(20)}", i, random.randrange(1000)) for i in range(3000)]
+ROWS += [(None, 5000 + i, i) for i in range(50)]
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    return spark.createDataFrame(ROWS, "key string, n long, v long").cache()
+
+
+def test_running_number(facts):
+    got = {r.n: r.no for r in rk.running_number(facts, ["key"], ["v", "n"], [F.expr("v DIV 50")], "no").collect()}
+    want = {}
+    for key in {r[0] for r in ROWS}:
+        mine = sorted((r for r in ROWS if r[0] == key), key=lambda r: (r[2], r[1]))
+        want.update({r[1]: i for i, r in enumerate(mine, 1)})
+    assert got == want
+
+
+def test_running_number_without_key(facts):
+    got = [r.n for r in rk.running_number(facts, [], ["v", "n"], [F.expr("v DIV 50")], "no").orderBy("no").collect()]
+    assert got == [r[1] for r in sorted(ROWS, key=lambda r: (r[2], r[1]))]
+
+
+def test_hot_keys(facts):
+    assert rk.hot_keys(facts, "key", share=0.3, min_rows=100) == ["hot"]
+    assert rk.hot_keys(facts, "key") == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot", [[], ["hot"], ["hot", None], ["hot", "k1", "k2"]])
+def test_salted_join(spark, facts, how, hot):
+    lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k9", 4), ("zzz", 5), (None, 6)], "key string, w long")
+    if how in ("left_semi", "left_anti"):
+        lookup = lookup.select("key")
+    plain = facts.join(lookup, "key", how)
+    salted = rk.salted_join(facts, lookup, "key", spread=["n"], how=how, hot=hot, salts=5)
+    assert salted.columns == plain.columns
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_top_k_is_limited_before_the_shuffle(facts):
+    top = rk.top_k(facts, ["key"], [F.desc("v"), F.col("n")], 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+    assert top.where("key = 'hot'").count() == 3
+
+
+def test_last_per_key(facts):
+    got = {r.key: (r.n, r.v) for r in rk.last_per_key(facts, ["key"], [F.col("v"), F.col("n")]).collect()}
+    for key in got:
+        assert got[key] == max(((r[1], r[2]) for r in ROWS if r[0] == key), key=lambda t: (t[1], t[0]))
+
+
+HOT_QUERIES = ["add_refs", "doc_list_add", "add_stage", "resolve_doc_refs", "dangling_refs", "stage_lifecycle", "start_requests",
+               "doc_set", "update_stage_status", "persist_results", "validate_status", "workflow_versions"]
+
+
+@pytest.mark.parametrize("name", HOT_QUERIES)
+def test_queries_with_salted_joins(spark, duck, everything_is_hot, name):
+    from tests.test_queries import test_query
+
+    test_query(spark, duck, name)
+
+
+def test_extends_closure_against_a_walk(spark):
+    extends = {1: [2, 3], 2: [4], 3: [4, 5], 4: [], 5: [2], 6: [7], 7: [6], 8: [8, 1]}
+    packages = {1: ["a"], 2: ["b", "a"], 3: ["c"], 4: ["d", "b"], 5: ["e"], 6: ["f"], 7: ["g"], 8: ["h"]}
+
+    def walk(name, way):
+        if name in way:
+            return []
+        out = []
+        for parent in extends[name]:
+            out += walk(parent, [*way, name])
+        return list(dict.fromkeys(out + packages[name]))
+
+    edges = spark.createDataFrame([(f, i, p) for f, ps in extends.items() for i, p in enumerate(ps)], "feature long, pos long, parent long")
+    own = spark.createDataFrame([(f, i, p) for f, ps in packages.items() for i, p in enumerate(ps)], "feature long, pos long, package string")
+    features = spark.createDataFrame([(f,) for f in extends], "feature long")
+    got = {}
+    for r in cat.extends_closure(features, edges, own).orderBy("feature", "pos").collect():
+        got.setdefault(r.feature, []).append(r.package)
+    assert got == {f: walk(f, []) for f in extends}
+
+
+def test_deep_merge_against_dict_merge(spark):
+    import json
+
+    random.seed(3)
+
+    def tree(depth):
+        if depth == 0 or random.random() < 0.3:
+            return random.choice([1, "x", [1, 2], True])
+        return {k: tree(depth - 1) for k in random.sample("abc", random.randint(1, 3))}
+
+    def merge(base, over):
+        out = dict(base)
+        for k, v in over.items():
+            out[k] = merge(out[k], v) if isinstance(out.get(k), dict) and isinstance(v, dict) else v
+        return out
+
+    def leaves(node, path=""):
+        for k, v in node.items():
+            p = f"{path}.{k}" if path else k
+            if isinstance(v, dict):
+                yield from leaves(v, p)
+            else:
+                yield p, v
+
+    files = {n: [{k: tree(3) for k in random.sample("abc", 2)} for _ in range(4)] for n in range(40)}
+    df = spark.createDataFrame([(n, i, json.dumps(f)) for n, fs in files.items() for i, f in enumerate(fs)], "name long, layer long, j string")
+    paths = cat.flatten_paths(df.select("name", "layer", F.parse_json("j").alias("payload")), ["name", "layer"])
+    got = {(r.name, r.path): json.loads(r.value) for r in cat.deep_merge(paths, ["name"], ["layer"]).collect()}
+    want = {}
+    for n, fs in files.items():
+        merged = {}
+        for f in fs:
+            merged = merge(merged, f)
+        want.update({(n, p): v for p, v in leaves(merged)})
+    assert got == want
+
+
+def test_merged_list_order_against_a_merge(spark):
+    random.seed(5)
+    lists = {o: [[(random.choice([f"w{i}", f"v{i}", None]), i) for i in range(random.randint(1, 4))] for _ in range(4)] for o in range(30)}
+
+    def merge(base, over):
+        named = {n: (n, at) for n, *at in base if n is not None}
+        out = [x for x in base if x[0] is None]
+        for item in over:
+            named.pop(item[0], None) if item[0] is not None else None
+            out.append(item)
+        return out + [x for x in base if x[0] in named]
+
+    want = {}
+    for o, layers in lists.items():
+        merged = []
+        for no, layer in enumerate(layers):
+            merged = merge(merged, [(n, no, i) for n, i in layer])
+        want[o] = merged
+    items = spark.createDataFrame([(o, n, no, i) for o, ls in lists.items() for no, layer in enumerate(ls) for n, i in layer], "owner long, item string, layer long, item_no long")
+    got = {}
+    for r in cat.merged_list_order(items, "owner", "layer", [F.col("item_no")]).orderBy("owner", "pos").collect():
+        got.setdefault(r.owner, []).append((r.item, r.layer, r.item_no))
+    assert got == want
