@@ -103,6 +103,7 @@ def deep_merge(paths: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         F.max(at).alias("at"),
         F.max(F.when(~F.col("is_object"), at)).alias("leaf_at"),
     )
+    last = materialise(last, "merged-paths")  # read three times below
     cut = last.where("leaf_at IS NOT NULL").select(*keys, F.col("path").alias("above"), F.col("leaf_at").alias("cut_at"))
     leaves = last.where("NOT row.is_object")
     above = F.transform(

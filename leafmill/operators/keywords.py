@@ -73,7 +73,8 @@ def score_candidates(
     # A hot term is in at least HOT_ROWS rows and in a thousandth of all; that bounds the list.
     total = freq.agg((F.sum("df") / 1000).alias("t")).scalar()
     hot = [r[0] for r in freq.where((F.col("df") >= HOT_ROWS) & (F.col("df") >= total)).select("term").collect()]
-    tf = rows.select(key, size.alias("n"), F.explode(terms).alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
+    sized = rows.select(key, "w", size.alias("n"))  # below explode: once per document
+    tf = sized.select(key, "n", F.explode(terms).alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
     n_docs = docs.count()
     joined = salted_join(tf, freq, "term", spread=[key], hot=hot)
     idf = F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1

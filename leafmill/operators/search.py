@@ -23,7 +23,9 @@ def search(
     vocabulary = wanted.select("term").distinct()
     rows = use_all_cores(docs.select(doc_key, text), doc_key).select(doc_key, words(F.col(text)).alias("w"))
     terms = without_stop_words(F.col("w"), stop_words)
-    found = rows.select(doc_key, F.size(terms).alias("n"), F.explode(terms).alias("term")).join(vocabulary, "term", "left_semi")
+    # The length is computed below explode, once per document and not once per word.
+    sized = rows.select(doc_key, "w", F.size(terms).alias("n"))
+    found = sized.select(doc_key, "n", F.explode(terms).alias("term")).join(vocabulary, "term", "left_semi")
     postings = materialise(found.groupBy(doc_key, "n", "term").agg(F.count("*").alias("tf")), "postings")
     freq = postings.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = docs.count()
