@@ -15,23 +15,20 @@ def running_number(
     first letters of a name): rows are numbered inside (key, bucket), and the sizes of the earlier
     buckets of the key are added. The row numbering and the join on (key, bucket) share one shuffle.
     """
-    names = [f"_bucket{i}" for i in range(len(bucket))]
-    rows = df.withColumns(dict(zip(names, bucket)))
-    part = keys + names
-    sizes = rows.groupBy(*part).agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    local = rows.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in part], "_before")
-    same = None
-    for c in part:
-        eq = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-        same = eq if same is None else same & eq
-    return (
-        local.join(offsets, same)
-        .withColumn(out, F.col(out).cast("bigint") + F.col("_before"))
-        .select(*df.columns, out)
+    # The part is one struct: it is never null itself and equals another with the same null fields, so
+    # the window, the join and null keys all get along with one plain hash partitioning.
+    ks = {f"k{i}": F.col(k) for i, k in enumerate(keys)}
+    bs = {f"b{i}": b for i, b in enumerate(bucket)}
+    rows = df.withColumn("_part", F.struct(*[c.alias(n) for n, c in (ks | bs).items()]))
+    before = (
+        Window.partitionBy(*[f"_part.{k}" for k in ks]).orderBy(*[f"_part.{b}" for b in bs])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    local = rows.withColumn(out, F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    numbered = local.join(offsets, "_part")
+    return numbered.select(*df.columns, (F.col(out).cast("bigint") + F.col("_before")).alias(out))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
