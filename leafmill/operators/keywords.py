@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k
+from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k, use_all_cores
 from leafmill.session import materialise
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -36,12 +36,6 @@ def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return without_stop_words(words(text), stop_words)
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of few splits over the cores; a scan that has enough of them stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All runs of ``low`` to ``high`` neighbouring words, joined by blanks."""
     parts, runs = [], words

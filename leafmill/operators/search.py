@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import page_text, page_title, url_domain, word_count
-from leafmill.operators.keywords import STOP_WORDS, tokens, use_all_cores, without_stop_words, words
-from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k
+from leafmill.operators.keywords import STOP_WORDS, tokens, without_stop_words, words
+from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k, use_all_cores
 from leafmill.session import materialise
 
 
