@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.exact_dedup import DigestIndex
+from leafmill.llm.packing import pack
 from leafmill.plans.registry import query
 
 
@@ -24,3 +26,8 @@ FROM digests WINDOW same AS (PARTITION BY digest)""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index."""
     return DigestIndex.create(spark).decide(documents(spark, sf_dir))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
