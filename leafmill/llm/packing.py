@@ -32,8 +32,6 @@ CLOSING = 0
 FAN_IN = 8
 #: A sequence with at most so many free places is done.
 SLACK = 4
-#: Distinct words whose ids a worker keeps.
-KEPT_WORDS = 400_000
 
 
 class ByteLevelIds:
@@ -43,34 +41,12 @@ class ByteLevelIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, words.byte_letters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(1 << 16, np.uint32), [0]
-
-    def _learn(self, new: list[str]) -> None:
-        for word in new:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            end = self.ends[-1] + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.uint32)])
-            self.flat[self.ends[-1] : end] = ids
-            self.known[word] = len(self.ends) - 1
-            self.ends.append(end)
-
-    def numbers(self, found: list[str]) -> np.ndarray:
-        """The number of each word among those known."""
-        if len(self.known) > KEPT_WORDS:
-            self.forget()
-        out = list(map(self.known.get, found))
-        if None in out:
-            self._learn([w for w, k in zip(found, out, strict=True) if k is None])
-            out = list(map(self.known.get, found))
-        return np.array(out, np.int64)
+        self.known = words.WordIds(self._word)
+
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -81,30 +57,13 @@ class ByteLevelIds:
             for i, t in enumerate(part):
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in odd else next(plain)
 
-    def _plain(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
         if not joined:
-            yield from (np.zeros(0, np.uint32) for _ in texts)
-            return
+            return [np.zeros(0, np.uint32) for _ in texts]
         points, bounds = words.code_points(joined), words.bounds_of(texts)
         begin = np.flatnonzero(words.words_with_spaces(points, bounds))
-        end = np.append(begin[1:], len(points))
-        first, kind = words.distinct(words.word_hashes(points, begin, end))
-        number = self.numbers([joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
-        ends = np.array(self.ends, np.int64)
-        size, where = (ends[number + 1] - ends[number])[kind], ends[number][kind]
-        out = self.flat[words.spread(size, where)]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, bounds)]
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield out[s:e]
-
-
-@cache
-def _byte_letters() -> dict[int, int]:
-    """The letter that a byte-level vocabulary uses for each byte: itself if printable, else the next from 256."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: b if b in shown else next(others) for b in range(256)}
+        return self.known.texts(joined, points, bounds, begin, np.append(begin[1:], len(points)))
 
 
 @cache

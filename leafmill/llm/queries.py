@@ -6,7 +6,9 @@ import string
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmill.llm.bpe import encode
 from leafmill.llm.exact_dedup import DigestIndex
 from leafmill.llm.packing import pack
 from leafmill.plans.registry import query
@@ -31,3 +33,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_bpe_round_trip")
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

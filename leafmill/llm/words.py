@@ -3,7 +3,7 @@ starts, and equal words get one number, so that Python sees every distinct word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -11,6 +11,8 @@ import regex
 
 #: Code points of a slice; a longer text is a slice of its own.
 SLICE = 3_000_000
+#: Distinct words whose ids a worker keeps.
+KEPT_WORDS = 400_000
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 #: Above it, classes come from a table that not every library shares; see ``same_classes``.
 COMMON = 0x558
@@ -150,3 +152,51 @@ def spread(lengths: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(firsts - (ends - lengths), lengths)
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary uses for each byte: itself if printable, else the next from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in shown else next(others) for b in range(256)}
+
+
+class WordIds:
+    """Ids of texts whose words are encoded one by one; ``ids_of`` sees a word again only after it was forgotten."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]], kept: int = KEPT_WORDS):
+        self.ids_of, self.kept = ids_of, kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), [0]
+
+    def _learn(self, new: list[str]) -> None:
+        for word in new:
+            ids = self.ids_of(word)
+            end = self.ends[-1] + len(ids)
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.uint32)])
+            self.flat[self.ends[-1] : end] = ids
+            self.known[word] = len(self.ends) - 1
+            self.ends.append(end)
+
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        if len(self.known) > self.kept:
+            self._forget()
+        out = list(map(self.known.get, found))
+        if None in out:
+            self._learn([w for w, k in zip(found, out, strict=True) if k is None])
+            out = list(map(self.known.get, found))
+        return np.array(out, np.int64)
+
+    def texts(self, joined: str, points: np.ndarray, bounds: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a slice with the words begin..end."""
+        first, kind = distinct(word_hashes(points, begin, end))
+        number = self._numbers([joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+        ends = np.array(self.ends, np.int64)
+        size, where = (ends[number + 1] - ends[number])[kind], ends[number][kind]
+        out = self.flat[spread(size, where)]
+        cuts = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, bounds)].tolist()
+        return [out[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
