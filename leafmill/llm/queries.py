@@ -5,12 +5,14 @@ from __future__ import annotations
 import string
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import encode
 from leafmill.llm.exact_dedup import DigestIndex
 from leafmill.llm.packing import pack
+from leafmill.llm.quality import fit, score
+from leafmill.llm.token_counts import token_counts
 from leafmill.plans.registry import query
 
 
@@ -18,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n: what splits documents into learning and held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 @query("op2_exact_dedup", f"""
 WITH digests AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS digest
@@ -40,3 +47,15 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels, usable=remainder(3) != 1)
+    return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
