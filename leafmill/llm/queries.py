@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import encode
 from leafmill.llm.exact_dedup import DigestIndex
+from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.quality import fit, score
 from leafmill.llm.token_counts import token_counts
@@ -59,3 +60,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, usable=remainder(3) != 1)
     return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op8_nearest_neighbours", """
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
+           CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS INTEGER) AS rank
+    FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0)
+WHERE rank <= 20""")
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
