@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import encode
 from leafmill.llm.exact_dedup import DigestIndex
+from leafmill.llm.language import learn, predict
 from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.quality import fit, score
@@ -70,3 +71,11 @@ SELECT query_id, rank, vec_id, score FROM (
 WHERE rank <= 20""")
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    languages = learn(docs, remainder(4) != 2)
+    return predict(docs.select("doc_id", "text"), languages).select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
