@@ -13,6 +13,7 @@ from leafmill.llm.exact_dedup import DigestIndex
 from leafmill.llm.language import learn, predict
 from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
+from leafmill.llm.pii import pseudonymise
 from leafmill.llm.quality import fit, score
 from leafmill.llm.token_counts import token_counts
 from leafmill.plans.registry import query
@@ -79,3 +80,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     languages = learn(docs, remainder(4) != 2)
     return predict(docs.select("doc_id", "text"), languages).select(
         "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: Only for the queries; whoever runs the operator brings a secret of their own.
+PII_KEY = "key of the test queries"
+
+
+@query("op7_pii_pseudonyms")
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY, count_col="n_values")
