@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.bpe import encode
 from leafmill.llm.exact_dedup import DigestIndex
 from leafmill.llm.language import learn, predict
+from leafmill.llm.near_dup import links
 from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.pii import pseudonymise
@@ -28,6 +29,11 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(documents(spark, sf_dir))
+
+
 @query("op2_exact_dedup", f"""
 WITH digests AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS digest
