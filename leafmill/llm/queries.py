@@ -16,6 +16,7 @@ from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.pii import pseudonymise
 from leafmill.llm.quality import fit, score
+from leafmill.llm.suffix_dedup import remove_repeats
 from leafmill.llm.token_counts import token_counts
 from leafmill.plans.registry import query
 
@@ -95,3 +96,8 @@ PII_KEY = "key of the test queries"
 @query("op7_pii_pseudonyms")
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY, count_col="n_values")
+
+
+@query("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
