@@ -181,11 +181,10 @@ def learn(docs: DataFrame, usable: Column, passages: int = PASSAGES, length: int
     return languages
 
 
-def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and lang_pred, score. A column of the same name is replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(languages)
-    rest = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, languages: Languages, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns of ``docs`` and the two named ones. A column of the same name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    rest = docs.drop(pred_col, score_col)
     at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +194,6 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
                 found = shared.value.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                    names=[*batch.schema.names, "lang_pred", "score"])
+                    names=[*batch.schema.names, pred_col, score_col])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
