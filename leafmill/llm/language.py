@@ -75,14 +75,16 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
     return table
 
 
-def parser(symbols: list[int], size: int) -> np.ndarray:
-    """Moves for parsing: where a match ends, the next phrase begins with the same character, and the move is
-    marked. Targets are multiplied by ``size``, so that target + symbol is the next place to look."""
+def parser(symbols: list[int], size: int) -> tuple[np.ndarray, int]:
+    """Moves for parsing, and where a parse begins. Where a match ends, the next phrase begins with the same symbol, and
+    the move is marked; a symbol that the sample lacks is a phrase. Targets are multiplied by ``size``, so that target + symbol is the
+    next place to look."""
     table = suffix_automaton(symbols, size).astype(np.int64)
-    fresh = np.where(table[0] >= 0, table[0], 0) * size + _NEW
-    out = np.where(table >= 0, table * size, fresh[None, :])
-    out[:, _PAD] = np.arange(len(table)) * size
-    return out.astype(np.int32).reshape(-1)
+    begin = len(table)  # a state in which every symbol begins a phrase
+    fresh = np.where(table[0] >= 0, table[0], begin) * size + _NEW
+    out = np.vstack([np.where(table >= 0, table * size, fresh[None, :]), fresh])
+    out[:, _PAD] = np.arange(begin + 1) * size
+    return out.astype(np.int32).reshape(-1), begin * size
 
 
 @dataclass
@@ -92,7 +94,7 @@ class Languages:
     samples: list[list[int]]
 
     def __post_init__(self):
-        self._parsers: list[np.ndarray] | None = None
+        self._parsers: list[tuple[np.ndarray, int]] | None = None
 
     def __getstate__(self):
         return self.names, self.codes, self.samples
@@ -106,7 +108,7 @@ class Languages:
         return _FIRST + len(self.codes)
 
     @property
-    def parsers(self) -> list[np.ndarray]:
+    def parsers(self) -> list[tuple[np.ndarray, int]]:
         if self._parsers is None:
             self._parsers = [parser(s, self.size) for s in self.samples]
         return self._parsers
@@ -139,9 +141,9 @@ class Languages:
         matrix[place % BLOCK, first[text] + place // BLOCK] = code
         of = np.repeat(np.arange(len(texts)), per)
         bits = np.empty((len(self.names), len(texts)))
-        for k, moves in enumerate(self.parsers):
-            state = np.zeros(matrix.shape[1], np.int64)
-            phrases = np.ones(matrix.shape[1], np.int64)
+        for k, (moves, begin) in enumerate(self.parsers):
+            state = np.full(matrix.shape[1], begin, np.int64)
+            phrases = np.zeros(matrix.shape[1], np.int64)
             for row in matrix:
                 state += row
                 state = moves.take(state).astype(np.int64)

@@ -183,15 +183,15 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(sets: list[np.ndarray], leaves: list[np.ndarray], leaf: int, blocks: np.ndarray, sizes: np.ndarray,
+def compare(sets: list[np.ndarray], leaves: list[np.ndarray], leaf: int, blocks: np.ndarray | None, sizes: np.ndarray,
             similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member to documents of other members that are counted here, and the first member of its component.
-    With members of two blocks, only pairs across them are compared."""
+    With ``blocks``, only pairs of different ones are compared."""
     m = len(sets)
     n = np.array([len(s) for s in sets])
     near = common(sets) * (similarity.numerator + similarity.denominator) >= similarity.numerator * (n[:, None] + n[None, :])
     np.fill_diagonal(near, False)
-    if blocks.any() and not blocks.all():
+    if blocks is not None:
         near &= blocks[:, None] != blocks[None, :]
     if not near.any():
         return np.zeros(m, np.int64), np.arange(m)
@@ -213,7 +213,8 @@ def _compare_tiles(similarity: Fraction):
             return None
         sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
         leaves = [np.array(r["leaves"], np.int64) for r in rows]
-        blocks = np.array([r["block"] != r["tile"][0] for r in rows])
+        first, second = rows[0]["tile"]
+        blocks = None if first == second else np.array([r["block"] for r in rows])
         links, root = compare(sets, leaves, rows[0]["leaf"], blocks, np.array([r["size"] for r in rows]), similarity)
         some = np.flatnonzero((links > 0) | (root != np.arange(len(rows)))).tolist()
         if not some:
