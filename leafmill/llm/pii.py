@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal values in texts, in DataFrame functions only.
 
 Found and checked are: mail addresses; bank account numbers (IBAN, remainder 97); IPv4 addresses (parts up to 255);
-dates from 1900-01-01 to 2079-06-05 written as year-month-day, or with a four-digit year last (day first unless only
+dates from 1900-01-01 to 2079-06-06 written as year-month-day, or with a four-digit year last (day first unless only
 month first makes a date); social security numbers (ranges in use); telephone numbers (+1 and ten digits, another
 code with 8 to 15 digits in all, or ten digits in groups); card numbers (13 to 19 digits, check digit right); and keys and passwords in assignments.
 What does not pass its check stays as it is.
