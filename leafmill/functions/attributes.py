@@ -75,9 +75,47 @@ def _python_bool(b: Column) -> Column:
     return F.when(b, F.lit("True")).otherwise(F.lit("False"))
 
 
+def _python_float(number: Column) -> Column:
+    """A double as Python prints it: plain from 0.0001 up to 1e16, else with an exponent of two digits."""
+    text = number.cast("string")
+    size = F.abs(number)
+    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    short = F.regexp_replace(F.regexp_replace(mantissa, "^-", ""), r"\.0$", "")
+    digits = F.replace(short, F.lit("."), F.lit(""))
+    whole = F.rpad(digits, F.greatest(power + 1, F.lit(1)), "0")
+    rest = F.substr(digits, power + 2)
+    large = F.concat(sign, F.substr(whole, F.lit(1), power + 1), F.lit("."), F.when(rest != "", rest).otherwise("0"))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    exponent = F.concat(sign, short, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    # Spark leaves out the exponent from 0.001 up to 1e7
+    spelled = F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), F.when(power > 0, large).otherwise(small)).otherwise(exponent)
+    return F.when(F.isnan(number), "nan").when(size == float("inf"), F.concat(F.when(number < 0, "-").otherwise(""), F.lit("inf"))).otherwise(spelled)
+
+
+def _python_text(s: Column) -> Column:
+    """A text as Python shows it inside a list."""
+    plain = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(s.contains("'") & ~s.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
 def _python_list(strings: Column) -> Column:
-    quoted = F.transform(strings, lambda s: F.concat(F.lit("'"), s, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(strings, lambda s: F.coalesce(_python_text(s), F.lit("None"))), ", "), F.lit("]"))
+
+
+def _python_items(items: Column) -> Column:
+    """A list of VARIANT values as Python prints it; lists and objects in it keep their JSON form."""
+
+    def shown(x: Column) -> Column:
+        t = F.schema_of_variant(x)
+        return (
+            F.when(t.isNull() | (t == "VOID"), "None").when(t == "BOOLEAN", _python_bool(F.try_variant_get(x, "$", "boolean")))
+            .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT)"), F.try_variant_get(x, "$", "bigint").cast("string"))
+            .when(t.rlike("^(FLOAT|DOUBLE|DECIMAL)"), _python_float(F.try_variant_get(x, "$", "double")))
+            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.to_json(x)).otherwise(_python_text(F.try_variant_get(x, "$", "string"))))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, shown), ", "), F.lit("]"))
 
 
 def _from_column(c: Column, dtype: T.DataType) -> Attribute:
@@ -92,7 +130,8 @@ def _from_column(c: Column, dtype: T.DataType) -> Attribute:
                          truthy=false_if_null(c), json=F.to_json(F.array(c)), **shared)
     if isinstance(dtype, T.NumericType):
         return Attribute(string=no_string, number=c.cast("double"), boolean=no_bool, kind=kind("number"),
-                         text=c.cast("string"), truthy=false_if_null(c != 0), json=c.cast("string"), **shared)
+                         text=_python_float(c.cast("double")) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c.cast("string"),
+                         truthy=false_if_null(c != 0), json=c.cast("string"), **shared)
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
 
         def has(value, fold):
@@ -124,14 +163,13 @@ def _from_variant(v: Column) -> Attribute:
     as_string = F.when(is_string, F.try_variant_get(v, "$", "string"))
     as_bool = F.when(is_bool, F.try_variant_get(v, "$", "boolean"))
     as_double = F.when(is_number, F.try_variant_get(v, "$", "double"))
-    strings = F.when(is_list, F.try_variant_get(v, "$", "array<string>"))
     whole = t.rlike("^(BIGINT|INT|SMALLINT|TINYINT)")
     text = (
         F.when(is_string, as_string)
         .when(is_bool, _python_bool(as_bool))
         .when(whole, F.try_variant_get(v, "$", "bigint").cast("string"))
-        .when(is_number, as_double.cast("string"))
-        .when(is_list, _python_list(strings))
+        .when(is_number, _python_float(as_double))
+        .when(is_list, _python_items(F.try_variant_get(v, "$", "array<variant>")))
         .otherwise(F.to_json(v))
     )
     kind = (

@@ -24,9 +24,33 @@ def glob_to_regex(pattern: str) -> str:
     return rf"(?s)\A{body}\z"
 
 
-def is_valid_regex(pattern: str) -> bool:
+def java_regex(pattern: str) -> str | None:
+    """A Python pattern as the engine of ``rlike`` reads it, or null if it is none in either.
+
+    Classes such as ``\\w`` cover all of Unicode, named groups and the end of the text have other spellings.
+    """
+    from pyspark.sql import SparkSession
+
     try:
         re.compile(pattern)
-    except re.error:
-        return False
-    return True
+    except (re.error, OverflowError, RecursionError):
+        return None
+    names: dict[str, str] = {}
+
+    def piece(m: re.Match) -> str:
+        token = m.group()
+        if token == r"\Z":
+            return r"\z"
+        if token.startswith("(?P"):
+            name = names.setdefault(m.group("name"), f"g{len(names)}")
+            return f"(?<{name}>" if token.startswith("(?P<") else rf"\k<{name}>"
+        return token
+
+    body = re.sub(r"\\.|\(\?P[<=](?P<name>\w+)[>)]", piece, pattern, flags=re.S)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(body)
+        except Exception:
+            return None
+    return "(?U)" + body

@@ -265,7 +265,7 @@ def required_tasks(workflow_tasks: DataFrame, required: DataFrame, declared: Dat
     return (names if declared is None else names.union(declared.select("name"))).distinct()
 
 
-def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame, max_depth: int = 1000) -> DataFrame:
+def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame) -> DataFrame:
     """Packages of every feature, ancestors first: ``(feature, pos, package)``.
 
     ``extends`` (feature, pos, parent) and ``packages`` (feature, pos, package) are ordered lists. The
@@ -282,7 +282,7 @@ def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame
     found = materialise(found, "closure")
     frontier = found
     edges = extends.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "parent")
-    for _ in range(max_depth):
+    while not frontier.isEmpty():
         step = frontier.join(edges, "ancestor").where(~F.array_contains("way", F.col("parent")))
         step = step.select("feature", F.col("parent").alias("ancestor"), F.concat("at", F.array("pos")).alias("at"),
                            F.concat("way", F.array("parent")).alias("way"))
@@ -291,8 +291,6 @@ def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame
         fresh = best.join(found.select("feature", "ancestor", F.col("at").alias("_old")), ["feature", "ancestor"], "left")
         frontier = fresh.where(~F.col("_old").eqNullSafe(F.col("at"))).drop("_old")
         found = best
-        if frontier.isEmpty():
-            break
     own = packages.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "package")
     placed = found.join(own, "ancestor").groupBy("feature", "package").agg(F.min(F.concat(_place("at"), F.array("pos"))).alias("_p"))
     w = Window.partitionBy("feature").orderBy("_p")

@@ -62,14 +62,14 @@ def _c(name: str) -> Column:
 def stage_summary(
     stages: DataFrame, definitions: list[StageDefinition], order: str = "counter"
 ) -> DataFrame:
-    """Per document: stage count and first open instance of every definition, required states.
+    """Per document: count of all its stages (also of those without a definition), stage count and first open
+    instance of every definition, required states.
 
     All aggregates are numbers or booleans, so a document with most of the stages is reduced inside
     the map tasks. The first open instance is the least of ``2 * order + (status is active)``.
     """
     names = [d.name for d in definitions]
     pairs = needed_states(definitions)
-    wanted = stages.where(F.col("name").isin(sorted({*names, *[n for n, _ in pairs]})))
     is_open = F.col("status").isin(*OPEN_STAGE_STATUS)
     first_open = F.col(order) * 2 + (F.col("status") == "active").cast("int")
     aggregates = []
@@ -80,7 +80,7 @@ def stage_summary(
     for name, status in pairs:
         aggregates.append(F.max((F.col("name") == name) & (F.col("status") == status)).alias(_has(name, status)))
     aggregates.append(F.count("*").alias("_stages"))
-    return wanted.groupBy("doc_id").agg(*aggregates)
+    return stages.groupBy("doc_id").agg(*aggregates)
 
 
 def with_stage_summary(
@@ -236,9 +236,7 @@ def _met_per_document(docs: DataFrame, stages: DataFrame, definitions, installed
 
 
 def _join_documents(stages: DataFrame, met: DataFrame) -> DataFrame:
-    from leafmill.operators.ranking import salted_join
-
-    return salted_join(stages, met, "doc_id", spread=["stage_id"])
+    return stages.join(met, "doc_id")
 
 
 def stage_lifecycle(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k, use_all_cores
+from leafmill.operators.ranking import top_k
 from leafmill.session import materialise
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -48,51 +48,57 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     return F.concat(*parts)
 
 
+def counted(terms: Column) -> Column:
+    """The different terms of an array with their numbers, from one sort: array<struct<term, tf>>."""
+
+    def runs(s: Column) -> Column:
+        last = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.element_at(s, i) != F.get(s, i)))
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        return F.zip_with(ends, starts, lambda e, b: F.struct(F.element_at(s, e).alias("term"), (e - b).cast("bigint").alias("tf")))
+
+    # a one-element array binds the sorted terms to a name
+    return F.transform(F.array(F.array_sort(terms)), lambda s: F.when(F.size(s) > 0, runs(s)))[0]
+
+
 def score_candidates(
     docs: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2), stop_words: list[str] = STOP_WORDS
 ) -> DataFrame:
     """``(key, term, score)``: share of the term in its text times ln((1 + N) / (1 + df)) + 1.
 
-    Texts are tokenised as a whole. Document frequencies are counted from the distinct terms of each
-    row, so they need one shuffle of the vocabulary only. Terms of very many documents are spread
-    in the join with their frequency.
+    The corpus is read once: the terms of a text are counted inside its row, the counts are written, and the
+    document frequencies come from them. A row per key is expected; rows that share a key are texts of their own.
     """
-    # The word list stays a column of its own and the n-grams are built inside explode: a named array
-    # would be computed again for the "array is not empty" filter that the optimizer adds.
-    rows = use_all_cores(docs.select(key, text), key).select(key, tokens(F.col(text), stop_words).alias("w"))
-    terms = ngrams(F.col("w"), *ngram_range)
+    rows = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
     size = sum(F.greatest(F.size("w") - (n - 1), F.lit(0)) for n in range(ngram_range[0], ngram_range[1] + 1))
-    freq = rows.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    freq = materialise(freq, "term-frequencies")
-    # A hot term is in at least HOT_ROWS rows and in a thousandth of all; that bounds the list.
-    total = freq.agg((F.sum("df") / 1000).alias("t")).scalar()
-    hot = [r[0] for r in freq.where((F.col("df") >= HOT_ROWS) & (F.col("df") >= total)).select("term").collect()]
-    sized = rows.select(key, "w", size.alias("n"))  # below explode: once per document
-    tf = sized.select(key, "n", F.explode(terms).alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
+    counts = materialise(rows.select(key, size.alias("n"), F.inline(counted(ngrams(F.col("w"), *ngram_range)))), "term-counts")
+    freq = counts.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = docs.count()
-    joined = salted_join(tf, freq, "term", spread=[key], hot=hot)
     idf = F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1
-    return joined.select(key, "term", F.round(F.col("tf") / F.col("n") * idf, 9).alias("score"))
+    return counts.join(freq, "term").select(key, "term", F.round(F.col("tf") / F.col("n") * idf, 9).alias("score"))
 
 
 def top_keywords(scored: DataFrame, key: str, top_n: int = 10) -> DataFrame:
     return top_k(scored, [key], [F.desc("score"), F.col("term")], top_n)
 
 
-def _overlap(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words each term has (terms x words), and how many."""
-    words: dict[str, int] = {}
-    pairs = [(i, words.setdefault(w, len(words))) for i, t in enumerate(terms) for w in set(t.split(" "))]
-    has = np.zeros((len(terms), len(words)), dtype=np.float32)
-    for i, j in pairs:
-        has[i, j] = 1
-    return has, has.sum(axis=1)
+class _Overlap:
+    """Which terms hold a word, to compare a term with those only that share a word with it."""
 
+    def __init__(self, terms: list[str]):
+        self.words = [sorted(set(t.split(" "))) for t in terms]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.holders: dict[str, list[int]] = {}
+        for i, own in enumerate(self.words):
+            for w in own:
+                self.holders.setdefault(w, []).append(i)
 
-def _similarity(has: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
-    """Shared words over all words, of every term with term ``i``."""
-    shared = has @ has[i]
-    return (shared / (sizes + sizes[i] - shared)).astype(float)
+    def similarity(self, i: int) -> np.ndarray:
+        """Shared words over all words, of every term with term ``i``."""
+        shared = np.zeros(len(self.words))
+        for w in self.words[i]:
+            shared[self.holders[w]] += 1
+        return shared / (self.sizes + self.sizes[i] - shared)
 
 
 def mmr_keywords(scored: DataFrame, key: str, top_n: int = 10, diversity: float = 0.7) -> DataFrame:
@@ -104,11 +110,11 @@ def mmr_keywords(scored: DataFrame, key: str, top_n: int = 10, diversity: float
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "term"], ascending=[False, True], ignore_index=True)
-        has, sizes = _overlap(group["term"].tolist())
+        overlap = _Overlap(group["term"].tolist())
         relevance = (group["score"] / group["score"].iloc[0]).to_numpy()
         picked, free = [0], np.ones(len(group), dtype=bool)
         free[0] = False
-        likeness = _similarity(has, sizes, 0)
+        likeness = overlap.similarity(0)
         while len(picked) < min(top_n, len(group)):
             gain = np.round((1 - diversity) * relevance - diversity * likeness, 9)
             best = gain[free].max()
@@ -116,7 +122,7 @@ def mmr_keywords(scored: DataFrame, key: str, top_n: int = 10, diversity: float
             nxt = min(np.flatnonzero(free & (gain == best)), key=lambda i: group["term"].iat[i])
             picked.append(int(nxt))
             free[nxt] = False
-            likeness = np.maximum(likeness, _similarity(has, sizes, nxt))
+            likeness = np.maximum(likeness, overlap.similarity(nxt))
         out = group.iloc[picked].copy()
         out["rank"] = range(1, len(picked) + 1)
         return out[[key, "term", "score", "rank"]]
@@ -134,8 +140,8 @@ def maxsum_keywords(scored: DataFrame, key: str, top_n: int = 5, nr_candidates:
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank", ignore_index=True)
         size = min(top_n, len(group))
-        has, sizes = _overlap(group["term"].tolist())
-        alike = np.array([_similarity(has, sizes, i) for i in range(len(group))])
+        overlap = _Overlap(group["term"].tolist())
+        alike = np.array([overlap.similarity(i) for i in range(len(group))])
         sets = np.array(list(combinations(range(len(group)), size)))
         total = np.zeros(len(sets))
         for a, b in combinations(range(size), 2):

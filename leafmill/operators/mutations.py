@@ -9,13 +9,14 @@ gathered in one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.attributes import dotted_path, false_if_null, try_json
+from leafmill.functions.attributes import false_if_null, try_json
 from leafmill.model import DEFAULT_DOCUMENT_STATUS, DOCUMENT_STATUS, DROPPABLE_STATUS, STAGE_STATUS
-from leafmill.operators.ranking import hot_keys, last_per_key, running_number, salted_join
+from leafmill.operators.ranking import last_per_key, running_number
 
 
 @dataclass(frozen=True)
@@ -26,13 +27,12 @@ class Change:
     rejects: DataFrame
 
 
-def _known(changes: DataFrame, docs: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, list]:
-    """Split change rows by whether their document exists; also the hot documents of the batch."""
-    hot = hot_keys(changes, key)
-    ids = docs.select(key)
-    known = salted_join(changes, ids, key, spread=["seq"], how="left_semi", hot=hot)
-    unknown = salted_join(changes, ids, key, spread=["seq"], how="left_anti", hot=hot)
-    return known, unknown.withColumn("error", F.lit("Document not found")), hot
+def _known(changes: DataFrame, docs: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Split change rows by whether their document exists: one join, whose flag makes both halves."""
+    ids = docs.select(key).distinct().withColumn("_there", F.lit(True))
+    flagged = changes.join(ids, key, "left").select(*changes.columns, "_there")
+    known = flagged.where("_there").drop("_there")
+    return known, flagged.where("_there IS NULL").drop("_there").withColumn("error", F.lit("Document not found"))
 
 
 # -- attributes -----------------------------------------------------------------------------
@@ -49,7 +49,7 @@ def _merge_attributes(docs: DataFrame, values: DataFrame) -> DataFrame:
 
 def set_attributes(docs: DataFrame, changes: DataFrame) -> Change:
     """``changes`` (id, seq, key, value): values stay text, dotted keys stay flat, the last one wins."""
-    known, unknown, _ = _known(changes, docs)
+    known, unknown = _known(changes, docs)
     last = last_per_key(known.select("id", "key", "seq", "value"), ["id", "key"], [F.col("seq")])
     values = last.select("id", "key", F.col("value").cast("variant").alias("value"))
     return Change(_merge_attributes(docs, values), unknown)
@@ -57,7 +57,7 @@ def set_attributes(docs: DataFrame, changes: DataFrame) -> Change:
 
 def set_json_attributes(docs: DataFrame, changes: DataFrame) -> Change:
     """The same with ``json`` text instead of ``value``; text that is no JSON is rejected."""
-    known, unknown, _ = _known(changes, docs)
+    known, unknown = _known(changes, docs)
     parsed = known.withColumn("value", try_json(F.col("json")))
     bad = parsed.where("value IS NULL").drop("value")
     last = last_per_key(parsed.where("value IS NOT NULL").select("id", "key", "seq", "json"), ["id", "key"], [F.col("seq")])
@@ -67,30 +67,42 @@ def set_json_attributes(docs: DataFrame, changes: DataFrame) -> Change:
 
 
 def create_documents(
-    docs: DataFrame, new: DataFrame, sets: DataFrame | None = None, jsons: DataFrame | None = None
+    docs: DataFrame, new: DataFrame, sets: DataFrame | None = None, jsons: DataFrame | None = None, lists: DataFrame | None = None,
+    doc_refs: DataFrame | None = None, file_refs: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``new`` (id, status, body) with their attributes to the table.
+    """Add ``new`` (id, status, body) with attributes and references to the table, whose columns all stay.
 
-    A missing id gets a uuid and a missing status ``inbox``. Text values of ``sets`` (id, seq, key,
-    value) apply before ``jsons`` (id, seq, key, json), so JSON wins for a key given both ways.
+    A missing id gets a uuid and a missing status ``inbox``; a row with a stored id takes the place of the stored
+    one, and of several new rows with one id one counts. Values of a key apply in the order ``sets`` (id, seq, key,
+    value), ``lists`` (id, seq, key, value: the items in order), ``jsons`` (id, seq, key, json); the last one stays.
+    ``doc_refs`` (id, seq, key, uuid) and ``file_refs`` (id, seq, key, filename, uuid) are the references of the new documents.
     """
-    rows = new.select(
-        F.coalesce("id", F.uuid()).alias("id"),
+    named, nameless = new.where("id IS NOT NULL").dropDuplicates(["id"]), new.where("id IS NULL")
+    rows = named.unionByName(nameless.withColumn("id", F.uuid())).select(
+        "id",
         F.coalesce("status", F.lit(DEFAULT_DOCUMENT_STATUS)).alias("status"),
         F.coalesce("body", F.lit("")).alias("body"),
         F.to_variant_object(F.expr("CAST(map() AS MAP<STRING, VARIANT>)")).alias("attrs"),
     )
     steps = []
     if sets is not None:
-        steps.append(sets.select("id", "key", F.lit(0).alias("step"), "seq", F.col("value").alias("text")))
+        steps.append(sets.select("id", "key", F.lit(0).alias("step"), "seq", F.col("value").cast("variant").alias("made")))
+    if lists is not None:
+        items = lists.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("x"), F.max("seq").alias("seq"))
+        steps.append(items.select("id", "key", F.lit(1).alias("step"), "seq", F.col("x.value").cast("variant").alias("made")))
     if jsons is not None:
-        steps.append(jsons.select("id", "key", F.lit(1).alias("step"), "seq", F.col("json").alias("text")))
+        steps.append(jsons.select("id", "key", F.lit(2).alias("step"), "seq", try_json(F.col("json")).alias("made")))
     if steps:
-        given = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+        given = reduce(DataFrame.unionByName, steps).where("made IS NOT NULL")
         last = last_per_key(given, ["id", "key"], [F.col("step"), F.col("seq")])
-        value = F.when(F.col("step") == 0, F.col("text").cast("variant")).otherwise(try_json(F.col("text")))
-        rows = _merge_attributes(rows, last.select("id", "key", value.alias("value")))
-    return docs.select("id", "status", "body", "attrs").unionByName(rows)
+        rows = _merge_attributes(rows, last.select("id", "key", F.col("made").alias("value")))
+    for name, refs in (("doc_refs", doc_refs), ("file_refs", file_refs)):
+        if refs is not None:
+            fields = [c for c in refs.columns if c not in ("id", "seq")]
+            own = refs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("r"))
+            rows = rows.join(own.select("id", F.transform("r", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name)), "id", "left")
+    kept = docs.join(named.select("id"), "id", "left_anti")
+    return kept.select(*docs.columns).unionByName(rows, allowMissingColumns=True)
 
 
 def replace_body(docs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -103,38 +115,35 @@ def replace_body(docs: DataFrame, changes: DataFrame) -> DataFrame:
 # -- lists and references -------------------------------------------------------------------
 
 
-def append_to_lists(
-    docs: DataFrame, changes: DataFrame, paths: list[str], bucket: list[Column]
-) -> Change:
-    """``changes`` (id, seq, path, value) append to list attributes at dotted paths.
+def _path_of(parts: Column) -> Column:
+    return F.concat(F.lit("$"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("['"), p, F.lit("']"))), ""))
+
+
+def append_to_lists(docs: DataFrame, changes: DataFrame, bucket: list[Column]) -> Change:
+    """``changes`` (id, seq, path, value) append to list attributes at dotted paths; ``value`` is text or VARIANT.
 
-    ``paths`` are the paths the batch may name. Missing lists and parents are created; a path that
-    holds, or passes through, something else is rejected. ``accepted`` has every item of every
-    touched list: (id, path, pos, value). ``bucket`` is a coarser form of ``seq``.
+    Missing lists and parents are created; a path that holds, or passes through, something else is
+    rejected. ``accepted`` has every item of every touched list, each with its type: (id, path, pos,
+    value VARIANT). ``bucket`` is a coarser form of ``seq``.
     """
-    states = []
-    for path in paths:
-        parts = path.split(".")
-        here = F.try_variant_get("attrs", dotted_path(path), "variant")
-        kind = F.schema_of_variant(here)
-        parents = [F.schema_of_variant(F.try_variant_get("attrs", dotted_path(".".join(parts[:i])), "variant"))
-                   for i in range(1, len(parts))]
-        open_path = F.lit(True)
-        for p in parents:
-            open_path = open_path & (p.isNull() | p.startswith("OBJECT"))
-        ok = open_path & (kind.isNull() | kind.startswith("ARRAY"))
-        items = F.when(kind.startswith("ARRAY"), F.try_variant_get("attrs", dotted_path(path), "array<string>"))
-        states.append(F.struct(F.lit(path).alias("path"), ok.alias("ok"), F.coalesce(items, F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items")))
-    state = docs.select("id", F.inline(F.array(*states)))
-    known, unknown, hot = _known(changes, docs)
+    known, unknown = _known(changes, docs)
+    touched = known.select("id", "path").distinct().join(docs.select("id", "attrs"), "id")
+    parts = F.split("path", r"\.")
+    here = F.schema_of_variant(F.try_variant_get("attrs", _path_of(parts), "variant"))
+    # an object, or nothing, at every step on the way
+    way = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.schema_of_variant(
+        F.try_variant_get("attrs", _path_of(F.slice(parts, F.lit(1), i)), "variant")))
+    open_way = F.forall(F.slice(way, F.lit(1), F.size(parts) - 1), lambda k: k.isNull() | k.startswith("OBJECT"))
+    items = F.when(here.startswith("ARRAY"), F.try_variant_get("attrs", _path_of(parts), "array<variant>"))
+    state = touched.select(
+        "id", "path", (open_way & (here.isNull() | here.startswith("ARRAY"))).alias("ok"),
+        F.coalesce(items, F.expr("CAST(array() AS ARRAY<VARIANT>)")).alias("items"))
     sized = state.select("id", "path", "ok", F.size("items").cast("bigint").alias("n"))
-    marked = salted_join(known, sized, ["id", "path"], spread=["seq"], how="left", hot=hot)
-    bad = marked.where(~F.coalesce("ok", F.lit(False))).select(*changes.columns).withColumn("error", F.concat("path", F.lit(" is not a list.")))
-    good = marked.where("ok")
-    added = running_number(good, ["id", "path"], ["seq"], bucket, "k")
-    added = added.select("id", "path", (F.col("n") + F.col("k")).alias("pos"), "value")
-    touched = good.select("id", "path").distinct()
-    old = state.join(touched, ["id", "path"], "left_semi").select("id", "path", F.posexplode("items").alias("pos", "value"))
+    marked = known.join(sized, ["id", "path"])
+    bad = marked.where(~F.col("ok")).select(*changes.columns).withColumn("error", F.concat("path", F.lit(" is not a list.")))
+    added = running_number(marked.where("ok").drop("ok"), ["id", "path"], ["seq"], bucket, "k")
+    added = added.select("id", "path", (F.col("n") + F.col("k")).alias("pos"), F.col("value").cast("variant").alias("value"))
+    old = state.where("ok").select("id", "path", F.posexplode("items").alias("pos", "value"))
     old = old.withColumn("pos", F.col("pos").cast("bigint") + 1)
     return Change(old.unionByName(added), unknown.unionByName(bad))
 
@@ -142,23 +151,25 @@ def append_to_lists(
 def add_refs(
     docs: DataFrame, refs: str, changes: DataFrame, bucket: list[Column], data: DataFrame | None = None
 ) -> Change:
-    """``changes`` (id, seq, key, uuid) append references; ``data`` (id, seq, json) attaches to the
-    last reference of the document. ``accepted`` has every reference: (id, pos, key, uuid, data)."""
-    known, unknown, hot = _known(changes, docs)
+    """``changes`` (id, seq, key, uuid, for files also filename) append references; ``data`` (id, seq, json) attaches to
+    the last reference that the batch adds to the document.
+
+    ``accepted`` has every reference with all it holds, ``data`` as JSON text: (id, pos, key, [filename,] uuid, data).
+    """
+    known, unknown = _known(changes, docs)
+    held = docs.schema[refs].dataType.elementType.names
+    fields = [f for f in ("key", "filename", "uuid") if f in held]
     sizes = docs.select("id", F.greatest(F.size(refs), F.lit(0)).cast("bigint").alias("n"))
-    added = salted_join(running_number(known, ["id"], ["seq"], bucket, "k"), sizes, "id", spread=["seq"], hot=hot)
-    added = added.select("id", (F.col("n") + F.col("k")).alias("pos"), F.trim("key").alias("key"), F.trim("uuid").alias("uuid"))
+    given = [F.trim(f).alias(f) if f in changes.columns else F.lit(None).cast("string").alias(f) for f in fields]
+    added = running_number(known, ["id"], ["seq"], bucket, "k").join(sizes, "id").select("id", (F.col("n") + F.col("k")).alias("pos"), *given)
+    stored = F.to_json("r.data") if "data" in held else F.lit(None).cast("string")
     old = docs.select("id", F.posexplode(refs).alias("pos", "r")).select(
-        "id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("r.key").alias("key"), F.col("r.uuid").alias("uuid"))
-    every = old.unionByName(added)
+        "id", (F.col("pos") + 1).cast("bigint").alias("pos"), *[F.col(f"r.{f}").alias(f) for f in fields], stored.alias("data"))
     if data is None:
-        return Change(every.withColumn("data", F.lit(None).cast("string")), unknown)
+        return Change(old.unionByName(added.withColumn("data", F.lit(None).cast("string"))), unknown)
     last_data = last_per_key(data.select("id", "seq", "json"), ["id"], [F.col("seq")])
-    last_pos = every.groupBy("id").agg(F.max("pos").alias("pos"))
-    attach = last_pos.join(last_data, "id").select("id", F.col("pos").alias("_last"), "json")
-    joined = salted_join(every, attach, "id", spread=["pos"], how="left", hot=hot)
-    out = joined.withColumn("data", F.when(F.col("pos") == F.col("_last"), F.col("json"))).drop("_last", "json")
-    return Change(out, unknown)
+    attach = added.groupBy("id").agg(F.max("pos").alias("pos")).join(last_data, "id").select("id", "pos", F.col("json").alias("data"))
+    return Change(old.unionByName(added.join(attach, ["id", "pos"], "left")), unknown)
 
 
 # -- status ---------------------------------------------------------------------------------
@@ -166,7 +177,7 @@ def add_refs(
 
 def set_status(docs: DataFrame, changes: DataFrame) -> Change:
     """``changes`` (id, seq, status). ``accepted``: (id, old_status, new_status) of every changed id."""
-    known, unknown, _ = _known(changes, docs)
+    known, unknown = _known(changes, docs)
     valid = F.col("status").isin(*DOCUMENT_STATUS)
     bad = known.where(~false_if_null(valid)).withColumn(
         "error", F.lit("status must be one of " + ", ".join(sorted(DOCUMENT_STATUS))))
@@ -195,13 +206,10 @@ def validate_status(rows: DataFrame, allowed: tuple[str, ...] = DOCUMENT_STATUS)
 
 def validate_parents(stages: DataFrame, parents: DataFrame) -> Change:
     """A stage belongs to a document: the parent id must be one, not a stage."""
-    ids = parents.select("doc_id")
-    hot = hot_keys(stages, "doc_id")
-    return Change(
-        salted_join(stages, ids, "doc_id", spread=["stage_id"], how="left_semi", hot=hot),
-        salted_join(stages, ids, "doc_id", spread=["stage_id"], how="left_anti", hot=hot).withColumn(
-            "error", F.lit("stage parent must be a document")),
-    )
+    ids = parents.select("doc_id").distinct().withColumn("_there", F.lit(True))
+    flagged = stages.join(ids, "doc_id", "left").select(*stages.columns, "_there")
+    lost = flagged.where("_there IS NULL").drop("_there")
+    return Change(flagged.where("_there").drop("_there"), lost.withColumn("error", F.lit("stage parent must be a document")))
 
 
 # -- stages ---------------------------------------------------------------------------------
@@ -218,7 +226,7 @@ def add_stages(
     """
     from leafmill.operators.requirements import needed_states, requirements_met, with_stage_states
 
-    known, unknown, hot = _known(requests, docs, "doc_id")
+    known, unknown = _known(requests, docs, "doc_id")
     active = [d for d in definitions if d.active]
     names = F.array(*[F.lit(d.name) for d in active])
     flows = F.array(*[F.lit(f"{d.name}\u0000{w.name}") for d in active for w in d.workflows])
@@ -233,8 +241,7 @@ def add_stages(
     met = base.select("doc_id", F.map_from_arrays(names, F.array(*[requirements_met(base, d, installed) for d in active])).alias("_met"))
     stored = stages.groupBy("doc_id", "name").agg(F.count("*").alias("_stored"))
     numbered = running_number(good, ["doc_id", "name"], ["seq"], bucket, "k")
-    joined = salted_join(numbered, stored, ["doc_id", "name"], spread=["seq"], how="left", hot=hot)
-    joined = salted_join(joined, met, "doc_id", spread=["seq"], hot=hot)
+    joined = numbered.join(stored, ["doc_id", "name"], "left").join(met, "doc_id")
     added = joined.select(
         "doc_id",
         "name",
@@ -247,7 +254,7 @@ def add_stages(
 
 def update_stage_status(docs: DataFrame, stages: DataFrame, changes: DataFrame) -> Change:
     """``changes`` (doc_id, name, counter, seq, status). ``accepted`` reports old and new status."""
-    known, unknown, _ = _known(changes, docs, "doc_id")
+    known, unknown = _known(changes, docs, "doc_id")
     valid = false_if_null(F.col("status").isin(*STAGE_STATUS))
     bad = known.where(~valid).withColumn("error", F.concat(F.lit("Invalid stage status: "), F.coalesce("status", F.lit("null"))))
     last = last_per_key(known.where(valid).select("doc_id", "name", "counter", "seq", "status"), ["doc_id", "name", "counter"], [F.col("seq")])
@@ -281,7 +288,7 @@ def persist_results(docs: DataFrame, stages: DataFrame, results: DataFrame) -> C
 
     A result without ``doc`` stores nothing; the last result per stage and workflow wins.
     """
-    known, unknown, _ = _known(results.where("doc IS NOT NULL"), docs, "doc_id")
+    known, unknown = _known(results.where("doc IS NOT NULL"), docs, "doc_id")
     # Two results of one stage are resolved before the join, so a hot stage joins only once per workflow.
     keys = ["doc_id", "name", "counter", "workflow"]
     body, header = normalise_result()
@@ -296,7 +303,9 @@ def persist_results(docs: DataFrame, stages: DataFrame, results: DataFrame) -> C
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` that are not in ``old`` in the same form: what a save has to write."""
-    rest = [c for c in new.columns if c not in keys]
-    before = old.select(*keys, F.struct(*rest).alias("_old"))
-    same = F.col("_old").eqNullSafe(F.struct(*rest))
-    return new.join(before, keys, "left").where(~same).drop("_old")
+    rest = [F.col(f"`{c}`") for c in new.columns if c not in keys]
+    # as text, since neither VARIANT nor maps compare; the type of a value shows in its JSON form
+    content = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    before = old.select(*keys, content.alias("_old"))
+    joined = new.select("*", content.alias("_new")).join(before, keys, "left")
+    return joined.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(*new.columns)

@@ -31,12 +31,6 @@ def running_number(
     return numbered.select(*df.columns, (F.col(out).cast("bigint") + F.col("_before")).alias(out))
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of few splits over the cores; a scan that has enough of them stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per key with their rank. Spark limits each map task to ``k`` rows per key
     before the shuffle (WindowGroupLimit), so the size of a key does not matter."""
@@ -51,41 +45,23 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.groupBy(*keys).agg(winner.alias("_row")).select(*keys, "_row.*")
 
 
-HOT_SHARE = 0.001
-HOT_ROWS = 1_000_000
-
-
-def hot_keys(df: DataFrame, key: str, share: float | None = None, min_rows: int | None = None) -> list:
-    """Keys that hold at least ``share`` of the rows and at least ``min_rows`` rows.
-
-    One narrow aggregation with map-side combine. By the share there are at most ``1 / share`` such
-    keys (1000 by default), so the collected list is bounded whatever the data.
-    """
-    share = HOT_SHARE if share is None else share
-    min_rows = HOT_ROWS if min_rows is None else min_rows
-    counts = df.groupBy(key).count().where(F.col("count") >= min_rows)
-    limit = df.agg((F.count("*") * share).alias("limit")).scalar()
-    return [row[0] for row in counts.where(F.col("count") >= limit).select(key).collect()]
-
-
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: str | list[str],
     spread: list[str],
     how: str = "inner",
-    hot: list | None = None,
+    hot: list | tuple = (),
     salts: int = 64,
 ) -> DataFrame:
-    """Join in which the hot values of the first ``on`` column are spread over ``salts`` tasks.
+    """Join in which the values of the first ``on`` column that the caller names as hot are spread over ``salts`` tasks.
 
-    Without hot values this is the plain join, left to the optimizer. With them, the facts of a hot
-    value get a salt from a hash of ``spread``, and only the lookup rows of hot values are repeated,
-    once per salt. The salt depends on row values alone, so a task that runs again after a lost
-    executor gives the same rows. ``hot`` reuses the ``hot_keys`` of the source of ``facts``.
+    Large partitions of a plain join are split by the adaptive execution; this is for keys that the
+    caller knows beforehand. The facts of a hot value get a salt from a hash of ``spread``, and only the
+    lookup rows of hot values are repeated, once per salt. The salt depends on row values alone, so
+    a task that runs again after a lost executor gives the same rows.
     """
     on = [on] if isinstance(on, str) else on
-    hot = hot_keys(facts, on[0]) if hot is None else hot
     if not hot:
         return facts.join(lookup, on, how)
     key = F.col(on[0])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.attributes import Attribute, attribute, false_if_null, matches_glob
-from leafmill.functions.globs import is_valid_regex
+from leafmill.functions.globs import java_regex
 from leafmill.operators.filters import equals, everything
 
 LIST_HAS = ("HAS", "CONTAINS", "INCLUDES")
@@ -90,8 +90,8 @@ def attribute_check(docs: DataFrame, check: AttributeCheck) -> Column:
         hit = ~glob if operator == "NP" else glob
     elif operator in ("REGEX", "NOT_REGEX"):
         # A pattern that does not compile matches nothing. Folding lowers the pattern as well as the text.
-        valid = isinstance(value, str) and is_valid_regex(value)
-        found = false_if_null(string.rlike(("(?i)" if fold else "") + value)) if valid else F.lit(False)
+        pattern = java_regex(value) if isinstance(value, str) else None
+        found = F.lit(False) if pattern is None else false_if_null(string.rlike(("(?iu)" if fold else "") + pattern))
         hit = ~found if operator == "NOT_REGEX" else found
     else:
         raise ValueError(f"unknown attribute operator {check.operator!r}")
@@ -172,7 +172,7 @@ def extras_gate(required: tuple[str, ...], installed: set[str]) -> Column:
 
 def workflow_condition(workflow: Workflow) -> Column:
     """The ``when`` text of a workflow, a Spark SQL boolean over the document columns."""
-    return false_if_null(F.expr(workflow.when or "true").cast("boolean"))
+    return false_if_null(F.expr(workflow.when or "true").try_cast("boolean"))
 
 
 # -- existing stages ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import page_text, page_title, url_domain, word_count
 from leafmill.operators.keywords import STOP_WORDS, tokens, without_stop_words, words
-from leafmill.operators.ranking import HOT_ROWS, salted_join, top_k, use_all_cores
+from leafmill.operators.ranking import top_k
 from leafmill.session import materialise
 
 
@@ -21,7 +21,7 @@ def search(
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), stop_words))).alias("term"))
     vocabulary = wanted.select("term").distinct()
-    rows = use_all_cores(docs.select(doc_key, text), doc_key).select(doc_key, words(F.col(text)).alias("w"))
+    rows = docs.select(doc_key, words(F.col(text)).alias("w"))
     terms = without_stop_words(F.col("w"), stop_words)
     # The length is computed below explode, once per document and not once per word.
     sized = rows.select(doc_key, "w", F.size(terms).alias("n"))
@@ -30,9 +30,7 @@ def search(
     freq = postings.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = docs.count()
     weighted = wanted.join(freq, "term").withColumn("idf", F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
-    total = freq.agg((F.sum("df") / 1000).alias("t")).scalar()
-    hot = [r[0] for r in freq.where((F.col("df") >= HOT_ROWS) & (F.col("df") >= total)).select("term").collect()]
-    hits = salted_join(postings, weighted, "term", spread=[doc_key], hot=hot)
+    hits = postings.join(weighted, "term")
     scored = hits.groupBy("query_id", doc_key).agg(F.round(F.sum(F.col("tf") / F.col("n") * F.col("idf")), 6).alias("score"))
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total_results"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col(doc_key)], max_results).join(totals, "query_id")
@@ -44,16 +42,26 @@ def result_records(results: DataFrame, docs: DataFrame, doc_key: str, title: Col
     return results.join(shown, doc_key).withColumn("domain", url_domain(F.col("url")))
 
 
+def snippet(text: Column, wanted: Column, around: int = 50) -> Column:
+    """The part of a text around its first occurrence of any of the ``wanted`` words (lower case); its beginning if there is none."""
+    low = F.lower(text)
+    places = F.filter(F.transform(wanted, lambda w: F.instr(low, w)), lambda p: p > 0)
+    start = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - around, F.lit(1))
+    return F.substr(text, start, F.lit(2 * around))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Every page with its domain, title, visible text and word count."""
-    text = pages.select("page_id", "url", url_domain(F.col("url")).alias("domain"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("content"))
+    rest = [c for c in pages.columns if c not in ("page_id", "url", "html")]
+    text = pages.select(*rest, "page_id", "url", url_domain(F.col("url")).alias("domain"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("content"))
     return text.withColumn("word_count", word_count(F.col("content")))
 
 
 def crawl(results: DataFrame, pages: DataFrame, max_pages: int = 5) -> DataFrame:
     """Content of the first ``max_pages`` result pages per query; ``results`` (query_id, page_id, rank)."""
     first = top_k(results.select("query_id", "page_id", "rank"), ["query_id"], [F.col("rank"), F.col("page_id")], max_pages, "place")
-    return first.join(extract_pages(pages), "page_id")
+    # only the chosen pages are worth extracting, so the raw ones are joined
+    return extract_pages(first.join(pages, "page_id"))
 
 
 def pages_crawled(crawled: DataFrame) -> DataFrame:

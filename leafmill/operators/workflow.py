@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.model import OPEN_STAGE_STATUS
-from leafmill.operators.ranking import hot_keys, salted_join
 from leafmill.operators.requirements import StageDefinition, workflow_condition
 
 STAGE_COMPLETED = "stage.completed"
@@ -20,9 +19,7 @@ def correlation_id(doc: str = "doc_id", stage: str = "name", counter: str = "cou
 def workflow_versions(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """(name, version): the version of the catalog, 1 where the catalog has none."""
     known = catalog.groupBy("name").agg(F.max("version").alias("_v"))
-    hot = hot_keys(names, "name")
-    joined = salted_join(names, known, "name", spread=names.columns, how="left", hot=hot)
-    return joined.withColumn("version", F.coalesce("_v", F.lit(1))).drop("_v")
+    return names.join(known, "name", "left").withColumn("version", F.coalesce("_v", F.lit(1))).drop("_v")
 
 
 def _branches(definitions: list[StageDefinition]) -> Column:
@@ -88,8 +85,7 @@ def start_requests(docs: DataFrame, starts: DataFrame, definitions: list[StageDe
         if d.active and flows:
             cells += [F.lit(d.name), F.array_compact(F.array(*flows))]
     flows = docs.select("doc_id", F.create_map(*cells).alias("_flows"))
-    joined = salted_join(starts, flows, "doc_id", spread=["name", "counter"])
-    return joined.select(
+    return starts.join(flows, "doc_id").select(
         "doc_id", "name", "counter", correlation_id().alias("correlation_id"),
         F.to_json(F.col("_flows")[F.col("name")]).alias("workflows"))
 
@@ -111,7 +107,7 @@ def join_barrier(branches: DataFrame, keys: list[str]) -> DataFrame:
 def stage_completions(barrier: DataFrame, docs: DataFrame) -> DataFrame:
     """Completion event records of the stages whose barrier is open."""
     done = barrier.where("all_done").select("doc_id", F.col("name").alias("stage_name"), "counter")
-    found = salted_join(done, docs.select("doc_id", F.col("status").alias("doc_status"), "tags"), "doc_id", spread=["stage_name", "counter"])
+    found = done.join(docs.select("doc_id", F.col("status").alias("doc_status"), "tags"), "doc_id")
     return found.select(
         F.lit(STAGE_COMPLETED).alias("event"), "doc_id", "stage_name", "counter",
         F.lit("done").alias("stage_status"), "doc_status", F.array_join("tags", ",").alias("tags"))
@@ -128,5 +124,11 @@ def collect_branch_results(results: DataFrame, keys: list[str], references: list
     )
 
 
+def undeclared_results(results: DataFrame, references: list[str]) -> DataFrame:
+    """What ``collect_branch_results`` leaves out: results of a reference that the definition does not name."""
+    known = F.coalesce(F.col("reference").isin(references), F.lit(False))
+    return results.where(~known).withColumn("error", F.concat(F.lit("undeclared reference "), F.coalesce("reference", F.lit("null"))))
+
+
 def open_stages(stages: DataFrame) -> DataFrame:
     return stages.where(F.col("status").isin(*OPEN_STAGE_STATUS))

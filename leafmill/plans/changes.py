@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from leafmill.model import STAGE_STATUS
 from leafmill.operators import mutations as mu
-from leafmill.operators.ranking import salted_join
 from leafmill.plans.evaluation import _MET_SQL, SUMMARY_SQL, numbered
 from leafmill.plans.inputs import DEFINITIONS, DOCS_SQL, NUMBERED_STAGES_SQL, STAGES_SQL, ctes, docs, stages, table
 from leafmill.plans.registry import query
@@ -75,8 +74,8 @@ def doc_list_add(spark, sf_dir):
     c = _event_changes(spark, sf_dir)
     c = c.select("id", "seq", F.expr(_PATH).alias("path"), F.col("seq").cast("string").alias("value"))
     done = mu.append_to_lists(
-        docs(spark, sf_dir).select("id", "attrs"), c, ["tags", "meta.labels", "title", "meta.owner.x", "history"], _seq_bucket())
-    items = done.accepted.select(F.lit("item").alias("kind"), "id", "path", "pos", "value")
+        docs(spark, sf_dir).select("id", "attrs"), c, _seq_bucket())
+    items = done.accepted.select(F.lit("item").alias("kind"), "id", "path", "pos", F.col("value").cast("string").alias("value"))
     return items.unionByName(done.rejects.select(
         F.lit("reject").alias("kind"), "id", "path", F.col("seq").alias("pos"), F.col("error").alias("value")))
 
@@ -92,7 +91,7 @@ added AS (
 every AS (SELECT * FROM edges UNION ALL SELECT * FROM added),
 data AS (SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, event_id) AS json FROM events GROUP BY 1)
 SELECT 'ref' AS kind, e.id, e.pos, e.key, e.uuid,
-       CASE WHEN e.pos = max(e.pos) OVER (PARTITION BY e.id) THEN d.json END AS data
+       CASE WHEN e.id IN (SELECT id FROM added) AND e.pos = max(e.pos) OVER (PARTITION BY e.id) THEN d.json END AS data
 FROM every e LEFT JOIN data d ON d.id = e.id
 UNION ALL SELECT 'reject', CAST(o_custkey AS VARCHAR), o_orderkey, o_orderpriority, CAST(o_orderkey AS VARCHAR), 'Document not found'
 FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)""")
@@ -160,7 +159,7 @@ def doc_drop(spark, sf_dir):
     d = docs(spark, sf_dir)
     dropped = d.where("toxic = 1").select("id", "doc_id")
     left = mu.drop_documents(d, dropped)
-    stages_left = salted_join(stages(spark, sf_dir), dropped.select("doc_id"), "doc_id", spread=["seq"], how="left_anti")
+    stages_left = stages(spark, sf_dir).join(dropped.select("doc_id"), "doc_id", "left_anti")
     return left.select(F.lit("document").alias("kind"), "id").unionByName(
         stages_left.select(F.lit("stage").alias("kind"), F.col("stage_id").alias("id")))
 
@@ -180,12 +179,12 @@ def drop_all(spark, sf_dir):
 
 @query("validate_status", ctes(DOCS_SQL, STAGES_SQL) + """SELECT 'document' AS kind, id, lang AS status, 'Invalid status: ' || lang AS error FROM docs
 UNION ALL SELECT 'stage', stage_id, name, 'Invalid status: ' || name FROM stages WHERE name <> 'active'
-UNION ALL SELECT 'parent', stage_id, status, 'stage parent must be a document' FROM stages WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE lang = 'fr')""")
+UNION ALL SELECT 'parent', stage_id, status, 'stage parent must be a document' FROM stages WHERE doc_id NOT IN (SELECT doc_id FROM docs)""")
 def validate_status(spark, sf_dir):
     d, s = docs(spark, sf_dir), stages(spark, sf_dir)
     bad_docs = mu.validate_status(d.select("id", F.col("lang").alias("status"))).rejects.select(F.lit("document").alias("kind"), "id", "status", "error")
     bad_stages = mu.validate_status(s.select(F.col("stage_id").alias("id"), F.col("name").alias("status")), STAGE_STATUS).rejects
-    lost = mu.validate_parents(s, d.where("lang = 'fr'")).rejects.select(F.lit("parent").alias("kind"), F.col("stage_id").alias("id"), "status", "error")
+    lost = mu.validate_parents(s, d).rejects.select(F.lit("parent").alias("kind"), F.col("stage_id").alias("id"), "status", "error")
     return bad_docs.unionByName(bad_stages.select(F.lit("stage").alias("kind"), "id", "status", "error")).unionByName(lost)
 
 
@@ -275,6 +274,13 @@ def normalise_result(spark, sf_dir):
     return texts.unionByName(scalars.select("o_orderkey", body.alias("body"), header.alias("header")))
 
 
+@query("changed_documents", D + "SELECT id, lang FROM docs WHERE doc_id % 4 = 1")
+def changed_documents(spark, sf_dir):
+    old = docs(spark, sf_dir).select("id", "lang", "attrs", "tags", "body")
+    values = old.where("CAST(id AS BIGINT) % 4 = 1").select("id", F.lit(1).alias("seq"), F.lit("lang").alias("key"), F.concat("lang", F.lit("?")).alias("value"))
+    return mu.changed_rows(old, mu.set_attributes(old, values).accepted, ["id"]).select("id", "lang")
+
+
 @query("changed_rows", ctes(STAGES_SQL) + "SELECT stage_id, 'cancelled' AS status FROM stages WHERE status = 'scheduled'")
 def changed_rows(spark, sf_dir):
     old = stages(spark, sf_dir).select("stage_id", "doc_id", "name", "status")

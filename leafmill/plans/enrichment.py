@@ -213,18 +213,22 @@ flat AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM terms),
 tf AS (SELECT doc_id, n, term, count(*) AS tf FROM flat GROUP BY ALL),
 freq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format('text')})) AS term FROM benchmark),
+wanted AS (SELECT query_id, list(term) AS words FROM q GROUP BY query_id),
 scored AS (SELECT query_id, doc_id, round(sum(tf / n * (ln((1 + (SELECT count(*) FROM documents)::DOUBLE) / (1 + df)) + 1)), 6) AS score
   FROM q JOIN tf USING (term) JOIN freq USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_results FROM scored)
-SELECT query_id, doc_id, rank, score, total_results, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example.org/' || doc_id AS url, source || '.example.org' AS domain
-FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10""")
+SELECT query_id, doc_id, rank, score, total_results, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example.org/' || doc_id AS url, source || '.example.org' AS domain,
+  substr(text, greatest(coalesce(list_min(list_filter(list_transform(words, lambda w: instr(lower(text), w)), lambda p: p > 0)), 1) - 50, 1), 100) AS snippet
+FROM ranked JOIN documents USING (doc_id) JOIN wanted USING (query_id) WHERE rank <= 10""")
 def corpus_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     results = se.search(queries, d, max_results=10)
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))
-    shown = se.result_records(results, d, "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)), url, F.left("text", F.lit(100)))
-    return shown.select("query_id", "doc_id", "rank", "score", "total_results", "title", "url", "domain")
+    wanted = queries.select("query_id", F.array_distinct(kw.tokens(F.col("query"))).alias("wanted"))
+    shown = se.result_records(results.join(wanted, "query_id"), d, "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)), url, F.col("text"))
+    part = se.snippet(F.col("snippet"), F.col("wanted"))
+    return shown.select("query_id", "doc_id", "rank", "score", "total_results", "title", "url", "domain", part.alias("snippet"))
 
 
 def _unescape_sql(column: str) -> str:

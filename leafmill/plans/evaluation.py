@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import evaluate as ev
 from leafmill.operators import requirements as req
-from leafmill.operators.ranking import running_number, salted_join
+from leafmill.operators.ranking import running_number
 from leafmill.plans.inputs import (
     DEFINITIONS,
     DOCS_SQL,
@@ -32,11 +32,11 @@ SUMMARY_SQL = """state AS (
     arg_min(status, seq) FILTER (name = 'signup' AND status IN ('scheduled', 'active')) AS run_signup,
     arg_min(status, seq) FILTER (name = 'purchase' AND status IN ('scheduled', 'active')) AS run_purchase,
     bool_or(name = 'signup' AND status = 'done') AS signup_done,
-    count(*) FILTER (name IN ('signup', 'purchase')) AS n_known
+    count(*) AS n_stages
   FROM stages GROUP BY doc_id),
 joined AS (
   SELECT d.*, coalesce(n_signup, 0) AS n_signup, coalesce(n_purchase, 0) AS n_purchase, run_signup, run_purchase,
-         coalesce(signup_done, false) AS signup_done, coalesce(n_known, 0) AS n_known,
+         coalesce(signup_done, false) AS signup_done, coalesce(n_stages, 0) AS n_stages,
          idea_tag IS NOT NULL AS met_research,
          priority > 0.5 AND lang = 'en' AND NOT regexp_matches(title, '^The') AS met_review,
          doc_id % 4 >= 1 AS met_signup
@@ -197,13 +197,12 @@ def evaluate_guard(spark, sf_dir):
 
 
 @query("evaluated_documents", _outcomes_sql(OPEN_DOCS) + """, any_started AS (SELECT DISTINCT doc_id FROM outcomes WHERE outcome = 'started')
-SELECT j.doc_id, CASE WHEN status = 'inbox' AND (n_known > 0 OR a.doc_id IS NOT NULL) THEN 'active' ELSE status END AS status,
-       status = 'inbox' AND (n_known > 0 OR a.doc_id IS NOT NULL) AS status_changed
+SELECT j.doc_id, CASE WHEN status = 'inbox' AND (n_stages > 0 OR a.doc_id IS NOT NULL) THEN 'active' ELSE status END AS status,
+       status = 'inbox' AND (n_stages > 0 OR a.doc_id IS NOT NULL) AS status_changed
 FROM joined j LEFT JOIN any_started a USING (doc_id) WHERE status IN ('inbox', 'active')""")
 def evaluated_documents(spark, sf_dir):
     d, s = _scope(spark, sf_dir)
-    known = s.where(F.col("name").isin("signup", "purchase"))
-    return ev.evaluate_stages(d, known, DEFINITIONS, order="seq").documents.select("doc_id", "status", "status_changed")
+    return ev.evaluate_stages(d, s, DEFINITIONS, order="seq").documents.select("doc_id", "status", "status_changed")
 
 
 @query("evaluation_summary", _outcomes_sql(OPEN_DOCS) + """SELECT count(DISTINCT doc_id) AS documents, count_if(checked)::BIGINT AS evaluated,
@@ -307,7 +306,7 @@ FROM edges e LEFT JOIN docs d ON d.doc_id = e.target""")
 def resolve_doc_refs(spark, sf_dir):
     targets = docs(spark, sf_dir).select(
         F.col("id").alias("target"), F.col("status").alias("target_status"), F.col("title").alias("target_title"))
-    return salted_join(_ref_edges(spark, sf_dir), targets, "target", spread=["doc_id", "pos"], how="left").select(
+    return _ref_edges(spark, sf_dir).join(targets, "target", "left").select(
         "doc_id", "pos", "target", "target_status", "target_title")
 
 
@@ -317,11 +316,10 @@ def resolve_doc_refs(spark, sf_dir):
 SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, CAST(target AS VARCHAR) AS missing FROM edges
 WHERE target NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'stage', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM events
-WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+WHERE user_id NOT IN (SELECT doc_id FROM documents)""")
 def dangling_refs(spark, sf_dir):
-    d = docs(spark, sf_dir).select("id", "doc_id", "lang")
-    refs = salted_join(_ref_edges(spark, sf_dir), d.select(F.col("id").alias("target")), "target", spread=["doc_id", "pos"], how="left_anti")
-    # Stages looked up in the English documents only, so that some find no document.
-    lost = salted_join(stages(spark, sf_dir), d.where("lang = 'en'").select("doc_id"), "doc_id", spread=["seq"], how="left_anti")
+    d = docs(spark, sf_dir).select("id", "doc_id")
+    refs = _ref_edges(spark, sf_dir).join(d.select(F.col("id").alias("target")), "target", "left_anti")
+    lost = stages(spark, sf_dir).join(d.select("doc_id"), "doc_id", "left_anti")
     return refs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.col("target").alias("missing")).unionByName(
         lost.select(F.lit("stage").alias("kind"), F.col("stage_id").alias("id"), F.col("doc_id").cast("string").alias("missing")))

@@ -162,14 +162,14 @@ def ev_stage_completed(spark, sf_dir):
     return _run(spark, st.on_stage_completed(_as_events(_event_stream(spark, sf_dir))), "stage-completed").drop("ts")
 
 
-@query("ev_workflow_completed", ctes(EVENTS_SQL) + "SELECT seq, doc_id, workflow_id AS triggered_by FROM ev WHERE event = 'workflow.completed' AND doc_id IS NOT NULL")
+@query("ev_workflow_completed", ctes(EVENTS_SQL) + "SELECT seq, doc_id, workflow_id AS triggered_by FROM ev WHERE event = 'workflow.completed' AND doc_id <> 0")
 def ev_workflow_completed(spark, sf_dir):
     return _run(spark, st.on_workflow_completed(_as_events(_event_stream(spark, sf_dir))), "workflow-completed").drop("ts")
 
 
 @query("ev_stage_workflow_completed", _outcomes_sql(OPEN_DOCS) + f""", {EVENTS_SQL}
 SELECT doc_id, definition, outcome, reason, counter FROM outcomes
-WHERE doc_id IN (SELECT doc_id FROM ev WHERE event = 'workflow.completed' AND workflow_type = 'stage_workflow' AND doc_id IS NOT NULL)""")
+WHERE doc_id IN (SELECT doc_id FROM ev WHERE event = 'workflow.completed' AND workflow_type = 'stage_workflow' AND doc_id <> 0)""")
 def ev_stage_workflow_completed(spark, sf_dir):
     triggers = st.on_stage_workflow_completed(_as_events(_event_stream(spark, sf_dir)))
     out, ck = shared_folder(spark, "evaluated"), shared_folder(spark, "evaluated-state")
@@ -178,7 +178,8 @@ def ev_stage_workflow_completed(spark, sf_dir):
         session = ids.sparkSession
         d, s = _scope(session, sf_dir)
         named = d.join(ids, "doc_id", "left_semi")
-        return ev.evaluate_stages(named, s, DEFINITIONS, order="seq").outcomes.select("doc_id", "definition", "outcome", "reason", "counter")
+        theirs = s.join(ids, "doc_id", "left_semi")  # the stages of the batch, not of the whole store
+        return ev.evaluate_stages(named, theirs, DEFINITIONS, order="seq").outcomes.select("doc_id", "definition", "outcome", "reason", "counter")
 
     st.evaluate_on_events(triggers, evaluate, out, ck).awaitTermination()
     return spark.read.parquet(out).drop("batch")

@@ -14,7 +14,7 @@ TASK_NAME = r"@worker_task\(task_definition_name='([^']+)'\)"
 
 def definition_catalog(texts: DataFrame) -> DataFrame:
     """YAML stage files as ``(path, name, active, definition VARIANT)``; only active ones, broken files are skipped."""
-    parsed = texts.select("path", yaml_to_json("value").alias("json")).where("json IS NOT NULL").select("path", F.parse_json("json").alias("definition"))
+    parsed = texts.select("path", yaml_to_json("value").alias("json")).select("path", F.try_parse_json("json").alias("definition")).where("definition IS NOT NULL")
     get = lambda key, kind: F.try_variant_get("definition", f"$.{key}", kind)
     rows = parsed.select("path", get("name", "string").alias("name"), F.coalesce(get("active", "boolean"), F.lit(True)).alias("active"), "definition")
     return rows.where("name IS NOT NULL AND active")
@@ -46,7 +46,7 @@ def name_from_json_key(key: str) -> Column:
 
 
 def name_from_yaml_key(key: str) -> Column:
-    return F.try_variant_get(F.parse_json(F.coalesce(yaml_to_json("value"), F.lit("{}"))), f"$.{key}", "string")
+    return F.try_variant_get(F.try_parse_json(yaml_to_json("value")), f"$.{key}", "string")
 
 
 def name_from_stem() -> Column:

@@ -6,6 +6,7 @@ Layout: ``<base>/<status>/<id>/doc.md`` and ``<base>/<status>/<id>/stages/<name>
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -22,16 +23,21 @@ _STATUS = "|".join(DOCUMENT_STATUS)
 # -- reading --------------------------------------------------------------------------------
 
 
+def _file_path() -> Column:
+    """Path of the file that a row comes from, as it is written on disk (Spark gives it percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Whole files as ``(path, value)``; many small files share a partition."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), "value")
 
 
 def read_tree(spark: SparkSession, base: str, statuses: tuple[str, ...], name: str) -> DataFrame:
     """All files called ``name`` below the status folders; large folders are listed by a Spark job."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
     texts = reader.text(f"{base}/{{{','.join(statuses)}}}", wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("path"), "value")
+    return texts.select(_file_path().alias("path"), "value")
 
 
 def split_frontmatter(text: Column) -> tuple[Column, Column]:
@@ -54,12 +60,12 @@ def yaml_to_json(heads: pd.Series) -> pd.Series:
             return "{}"
         try:
             data = yaml.load(head, Loader=loader)
-        except yaml.YAMLError:
-            return None
-        data = {} if data is None or data == "" else data
-        if not isinstance(data, dict):
+            data = {} if data is None or data == "" else data
+            if not isinstance(data, dict):
+                return None
+            return json.dumps({str(k): v for k, v in data.items()}, default=str, ensure_ascii=False, allow_nan=False)
+        except Exception:  # a date that is none, not a number, a mapping that holds itself: the file is corrupt, not the job
             return None
-        return json.dumps({str(k): v for k, v in data.items()}, default=str, ensure_ascii=False)
 
     return heads.map(convert, na_action=None)
 
@@ -72,7 +78,7 @@ def parse_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     head, body = split_frontmatter(F.col("value"))
     raw = texts.select("path", head.alias("head"), body.alias("body")).select("path", "body", yaml_to_json("head").alias("json"))
-    v = raw.withColumn("all", F.parse_json(F.coalesce("json", F.lit("{}"))))
+    v = raw.withColumn("all", F.coalesce(F.try_parse_json("json"), F.parse_json(F.lit("{}"))))
     get = lambda key: F.try_variant_get("all", f"$.{key}", "string")
     public = F.map_filter(F.try_variant_get("all", "$", "map<string,variant>"), lambda k, _: ~k.startswith("_"))
     parsed = v.select(
@@ -84,7 +90,7 @@ def parse_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         "body",
         F.from_json(F.to_json(F.try_variant_get("all", "$._doc_refs", "variant")), _array_of(DOC_REF)).alias("doc_refs"),
         F.from_json(F.to_json(F.try_variant_get("all", "$._file_refs", "variant")), _array_of(FILE_REF)).alias("file_refs"),
-        F.when(F.col("json").isNull(), "bad frontmatter").when(~F.coalesce(get("status"), F.lit("inbox")).isin(*DOCUMENT_STATUS), "bad status").alias("error"),
+        F.when(F.try_parse_json("json").isNull(), "bad frontmatter").when(~F.coalesce(get("status"), F.lit("inbox")).isin(*DOCUMENT_STATUS), "bad status").alias("error"),
     )
     return parsed.where("error IS NULL").drop("error"), parsed.where("error IS NOT NULL").select("path", "error")
 
@@ -115,8 +121,8 @@ def read_stages(spark: SparkSession, base: str) -> DataFrame:
     place = r"/([^/]+)/stages/([^/]+)/([0-9]+)/stage\.md$"
     texts = texts.where(F.col("path").rlike(place))
     head, body = split_frontmatter(F.col("value"))
-    parsed = texts.select("path", head.alias("head"), body.alias("body")).select("path", "body", yaml_to_json("head").alias("json")).where("json IS NOT NULL")
-    v = parsed.withColumn("attrs", F.parse_json("json"))
+    parsed = texts.select("path", head.alias("head"), body.alias("body")).select("path", "body", yaml_to_json("head").alias("json"))
+    v = parsed.withColumn("attrs", F.try_parse_json("json")).where("attrs IS NOT NULL")
     drop = ("name", "counter", "body", "status")
     return v.select(
         F.regexp_extract("path", place, 1).alias("doc_id"),
@@ -165,6 +171,16 @@ def document_texts(docs: DataFrame) -> DataFrame:
     return docs.select("id", "status", F.concat_ws("/", "status", "id", F.lit("doc.md")).alias("path"), to_frontmatter(header, "body").alias("text"))
 
 
+def arrow_uri(base: str) -> str:
+    """A folder in the forms that Spark takes (/x, file:/x, file:///x, s3a://b/x, hdfs://h/x) as Arrow names it."""
+    scheme, colon, rest = base.partition(":")
+    if not colon or "/" in scheme:
+        return base if base.startswith("/") else os.path.abspath(base)
+    if scheme == "file":
+        return "/" + rest.lstrip("/")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+
+
 def write_files(texts: DataFrame, base: str) -> int:
     """Write ``(path, text)`` rows as files below ``base``, on the executors.
 
@@ -175,7 +191,7 @@ def write_files(texts: DataFrame, base: str) -> int:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(base if "://" in base or base.startswith("/") else f"file:{base}")
+        system, root = fs.FileSystem.from_uri(arrow_uri(base))
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
                 target = f"{root}/{path}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.model import DOCUMENT_STATUS
 from leafmill.operators.ranking import last_per_key
 from leafmill.session import materialise
 
@@ -21,11 +22,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def move_status(spark: SparkSession, path: str, moves: DataFrame) -> list[str]:
     """Give documents ``(id, new_status)`` their new status and partition; no copy stays behind.
 
+    Of several moves of one document the one with the greatest ``seq`` counts (without that column the status that is
+    last in the life of a document). A move to no known status is left out.
     Only the partitions that lose or gain a document are written again. The new rows are first
     written to the shared folder, so the store is never read while its partitions are replaced, and
     a failure before the last step leaves it as it was. Returns the rewritten statuses (at most one per status).
     """
     store = read_store(spark, path)
+    life = F.array_position(F.array(*[F.lit(s) for s in DOCUMENT_STATUS]), F.col("new_status"))
+    valid = moves.where(F.col("new_status").isin(*DOCUMENT_STATUS)).withColumn("_life", life)
+    order = [F.col(c) for c in ("seq", "_life") if c in valid.columns]
+    moves = materialise(last_per_key(valid.select("id", "new_status", "_life", *[c for c in ("seq",) if c in moves.columns]), ["id"], order), "moves")
     joined = store.select("id", "status").join(moves.select("id", "new_status"), "id").where("status <> new_status")
     pairs = joined.select(F.explode(F.array("status", "new_status")).alias("s")).distinct().collect()
     touched = sorted({r.s for r in pairs})

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import NumericType
 
 from leafmill.functions.attributes import false_if_null
 
@@ -19,30 +20,31 @@ WORKFLOW_COMPLETED = "workflow.completed"
 STAGE_WORKFLOW = "stage_workflow"
 
 
-def _filled(*names: str) -> Column:
-    """All of them given: null, empty text and 0 are not."""
+def _filled(events: DataFrame, *names: str) -> Column:
+    """All of them given: null, empty text and the number 0 are not."""
     test = F.lit(True)
     for n in names:
-        text = F.col(n).cast("string")
-        test = test & text.isNotNull() & (text != "")
+        nothing = F.lit(0) if isinstance(events.schema[n].dataType, NumericType) else F.lit("")
+        value = F.col(n) if isinstance(events.schema[n].dataType, NumericType) else F.col(n).cast("string")
+        test = test & value.isNotNull() & (value != nothing)
     return false_if_null(test)
 
 
 def on_doc_changed(events: DataFrame) -> DataFrame:
     """Wake the waiting task of the event's workflow."""
-    hit = (F.col("event") == DOC_CHANGED) & _filled("workflow_id", "task_ref_name", "doc")
+    hit = (F.col("event") == DOC_CHANGED) & _filled(events, "workflow_id", "task_ref_name", "doc")
     return events.where(hit).select("seq", "ts", "workflow_id", "task_ref_name", "reason", "doc")
 
 
 def on_stage_completed(events: DataFrame) -> DataFrame:
     """The same for completed stages, with a fixed reason."""
-    hit = (F.col("event") == STAGE_COMPLETED) & _filled("workflow_id", "task_ref_name", "doc", "stage")
+    hit = (F.col("event") == STAGE_COMPLETED) & _filled(events, "workflow_id", "task_ref_name", "doc", "stage")
     return events.where(hit).select("seq", "ts", "workflow_id", "task_ref_name", F.lit("stage_completed").alias("reason"), "doc", "stage")
 
 
 def on_workflow_completed(events: DataFrame) -> DataFrame:
     """Documents to evaluate after any workflow of theirs has ended."""
-    hit = (F.col("event") == WORKFLOW_COMPLETED) & _filled("workflow_id", "doc_id")
+    hit = (F.col("event") == WORKFLOW_COMPLETED) & _filled(events, "workflow_id", "doc_id")
     return events.where(hit).select("seq", "ts", "doc_id", F.col("workflow_id").alias("triggered_by"))
 
 

@@ -16,15 +16,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def everything_is_hot(monkeypatch):
-    """Treat every key as hot, so that the salted plans run on small data."""
-    from leafmill.operators import ranking
-
-    monkeypatch.setattr(ranking, "HOT_ROWS", 1)
-    monkeypatch.setattr(ranking, "HOT_SHARE", 0.0001)
-
-
 SF_DIR = "/root/testdata/sf0.001"
 
 

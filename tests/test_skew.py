@@ -32,11 +32,6 @@ def test_running_number_without_key(facts):
     assert got == [r[1] for r in sorted(ROWS, key=lambda r: (r[2], r[1]))]
 
 
-def test_hot_keys(facts):
-    assert rk.hot_keys(facts, "key", share=0.3, min_rows=100) == ["hot"]
-    assert rk.hot_keys(facts, "key") == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot", [[], ["hot"], ["hot", None], ["hot", "k1", "k2"]])
 def test_salted_join(spark, facts, how, hot):
@@ -62,17 +57,6 @@ def test_last_per_key(facts):
         assert got[key] == max(((r[1], r[2]) for r in ROWS if r[0] == key), key=lambda t: (t[1], t[0]))
 
 
-HOT_QUERIES = ["add_refs", "doc_list_add", "add_stage", "resolve_doc_refs", "dangling_refs", "stage_lifecycle", "start_requests",
-               "doc_set", "update_stage_status", "persist_results", "validate_status", "workflow_versions"]
-
-
-@pytest.mark.parametrize("name", HOT_QUERIES)
-def test_queries_with_salted_joins(spark, duck, everything_is_hot, name):
-    from tests.test_queries import test_query
-
-    test_query(spark, duck, name)
-
-
 def test_extends_closure_against_a_walk(spark):
     extends = {1: [2, 3], 2: [4], 3: [4, 5], 4: [], 5: [2], 6: [7], 7: [6], 8: [8, 1]}
     packages = {1: ["a"], 2: ["b", "a"], 3: ["c"], 4: ["d", "b"], 5: ["e"], 6: ["f"], 7: ["g"], 8: ["h"]}
