@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from leafmill.functions.attributes import false_if_null, try_json
 from leafmill.model import DEFAULT_DOCUMENT_STATUS, DOCUMENT_STATUS, DROPPABLE_STATUS, STAGE_STATUS
@@ -157,12 +158,16 @@ def add_refs(
     ``accepted`` has every reference with all it holds, ``data`` as JSON text: (id, pos, key, [filename,] uuid, data).
     """
     known, unknown = _known(changes, docs)
-    held = docs.schema[refs].dataType.elementType.names
+    reference = docs.schema[refs].dataType.elementType
+    held = reference.names
     fields = [f for f in ("key", "filename", "uuid") if f in held]
     sizes = docs.select("id", F.greatest(F.size(refs), F.lit(0)).cast("bigint").alias("n"))
     given = [F.trim(f).alias(f) if f in changes.columns else F.lit(None).cast("string").alias(f) for f in fields]
     added = running_number(known, ["id"], ["seq"], bucket, "k").join(sizes, "id").select("id", (F.col("n") + F.col("k")).alias("pos"), *given)
-    stored = F.to_json("r.data") if "data" in held else F.lit(None).cast("string")
+    if "data" not in held:
+        stored = F.lit(None).cast("string")
+    else:
+        stored = F.col("r.data") if isinstance(reference["data"].dataType, StringType) else F.to_json("r.data")
     old = docs.select("id", F.posexplode(refs).alias("pos", "r")).select(
         "id", (F.col("pos") + 1).cast("bigint").alias("pos"), *[F.col(f"r.{f}").alias(f) for f in fields], stored.alias("data"))
     if data is None:
