@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,51 +69,69 @@ def overview_extended(elements: DataFrame, project: DataFrame) -> DataFrame:
 # -- deep merge -----------------------------------------------------------------------------
 
 
-def flatten_paths(definitions: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
-    """Every object and leaf of a VARIANT as ``(*keys, path ARRAY, is_object, value)``.
+#: Lists whose items merge by their ``name``.
+KEYED_LISTS = ("workflows",)
+
 
-    One narrow step per level; it ends when a level holds no more objects, so nothing is cut off.
+def flatten_paths(definitions: DataFrame, keys: list[str], payload: str = "payload", keyed_lists: tuple[str, ...] = KEYED_LISTS) -> DataFrame:
+    """Every container and leaf of a VARIANT as ``(*keys, path ARRAY, kind, value JSON)``.
+
+    A keyed list is a container of its items: an item with a name has the step ``[name]``, any other one a step
+    that no other row has. A key that itself starts with a bracket or a backslash gets a backslash in front. One step
+    per level: what a level holds is written and the next one starts from its containers, so the work
+    grows with the size of the definitions and nothing is cut off.
     """
     spark = definitions.sparkSession
-    level = definitions.select(*keys, F.expr("CAST(array() AS ARRAY<STRING>)").alias("path"), F.col(payload).alias("value"))
+    whole = definitions.select(*keys, F.expr("CAST(array() AS ARRAY<STRING>)").alias("path"), F.lit("object").alias("kind"), F.to_json(payload).alias("value"))
+    level = whole.where(F.schema_of_variant(F.parse_json("value")).startswith("OBJECT"))
     parts = []
     while True:
-        objects = level.where(F.schema_of_variant("value").startswith("OBJECT"))
-        if parts and objects.isEmpty():
+        containers = level.where("kind <> 'leaf'").withColumn("_in", F.parse_json("value"))
+        if parts and containers.isEmpty():
             break
-        exploded = objects.lateralJoin(
-            spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v"))
-        )
-        level = exploded.select(*keys, F.concat("path", F.array("_k")).alias("path"), F.col("_v").alias("value"))
+        inside = containers.lateralJoin(spark.tvf.variant_explode(F.col("_in").outer()).select(
+            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
+        of_list, shape = F.col("kind") == "list", F.schema_of_variant("_value")
+        name = F.when(shape.startswith("OBJECT"), F.try_variant_get("_value", "$.name", "string"))
+        item = F.concat(F.lit("["), F.coalesce(name, F.concat_ws(":", F.lit("#"), *[F.col(k).cast("string") for k in keys], "_pos")), F.lit("]"))
+        key = F.when(F.col("_key").rlike(r"^[\[\\]"), F.concat(F.lit("\\"), "_key")).otherwise(F.col("_key"))
+        kind = (
+            F.when(shape.startswith("OBJECT"), "object")
+            .when(shape.startswith("ARRAY") & ~of_list & F.col("_key").isin(*keyed_lists), "list").otherwise("leaf"))
+        level = materialise(inside.select(
+            *keys, F.concat("path", F.array(F.when(of_list, item).otherwise(key))).alias("path"), kind.alias("kind"), F.to_json("_value").alias("value")), "paths")
         parts.append(level)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    is_object = F.schema_of_variant("value").startswith("OBJECT")
-    return rows.select(*keys, "path", is_object.alias("is_object"), F.when(~is_object, F.to_json("value")).alias("value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _steps_above() -> Column:
+    """For every ancestor of a path: its own path, and the step from it towards the path."""
+    inner = F.when(F.size("path") > 1, F.sequence(F.lit(1), F.size("path") - 1))
+    return F.transform(inner, lambda i: F.struct(F.slice("path", F.lit(1), i).alias("above"), F.element_at("path", i + 1).alias("step")))
 
 
 def deep_merge(paths: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Merge layers of ``flatten_paths`` rows: objects merge key by key, everything else is replaced.
+    """Merge layers of ``flatten_paths`` rows: objects and keyed lists merge, everything else is replaced.
 
-    The last row of a path wins, unless a later layer put a plain value on one of its ancestors.
-    Result: leaf rows ``(*keys, path, value)``. All steps are aggregates and joins on (keys, path).
+    The last row of a path wins, unless a later layer put something of another kind on one of its ancestors.
+    Result: ``(*keys, path ARRAY, value JSON)`` for the leaves and for objects and lists with nothing in
+    them. All steps are aggregates and joins on (keys, path).
     """
     at = F.struct(*order)
-    last = paths.groupBy(*keys, "path").agg(
-        F.max_by(F.struct("is_object", "value"), at).alias("row"),
-        F.max(at).alias("at"),
-        F.max(F.when(~F.col("is_object"), at)).alias("leaf_at"),
-    )
-    last = materialise(last, "merged-paths")  # read three times below
-    cut = last.where("leaf_at IS NOT NULL").select(*keys, F.col("path").alias("above"), F.col("leaf_at").alias("cut_at"))
-    leaves = last.where("NOT row.is_object")
-    above = F.transform(
-        F.when(F.size("path") > 1, F.sequence(F.lit(1), F.size("path") - 1)), lambda i: F.slice("path", F.lit(1), i)
-    )
-    ancestors = leaves.select(*keys, "path", "at", F.explode(above).alias("above"))
-    covered = ancestors.join(cut, [*keys, "above"]).where(F.col("cut_at") > F.col("at")).select(*keys, "path").distinct()
-    return leaves.join(covered, [*keys, "path"], "left_anti").select(*keys, F.array_join("path", ".").alias("path"), F.col("row.value").alias("value"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, at))
+    last = materialise(paths.groupBy(*keys, "path").agg(
+        F.max_by(F.struct("kind", "value"), at).alias("row"), F.max(at).alias("at"),
+        of("object").alias("object_at"), of("list").alias("list_at"), of("leaf").alias("leaf_at")), "merged-paths")
+    cuts = last.select(*keys, F.col("path").alias("above"), F.greatest("list_at", "leaf_at").alias("ends_object"),
+                       F.greatest("object_at", "leaf_at").alias("ends_list")).where("leaf_at IS NOT NULL OR (list_at IS NOT NULL AND object_at IS NOT NULL)")
+    above = last.select(*keys, "path", "at", F.inline(_steps_above()))
+    cut_at = F.when(F.col("step").startswith("["), F.col("ends_list")).otherwise(F.col("ends_object"))
+    covered = above.join(cuts, [*keys, "above"]).where(cut_at > F.col("at")).select(*keys, "path").distinct()
+    alive = materialise(last.join(covered, [*keys, "path"], "left_anti").select(*keys, "path", "row.kind", "row.value"), "merged-alive")
+    filled = alive.select(*keys, F.inline(_steps_above())).select(*keys, F.col("above").alias("path")).distinct()
+    empty = alive.where("kind <> 'leaf'").join(filled, [*keys, "path"], "left_anti")
+    nothing = F.when(F.col("kind") == "object", "{}").otherwise("[]")
+    return alive.where("kind = 'leaf'").select(*keys, "path", "value").unionByName(empty.select(*keys, "path", nothing.alias("value")))
 
 
 def merged_list_order(items: DataFrame, owner: str, order: str, bucket: list[Column]) -> DataFrame:

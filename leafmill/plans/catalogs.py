@@ -103,7 +103,7 @@ UNION ALL SELECT name, 'requirements.limits.discount', '"' || CAST(arg_max(disco
 UNION ALL SELECT name, 'requirements.limits.supplier', CAST(arg_max(supplier, rn) AS VARCHAR) FROM live WHERE form = 'priced' AND rn > cut GROUP BY name""")
 def deep_merge_layers(spark, sf_dir):
     paths = cat.flatten_paths(_definition_files(spark, sf_dir), ["name", *FILE_ORDER])
-    return cat.deep_merge(paths, ["name"], FILE_ORDER)
+    return cat.deep_merge(paths, ["name"], FILE_ORDER).withColumn("path", F.array_join("path", "."))
 
 
 ITEMS_SQL = """raw AS (SELECT name AS owner, layer_rank AS layer, file_no, max(part) AS part, arg_max(discount, part * 100 + discount) AS discount FROM layers GROUP BY ALL),
