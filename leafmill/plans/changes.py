@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.model import STAGE_STATUS
@@ -130,11 +131,14 @@ def doc_add(spark, sf_dir):
         F.try_variant_get("attrs", "$.host", "string").alias("host"), F.try_variant_get("attrs", "$.size", "bigint").alias("size"))
 
 
-@query("new_ids")
+@query("new_ids", "SELECT 'inbox' AS status, url AS body, true AS is_uuid, 1 AS holders FROM pages")
 def new_ids(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     nothing = docs(spark, sf_dir).where("false")
-    return mu.create_documents(nothing, p.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("status"), F.col("url").alias("body"))).select("id", "status", "body")
+    made = mu.create_documents(nothing, p.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("status"), F.col("url").alias("body")))
+    form = F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    holders = F.count("*").over(Window.partitionBy("id")).cast("int")  # how many documents got the same id
+    return made.select("status", "body", form.alias("is_uuid"), holders.alias("holders"))
 
 
 _NEW_STATUS = "CASE event_type WHEN 'view' THEN 'done' WHEN 'click' THEN 'active' WHEN 'error' THEN 'broken' WHEN 'signup' THEN 'archived' ELSE 'blocked' END"

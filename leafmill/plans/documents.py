@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from leafmill.functions.attributes import attribute
 from leafmill.operators import filters as flt
 from leafmill.operators import projections as prj
+from leafmill.operators.ranking import running_number
 from leafmill.operators.requirements import AttributeCheck, ListCheck, attribute_check, list_check
-from leafmill.plans.inputs import DOC_REFS_SQL, DOC_TAGS_SQL, DOCS_SQL, FILE_REFS_SQL, ctes, docs
+from leafmill.plans.inputs import DOC_REFS_SQL, DOC_TAGS_SQL, DOCS_SQL, FILE_REFS_SQL, NUMBERED_STAGES_SQL, STAGES_SQL, ctes, docs, stages
 from leafmill.plans.registry import query
 
 D = ctes(DOCS_SQL)
@@ -327,6 +328,21 @@ def public_record(spark, sf_dir):
     return r.withColumn("n_file_refs", n).drop("_file_refs")
 
 
+@query("public_stage_record", ctes(STAGES_SQL) + "SELECT stage_id, name, status, CAST(doc_id AS VARCHAR) AS parent_id FROM stages")
+def public_stage_record(spark, sf_dir):
+    s = stages(spark, sf_dir).select("stage_id", "doc_id", "name", "status")
+    held = s.withColumn("parent", F.struct("doc_id", "name")).withColumn("_persisted", F.lit(True)).withColumn("_doc_file", F.lit("stage.md"))
+    return prj.public_stage_record(held).drop("doc_id")
+
+
+@query("locate_stage", ctes(DOCS_SQL, NUMBERED_STAGES_SQL) + """SELECT n.stage_id, concat('/data/', d.status, '/', n.doc_id, '/stages/', n.name, '/', n.counter, '/stage.md') AS path
+FROM numbered n JOIN docs d USING (doc_id)""")
+def locate_stage(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", F.col("status").alias("doc_status"))
+    placed = running_number(stages(spark, sf_dir), ["doc_id", "name"], ["ts", "seq"], [F.date_trunc("hour", "ts")], "counter")
+    return placed.join(held, "doc_id").select("stage_id", prj.stage_path("/data").alias("path"))
+
+
 @query("locate_path", D + "SELECT id, concat('/data/', status, '/', id, '/doc.md') AS path FROM docs")
 def locate_path(spark, sf_dir):
     return docs(spark, sf_dir).select("id", prj.document_path("/data").alias("path"))

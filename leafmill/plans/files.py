@@ -79,9 +79,13 @@ def stage_scan(spark, sf_dir):
 
 
 @query("attachment_manifest", ctes(NUMBERED_STAGES_SQL) + """SELECT CAST(doc_id AS VARCHAR) AS doc_id, name AS stage, counter, 'note.txt' AS filename, length('note ' || stage_id) AS length
-FROM numbered WHERE status = 'done' AND name <> 'error'""")
+FROM numbered WHERE status = 'done' AND name <> 'error'
+UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), NULL, NULL, 'about ' || doc_id || '.txt', length('of ' || doc_id) FROM numbered""")
 def attachment_manifest(spark, sf_dir):
-    return fm.attachments(spark, _written_stages(spark, sf_dir)).where("stage IS NOT NULL")
+    base = _written_stages(spark, sf_dir)
+    ids = numbered(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id")).distinct()
+    fm.write_files(ids.select(F.concat(F.lit("active/"), "id", F.lit("/about "), "id", F.lit(".txt")).alias("path"), F.concat(F.lit("of "), "id").alias("text")), base)
+    return fm.attachments(spark, base)
 
 
 def _catalog_texts(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
-        _local_base = _local_base or tempfile.mkdtemp(prefix="leafmill-")
+        if _local_base is None:
+            _local_base = tempfile.mkdtemp(prefix="leafmill-")
+            atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
         base = _local_base
     return f"{base.rstrip('/')}/leafmill/{purpose}-{uuid.uuid4().hex}"
 
