@@ -1,9 +1,9 @@
 """Stage evaluation: which stages every document starts, and the life cycle of existing stages.
 
 The existing stages are reduced to a few numbers per (document, definition) in one aggregation with
-map-side combine, joined to the documents once. The ordered pass over the definitions is then a chain
-of column expressions on that one row, so a stage started by an earlier definition counts for a
-later one without another shuffle.
+map-side combine, joined to the documents once. The facts of all definitions are one array of that
+row, and the ordered passes over them one ``aggregate`` over it, so a stage started by an earlier
+definition counts for a later one without another shuffle, and the plan grows in proportion to the definitions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.attributes import false_if_null
 from leafmill.model import OPEN_STAGE_STATUS
 from leafmill.operators.requirements import StageDefinition, needed_states, requirements_met
 
@@ -27,9 +28,6 @@ REASON_UNMET = "requirements not met"
 STARTED = "started"
 SKIPPED = "skipped"
 
-_LAST_ACTIVE = 2**53 + 1  # 2 * order + 1 of a stage that is newer than every stored one
-
-
 @dataclass(frozen=True)
 class Evaluation:
     """``outcomes``: (doc_id, pass, definition, outcome, reason, checked, counter);
@@ -92,41 +90,61 @@ def with_stage_summary(
     return joined.na.fill(zero).na.fill(False, [_has(n, s) for n, s in pairs])
 
 
-def _step(
-    rows: DataFrame, docs: DataFrame, d: StageDefinition, no: int, pairs, installed, allow_rerun: bool, on_save: bool
-) -> DataFrame:
-    """Decide one definition for every document and update the running state, in one projection."""
-    n, run = _c(_n(d.name)), _c(_run(d.name))
+_STATE = "struct<started:array<string>,status:string,stages:bigint,outcomes:array<struct<pass:int,definition:string,outcome:string,reason:string,checked:boolean,counter:bigint>>>"
+
+
+def _facts(docs: DataFrame, definitions: list[StageDefinition], pairs, installed) -> Column:
+    """One struct per definition: what is stored, and whether the requirements that no start changes are met."""
+
+    def stored_only(d: StageDefinition) -> Column:
+        needs = [(n, s) for n, s in (d.requirements.stages.items() if d.requirements else ())]
+        none = F.expr("CAST(array() AS ARRAY<STRUCT<stored: BOOLEAN, starts: STRING>>)")
+        # a stage that starts here is active; no other state of it comes about
+        given = [F.struct(_c(_has(n, s)).alias("stored"), F.lit(n if s == "active" else None).cast("string").alias("starts")) for n, s in needs]
+        return F.array(*given) if given else none
+
+    return F.array(*[
+        F.struct(
+            F.lit(d.name).alias("name"), _c(_n(d.name)).cast("bigint").alias("n"), _c(_run(d.name)).cast("bigint").alias("run"),
+            requirements_met(docs, d, installed, lambda name, status: F.lit(True)).alias("met"), stored_only(d).alias("needs"),
+            F.lit(d.no_eval).alias("no_eval"), F.lit(d.multiple_callable).alias("multiple"))
+        for d in definitions])
+
+
+def _decide(state: Column, cell: Column, allow_rerun: bool) -> Column:
+    """The state after one definition. ``started`` has a name for every start of this evaluation."""
+    at_once, f = cell["pass"] == 1, F.get(F.col("_facts"), cell["no"])
+    settled = F.get(F.col("_facts_active"), cell["no"])
     before, after = REASON_RUNNING.split("{}")
-    status_of_first = F.when(run % 2 == 1, F.lit("active")).otherwise(F.lit("scheduled"))
-    blocked = F.when(run.isNotNull(), F.concat(F.lit(before), status_of_first, F.lit(after)))
-    if not allow_rerun:
-        blocked = blocked.when(n > 0, F.lit(REASON_EXISTS + (REASON_RERUN_HINT if d.multiple_callable else "")))
-    elif not d.multiple_callable:
-        blocked = blocked.when(n > 0, F.lit(REASON_NOT_CALLABLE))
-    if d.no_eval:
-        blocked = blocked.otherwise(F.lit(REASON_NO_EVAL))
-    met = requirements_met(docs, d, installed, lambda name, status: _c(_has(name, status)))
-    in_scope = F.col("status").isin("inbox", "active") if on_save else F.lit(True)
-    started = in_scope & blocked.isNull() & met
-    outcome = F.struct(
-        F.lit(d.name).alias("definition"),
-        F.when(started, F.lit(STARTED)).otherwise(F.lit(SKIPPED)).alias("outcome"),
-        F.when(~started, F.coalesce(blocked, F.lit(REASON_UNMET))).alias("reason"),
-        blocked.isNull().alias("checked"),
-        F.when(started, n + 1).alias("counter"),
-    )
-    update = {
-        f"_outcome{no}": F.when(in_scope, outcome),
-        _n(d.name): F.when(started, n + 1).otherwise(n),
-        # A started stage is active, and the greatest of its name.
-        _run(d.name): F.when(started, F.lit(_LAST_ACTIVE)).otherwise(run),
-        "_stages": F.when(started, F.col("_stages") + 1).otherwise(F.col("_stages")),
-        "status": F.when(started & (F.col("status") == "inbox"), F.lit("active")).otherwise(F.col("status")),
-    }
-    if (d.name, "active") in pairs:
-        update[_has(d.name, "active")] = started | _c(_has(d.name, "active"))
-    return rows.withColumns(update)
+    times = F.size(F.filter(state["started"], lambda x: x == f["name"]))
+    n = f["n"] + times
+    open_status = F.when((times > 0) | (f["run"] % 2 == 1), F.lit("active")).when(f["run"].isNotNull(), F.lit("scheduled"))
+    exists = F.concat(F.lit(REASON_EXISTS), F.when(f["multiple"], F.lit(REASON_RERUN_HINT)).otherwise(F.lit("")))
+    rerun = at_once if allow_rerun else F.lit(False)
+    blocked = (
+        F.when(open_status.isNotNull(), F.concat(F.lit(before), open_status, F.lit(after)))
+        .when((n > 0) & ~rerun, exists).when((n > 0) & ~f["multiple"], F.lit(REASON_NOT_CALLABLE)).when(f["no_eval"], F.lit(REASON_NO_EVAL)))
+    needs = F.forall(f["needs"], lambda x: x["stored"] | F.coalesce(F.array_contains(state["started"], x["starts"]), F.lit(False)))
+    met = F.when(state["status"] == F.col("_old_status"), f["met"]).otherwise(settled["met"]) & needs
+    # the passes of a save look at inbox and active documents only
+    in_scope = at_once | false_if_null(state["status"].isin("inbox", "active"))
+
+    def moved(x: Column) -> Column:
+        started = in_scope & x["blocked"].isNull() & x["met"]
+        outcome = F.struct(
+            cell["pass"].alias("pass"), f["name"].alias("definition"), F.when(started, F.lit(STARTED)).otherwise(F.lit(SKIPPED)).alias("outcome"),
+            F.when(~started, F.coalesce(x["blocked"], F.lit(REASON_UNMET))).alias("reason"), x["blocked"].isNull().alias("checked"),
+            F.when(started, x["n"] + 1).alias("counter"))
+        stages = state["stages"] + started.cast("bigint")
+        # any stage, new or old, makes an inbox document active: a new one at once, an old one after the pass
+        wakes = (state["status"] == "inbox") & (started | (cell["last"] & (stages > 0)))
+        return F.struct(
+            F.when(started, F.array_append(state["started"], f["name"])).otherwise(state["started"]).alias("started"),
+            F.when(wakes, F.lit("active")).otherwise(state["status"]).alias("status"), stages.alias("stages"),
+            F.when(in_scope, F.array_append(state["outcomes"], outcome)).otherwise(state["outcomes"]).alias("outcomes")).cast(_STATE)
+
+    # a one-element array binds what is used several times to a name
+    return F.transform(F.array(F.struct(blocked.alias("blocked"), met.alias("met"), n.alias("n"))), moved)[0]
 
 
 def evaluate_stages(
@@ -155,25 +173,23 @@ def evaluate_stages(
     involved = active if passes > 1 else chosen
     pairs = needed_states(involved)
     rows = with_stage_summary(docs, stages, involved, order).withColumn("_old_status", F.col("status"))
-    no = 0
+    rows = rows.withColumn("_facts", _facts(docs, involved, pairs, installed))
+    if any(c.attribute == "status" for d in involved if d.requirements for c in d.requirements.attribute_checks):
+        # a requirement on the status is met or not as the status goes from inbox to active
+        rows = rows.withColumn("status", F.lit("active")).withColumn("_facts_active", _facts(docs, involved, pairs, installed)).withColumn("status", F.col("_old_status"))
+    else:
+        rows = rows.withColumn("_facts_active", F.col("_facts"))
+    place = {d.name: i for i, d in enumerate(involved)}
     cells = []
     for p in range(1, passes + 1):
-        # The passes of a save look at every definition, but only for inbox and active documents.
-        on_save = p > 1
-        for d in active if on_save else chosen:
-            rows = _step(rows, docs, d, no, pairs, installed, allow_rerun and not on_save, on_save)
-            made = F.struct(F.lit(p).alias("pass"), F.col(f"_outcome{no}.*"))
-            cells.append(F.when(_c(f"_outcome{no}").isNotNull(), made))
-            no += 1
-        # Any stage, new or old, makes an inbox document active.
-        rows = rows.withColumn(
-            "status", F.when((F.col("status") == "inbox") & (F.col("_stages") > 0), F.lit("active")).otherwise(F.col("status"))
-        )
-    outcomes = rows.select("doc_id", F.inline(F.array_compact(F.array(*cells))))
-    documents = rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns], (F.col("status") != F.col("_old_status")).alias("status_changed")
-    )
-    return Evaluation(outcomes, documents)
+        looked_at = active if p > 1 else chosen
+        cells += [F.struct(F.lit(p).alias("pass"), F.lit(place[d.name]).alias("no"), F.lit(d is looked_at[-1]).alias("last")) for d in looked_at]
+    start = F.struct(F.expr("CAST(array() AS ARRAY<STRING>)").alias("started"), F.col("status").alias("status"), F.col("_stages").cast("bigint").alias("stages"),
+                     F.array().cast("array<struct<pass:int,definition:string,outcome:string,reason:string,checked:boolean,counter:bigint>>").alias("outcomes"))
+    rows = rows.withColumn("_end", F.aggregate(F.array(*cells), start, lambda state, cell: _decide(state, cell, allow_rerun)))
+    outcomes = rows.select("doc_id", F.inline("_end.outcomes"))
+    kept = [F.col("_end.status").alias("status") if c == "status" else F.col(f"`{c}`") for c in docs.columns]
+    return Evaluation(outcomes, rows.select(*kept, (F.col("_end.status") != F.col("_old_status")).alias("status_changed")))
 
 
 def evaluation_scope(docs: DataFrame, status: str | None = "inbox", doc_id=None) -> DataFrame:
