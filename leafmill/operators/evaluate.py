@@ -187,7 +187,8 @@ def evaluate_stages(
     start = F.struct(F.expr("CAST(array() AS ARRAY<STRING>)").alias("started"), F.col("status").alias("status"), F.col("_stages").cast("bigint").alias("stages"),
                      F.array().cast("array<struct<pass:int,definition:string,outcome:string,reason:string,checked:boolean,counter:bigint>>").alias("outcomes"))
     rows = rows.withColumn("_end", F.aggregate(F.array(*cells), start, lambda state, cell: _decide(state, cell, allow_rerun)))
-    outcomes = rows.select("doc_id", F.inline("_end.outcomes"))
+    # not ``inline``: its test for an empty list would be pushed below and evaluate everything a second time
+    outcomes = rows.select("doc_id", F.inline_outer("_end.outcomes")).where("definition IS NOT NULL")
     kept = [F.col("_end.status").alias("status") if c == "status" else F.col(f"`{c}`") for c in docs.columns]
     return Evaluation(outcomes, rows.select(*kept, (F.col("_end.status") != F.col("_old_status")).alias("status_changed")))
 
