@@ -161,7 +161,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     # one row per bin that can still take something: its first piece stands for it
     left = packed.where((F.col("offset") == 0) & (F.col("fill") < length - SLACK)).select("bin", "fill")
-    moves, tasks = None, packed.rdd.getNumPartitions()
+    # the number of the task that made a bin is in its name
+    moves, tasks = None, (packed.agg(F.max(F.shiftright("bin", 36)).alias("task")).first().task or 0) + 1
     while True:
         tasks = -(-tasks // FAN_IN)
         folder = shared_folder(spark, "packing-round")

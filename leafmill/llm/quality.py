@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import words
+from leafmill.session import materialise
 
 BITS = 18
 GRAMS = (3, 4)
@@ -97,9 +98,11 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column,
     total = named.count()
     share = min(1.0, (1.5 * rows + 1000) / max(1, total))
     few = named.where(F.pmod("place", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("place").limit(rows)
-    texts = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place"))
-    sums = texts.select("*", F.expr("sum(length(text)) OVER (ORDER BY place, doc_id)").alias("sum"))
-    return sums.where((F.col("sum") <= characters) & F.col("text").isNotNull()).orderBy("place", "doc_id").select("text", "label")
+    texts = materialise(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
+        F.max("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place")).where("text IS NOT NULL"), "sample")
+    sums = texts.select("doc_id", F.expr("sum(char_length(text)) OVER (ORDER BY place, doc_id)").alias("sum"))
+    chosen = sums.where(F.col("sum") <= characters).select("doc_id")  # at most ``rows`` ids
+    return texts.join(F.broadcast(chosen), "doc_id").orderBy("place", "doc_id").select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None,
