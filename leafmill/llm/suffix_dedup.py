@@ -27,6 +27,7 @@ shorter than LENGTH stay. Rows that repeat have the same result. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import words
-from leafmill.session import materialise
+from leafmill.session import shared_folder
 
 LENGTH = 50
 #: Bytes of an anchor.
@@ -47,20 +48,27 @@ MANY = 4000
 _LEAST = -(1 << 63)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back. The driver's garbage goes then, and with it the shuffle files of the step."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---- suffix sorting ----------------------------------------------------------------------------------------------------
 
 
-def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of ``keys`` (first key first), and the number from 1 of each row among the different rows."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for k in keys:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
-    name = np.empty(len(order), np.int64)
+def _names(keys: np.ndarray) -> np.ndarray:
+    """The number from 1 of each key among the different ones, in their order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    name = np.empty(len(keys), np.int64)
     name[order] = np.cumsum(new)
-    return order, name
+    return name
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -73,10 +81,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    if s.max() < 1 << 20:
-        _, name = _dense(s[sample] << 40 | s[sample + 1] << 20 | s[sample + 2])
+    high = int(s.max()) + 1
+    if high < 1 << 20:
+        name = _names((s[sample] * high + s[sample + 1]) * high + s[sample + 2])
     else:
-        _, name = _dense(s[sample], s[sample + 1], s[sample + 2])
+        name = _names(_names(s[sample] * high + s[sample + 1]) * high + s[sample + 2])
     if name.max() < len(sample):
         sorted_sample = sample[suffix_array(name)]
     else:
@@ -85,14 +94,14 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank[sorted_sample] = np.arange(1, len(sorted_sample) + 1)
     sorted_sample = sorted_sample[sorted_sample < n]
     zero = np.arange(0, n, 3)
-    _, head = _dense(s)  # symbols as small numbers, so that two of them and a rank fit in a word
     wide = n + 4
-    key = head[zero] * wide + rank[zero + 1]
-    zero = zero[np.argsort(key, kind="stable")]
+    zero = zero[np.argsort(s[zero] * wide + rank[zero + 1])]
     first, second = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     # how many sampled suffixes come before each other one: compared by as many symbols as lead both to sampled places
-    before = np.searchsorted(head[first] * wide + rank[first + 1], head[zero] * wide + rank[zero + 1])
-    _, pair = _dense(head[:-1], head[1:])
+    before = np.searchsorted(s[first] * wide + rank[first + 1], s[zero] * wide + rank[zero + 1])
+    pair = s[:-1] * high + s[1:]
+    if high * high * wide >= 1 << 62:
+        pair = _names(pair)  # two symbols and a rank have to fit in a word
     before += np.searchsorted(pair[second] * wide + rank[second + 2], pair[zero] * wide + rank[zero + 2])
     out = np.empty(n, np.int64)
     place = before + np.arange(len(zero))
@@ -278,6 +287,11 @@ def _sort_bucket(length: int):
     """For each context of a bucket a mask of its strings that also start in a text with a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
+        # an anchor with one context has nothing to sort
+        _, kind, times = np.unique(table["name"].to_numpy(), return_inverse=True, return_counts=True)
+        table = table.filter(pa.array(times[kind.reshape(-1)] > 1))
+        if not table.num_rows:
+            return pa.table({"name": table["name"], "hash": table["hash"], "mask": pa.array([], pa.int64())})
         contexts, ids, n = table["context"].to_pylist(), table["id"].to_numpy(), table["n"].to_numpy()
         size = np.array([len(c) for c in contexts], np.int64)
         # a sign of its own ends each context; no string covers it
@@ -342,31 +356,32 @@ def _cut(length: int):
 
 def _hits(contexts: DataFrame, length: int, gram: int, many: int, bucket: int) -> DataFrame:
     """id, text_id, part, start, mask: the strings that also start in a text with a smaller id."""
-    level = 0
+    level, whole = 0, [contexts]  # contexts and the pieces of those that are cut; together they are all strings
     while True:
-        # equal contexts once, with the least id that has them
-        distinct = materialise(contexts.groupBy("name", "hash").agg(
-            F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("n").alias("n"), F.first("context").alias("context")), "contexts")
-        sizes = distinct.groupBy("name").agg(F.count("*").alias("contexts"))
+        sizes = whole[-1].groupBy("name").agg(F.count_distinct("hash").alias("contexts"))
         large = sizes.where(F.col("contexts") > many).select("name")
-        if (1 << level) > length - gram or large.isEmpty():
+        if large.isEmpty():
             break
         level += 1
-        large = materialise(large, "large")
-        cut = contexts.join(large, "name").select(contexts.columns).mapInArrow(_halves(length, level, gram), _CONTEXTS)
-        contexts = materialise(contexts.join(large, "name", "left_anti").select(contexts.columns).union(cut), "contexts")
-    # an anchor with one context has nothing to sort: only the least id matters
-    several = sizes.where(F.col("contexts") > 1).select("name")
-    sorting = distinct.join(several, "name")
-    total = sorting.agg(F.sum(F.octet_length("context") + 1).alias("bytes")).first().bytes or 0
+        large = written(large, "large")
+        last = whole.pop()
+        whole.append(last.join(large, "name", "left_anti").select(contexts.columns))
+        whole.append(written(last.join(large, "name").select(contexts.columns).mapInArrow(_halves(length, level, gram), _CONTEXTS), "contexts"))
+    contexts = reduce(DataFrame.union, whole)
+    # equal contexts once, with the least id that has them
+    distinct = written(contexts.groupBy("name", "hash").agg(
+        F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("n").alias("n"), F.first("context").alias("context")), "distinct")
+    total = distinct.agg(F.sum(F.octet_length("context") + 1).alias("bytes")).first().bytes or 0
     buckets = max(1, -(-total // bucket))
     masks = (
-        sorting.select("name", "hash", "id", "n", "context").groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket"))
+        distinct.select("name", "hash", "id", "n", "context").groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket"))
         .applyInArrow(_sort_bucket(length), "name bigint, hash bigint, mask bigint").where(F.col("mask") != 0))
-    known = materialise(
+    masks = written(masks, "masks")
+    known = (
         distinct.select("name", "hash", F.col("id").alias("least"), "last_id").join(masks, ["name", "hash"], "left")
         .where((F.col("last_id") > F.col("least")) | F.col("mask").isNotNull())
-        .select("name", "hash", "least", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")), "masks")
+        .select("name", "hash", "least", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")))
+    known = written(known, "known")
     every = F.expr("shiftleft(1L, n) - 1")
     return (
         contexts.select("name", "hash", "id", "text_id", "part", "start", "n").join(known, ["name", "hash"])
@@ -382,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     number = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LEAST))
     rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), number.alias("id"), text.alias("text"))
-    digests = materialise(rows.groupBy("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(
+    digests = written(rows.groupBy("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(
         F.max(F.xxhash64("text")).alias("text_id"), F.max(F.octet_length("text")).cast("bigint").alias("size"), F.count("*").alias("n")), "digests")
     total = digests.agg(F.sum(F.col("size") * F.col("n")).alias("bytes")).first().bytes or 0
     parts, exchanges = max(1, -(-total // part)), max(1, total // (2 * exchange))  # an anchor's hash for about 16 bytes
@@ -394,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = placed.select("part", "text").mapInArrow(_requests(length, gram, exchanges), "part bigint, exchange bigint, once binary, more binary")
     replies = asked.groupBy("exchange").applyInArrow(_replies, "part bigint, names binary")
     notes = replies.unionByName(copies, allowMissingColumns=True)
-    contexts = materialise(placed.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_contexts(length, gram), _CONTEXTS), "contexts")
-    hits = _hits(contexts, length, gram, many, bucket).unionByName(copies, allowMissingColumns=True)
+    contexts = written(placed.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_contexts(length, gram), _CONTEXTS), "contexts")
+    hits = written(_hits(contexts, length, gram, many, bucket).unionByName(copies, allowMissingColumns=True), "hits")
     return placed.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(
         _cut(length), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
