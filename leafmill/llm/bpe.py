@@ -123,9 +123,8 @@ class Codec:
         encoder = PrefixEncoder(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
                                 model["end_of_word_suffix"] or "")
         self.letters = words.byte_letters()
-        self.word = lambda w: encoder(w.encode().decode("latin-1").translate(self.letters))
-        self.shown = encoder
-        self.known = words.WordIds(self.word)
+        self.encoder = encoder
+        self.known = words.WordIds(lambda w: encoder(w.encode().decode("latin-1").translate(self.letters)))
         self.names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
 
@@ -138,7 +137,7 @@ class Codec:
             elif part:
                 plain = self.library.normalizer.normalize_str(part)
                 for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
-                    ids += self.shown(word)
+                    ids += self.encoder(word)  # the library gives words in byte letters
         return np.array(ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -233,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         return out.otherwise(value)
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    may = text.rlike("[0-9@]") | text.rlike("(?i)passw|secret|token|api_?key")  # nothing else can hold a value
+    may = text.rlike("[0-9@]") | text.rlike("(?i)passw|secret|token|api_?key|a[ks]ia")  # nothing else can hold a value
     rows = docs.withColumn("__found", F.when(may, found)).withColumn("__new", F.transform("__found", change))
     # the texts between the values, and the values, in turn
     pieces = F.zip_with(F.split(text, _pattern(), -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
