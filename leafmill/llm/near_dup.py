@@ -139,20 +139,25 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, te
     return texts.mapInArrow(run, "digest binary, shingles binary").join(classes.select("digest", "size"), "digest").dropDuplicates(["digest"])
 
 
+def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in small pieces, since each row brings a whole set along."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _split(large: DataFrame) -> DataFrame:
     """parent, node, digest: the children of each member of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = [np.frombuffer(x, np.uint64) for x in batch["shingles"].to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            hashes, nodes = np.concatenate(sets), batch["node"].to_numpy().view(np.uint64)
-            for k in range(BRANCHES):
-                yield pa.RecordBatch.from_arrays(
-                    [batch["node"], pa.array(children(hashes, bounds, nodes, k).view(np.int64)), batch["digest"], batch["members"]],
-                    names=["parent", "node", "digest", "parent_members"])
+            for part in _few(batch):
+                sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                hashes, nodes = np.concatenate(sets), part["node"].to_numpy().view(np.uint64)
+                for k in range(BRANCHES):
+                    yield pa.RecordBatch.from_arrays(
+                        [part["node"], pa.array(children(hashes, bounds, nodes, k).view(np.int64)), part["digest"], part["members"]],
+                        names=["parent", "node", "digest", "parent_members"])
 
     return large.select("node", "digest", "members", "shingles").mapInArrow(run, "parent bigint, node bigint, digest binary, parent_members bigint")
 
@@ -225,13 +230,12 @@ def _compare_tiles(similarity: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if rows and (row["leaf"], row["tile"]) != (rows[0]["leaf"], rows[0]["tile"]):
-                    if (out := made(rows)) is not None:
-                        yield out
-                    rows = []
-                rows.append(row)
+        for row in (row for batch in batches for part in _few(batch) for row in part.to_pylist()):
+            if rows and (row["leaf"], row["tile"]) != (rows[0]["leaf"], rows[0]["tile"]):
+                if (out := made(rows)) is not None:
+                    yield out
+                rows = []
+            rows.append(row)
         if (out := made(rows)) is not None:
             yield out
 

@@ -10,7 +10,7 @@ import numpy as np
 import regex
 
 #: Code points of a slice; a longer text is a slice of its own.
-SLICE = 3_000_000
+SLICE = 1_000_000
 #: Distinct words whose ids a worker keeps.
 KEPT_WORDS = 400_000
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
