@@ -56,6 +56,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*done: DataFrame) -> None:
+    """Delete what ``written`` wrote, once the steps that read it are written themselves."""
+    for df in done:
+        jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 # ---- suffix sorting ----------------------------------------------------------------------------------------------------
 
 
@@ -382,6 +391,7 @@ def _hits(contexts: DataFrame, length: int, gram: int, many: int, bucket: int) -
         .where((F.col("last_id") > F.col("least")) | F.col("mask").isNotNull())
         .select("name", "hash", "least", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")))
     known = written(known, "known")
+    discard(distinct, masks)
     every = F.expr("shiftleft(1L, n) - 1")
     return (
         contexts.select("name", "hash", "id", "text_id", "part", "start", "n").join(known, ["name", "hash"])
@@ -411,5 +421,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     notes = replies.unionByName(copies, allowMissingColumns=True)
     contexts = written(placed.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_contexts(length, gram), _CONTEXTS), "contexts")
     hits = written(_hits(contexts, length, gram, many, bucket).unionByName(copies, allowMissingColumns=True), "hits")
+    discard(contexts)
     return placed.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(
         _cut(length), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
