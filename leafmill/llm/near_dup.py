@@ -27,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -244,7 +244,10 @@ def _compare_tiles(similarity: Fraction):
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of ``edges`` (a, b)."""
-    both = materialise(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), "edges")
+    # a node with many edges keeps the one to its least neighbour, which takes over the others
+    least = edges.distinct().withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    fewer = least.select("a", F.col("least").alias("b")).union(least.where(F.col("b") != F.col("least")).select("b", "least")).distinct()
+    both = materialise(fewer.union(fewer.select("b", "a")).toDF("a", "b").distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
