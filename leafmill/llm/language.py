@@ -118,10 +118,10 @@ class Languages:
         low = [t.lower() for t in texts]
         points = words.code_points("".join(low))
         kind = words.classes(points)
-        table = np.zeros(words.TABLE + 1, np.int64)
+        table = np.zeros(words.TABLE, np.int64)
         for c, code in self.codes.items():
             table[c] = code
-        code = np.where(kind == words.LETTER, table[np.minimum(points, words.TABLE)], _BLANK)
+        code = np.where(kind == words.LETTER, table[points], _BLANK)
         text = np.repeat(np.arange(len(texts)), [len(t) for t in low])
         keep = np.ones(len(code), bool)
         keep[1:] = ~((code[1:] == _BLANK) & (code[:-1] == _BLANK) & (text[1:] == text[:-1]))

@@ -16,18 +16,19 @@ KEPT_WORDS = 400_000
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 #: Above it, classes come from a table that not every library shares; see ``same_classes``.
 COMMON = 0x558
-TABLE = 0x3000
+#: Number of code points.
+TABLE = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNCOMMON = regex.compile(rf"[^\u0000-\u{COMMON - 1:04x}‐-⁠]")
 
 
 @cache
 def class_table() -> np.ndarray:
-    """Class of each code point below TABLE; from there on everything counts as a letter."""
-    table = np.full(TABLE + 1, LETTER, np.uint8)
-    for c in range(TABLE):
-        s = chr(c)
-        table[c] = SPACE if regex.match(r"\s", s) else LETTER if regex.match(r"\p{L}", s) else DIGIT if regex.match(r"\p{N}", s) else OTHER
+    """Class of each code point."""
+    table, every = np.full(TABLE, OTHER, np.uint8), "".join(map(chr, range(TABLE)))
+    for kind, form in ((DIGIT, r"\p{N}+"), (LETTER, r"\p{L}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(form, every):
+            table[run.start() : run.end()] = kind
     return table
 
 
@@ -53,7 +54,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 def classes(points: np.ndarray) -> np.ndarray:
-    return class_table()[np.minimum(points, TABLE)]
+    return class_table()[points]
 
 
 def bounds_of(texts: list[str]) -> np.ndarray:

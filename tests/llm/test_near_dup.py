@@ -40,6 +40,18 @@ def test_given_documents(spark):
     check(spark, table("documents", "doc_id, text"))
 
 
+def test_signs_beyond_the_basic_letters(spark):
+    clauses = ["今天天气很好", "我们去公园散步", "花儿都开了", "孩子们在唱歌", "ひるごはん", "カタカナ", "한국어 문장", "𠀀𠀁", "٣٤", "देश"]
+    long = [f"{c}{k}" for k in range(6) for c in clauses]
+    other = ["变" + c if k == 30 else c for k, c in enumerate(long)]
+    plain = [f"word{k}" for k in range(40)]
+    rows = [(1, "。".join(long)), (2, "，".join(long)), (3, "、".join(other)), (4, "\u3000".join(other) + "！"), (5, " ".join(plain)),
+            (6, " ".join(w + "\U0001f600" for w in plain)), (7, "\U0001f680".join(plain[1:])), (8, "。、，"), (9, "\U0001f600 \U0001f680"), (10, "\u3000")]
+    check(spark, rows)
+    sets = word_sets(rows)
+    assert sets[0] == sets[1] and sets[4] == sets[5] and not any(sets[7:])
+
+
 def test_representatives(spark):
     rows = [(i, t, "x", i) for i, t in made_rows()] + [(150, "again " * 9, "y", 1), (None, "alone in the world it is", "z", 2), (None, "alone in the world it is", "z", 2)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string, n int")
