@@ -23,11 +23,19 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Countries by the length of their account numbers.
+_COUNTRIES = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV",
+              22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "AO|CV|GW|LY|MZ|PT|ST",
+              26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+              28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+#: Accounts of known length end there; others may take words after them along, which the check leaves out.
+_ACCOUNTS = [f"(?:{names})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _RIGHT
+             for n, names in _COUNTRIES.items()]
 #: What a value looks like, by kind, in the order in which they are tried at a place.
 FORMS = {
-    "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "mail": r"[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<=(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?)[A-Za-z0-9]{8,}|(?:AKIA|ASIA)[A-Z0-9]{16}",
-    "account": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "account": "|".join(_ACCOUNTS) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "address": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}",
     "social": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -37,7 +45,8 @@ FORMS = {
 
 
 def _pattern() -> str:
-    left = {"mail": r"(?<![A-Za-z0-9._%+@-])", "address": r"(?<![\p{L}\p{N}.])", "phone": r"(?<![\p{L}\p{N}+(])", "secret": ""}
+    # signs before a mail address are taken along and stay: a search that began at each letter after one would be quadratic
+    left = {"mail": r"(?<![A-Za-z0-9._%+-])(?:(?<!@)|(?=[._%+-]))", "address": r"(?<![\p{L}\p{N}.])", "phone": r"(?<![\p{L}\p{N}+(])", "secret": ""}
     return "|".join(left.get(k, _LEFT) + f"(?:{form})" + _RIGHT for k, form in FORMS.items())
 
 
@@ -142,14 +151,23 @@ def _card(key: Column, value: Column) -> Column:
 
 
 def _account(key: Column, value: Column) -> Column:
-    def checked(bare: Column) -> Column:
-        country, body = F.substring(bare, 1, 2), F.substr(bare, F.lit(5))
-        right = (F.length(bare).between(15, 34)) & (_remainder97(F.concat(body, F.substring(bare, 1, 4))) == 1)
-        new = _bound(_permuted(key, "account", body), lambda b: F.concat(
+    def right(bare: Column) -> Column:
+        return F.length(bare).between(15, 34) & (_remainder97(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))) == 1)
+
+    def made(bare: Column) -> Column:
+        country = F.substring(bare, 1, 2)
+        return _bound(_permuted(key, "account", F.substr(bare, F.lit(5))), lambda b: F.concat(
             country, F.lpad((98 - _remainder97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        return F.when(right, _bound(new, lambda n: _dressed(value, n))).otherwise(value)
 
-    return _bound(_bare(value), checked)
+    def changed(head: Column) -> Column:
+        new = _bound(made(_bare(head)), lambda n: F.concat(_dressed(head, n), F.substr(value, F.length(head) + 1)))
+        return F.when(head.isNull(), value).otherwise(new)
+
+    # the longest run of words from the first on that passes; what follows stays
+    parts = F.split(value, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " "))
+    good = F.filter(heads, lambda h: _bound(_bare(h), right))
+    return _bound(F.try_element_at(good, F.lit(-1)), changed)
 
 
 def _address(key: Column, value: Column) -> Column:
