@@ -5,7 +5,8 @@ automaton: a phrase is the longest match from where the last one ended. The fewe
 is to the language; phrases times the bits that name a place in the sample, per character, estimate the
 cross entropy, and the language with the least wins (of equal ones, the first by name).
 
-Texts are read in lower case; runs of anything but letters are one blank. The sample is ``passages`` passages of
+Texts are read in lower case; runs of anything but letters are one blank. Every letter of the sample is a symbol of its
+own; a letter that no sample has is a phrase in every language. The sample is ``passages`` passages of
 ``length`` characters per language, from documents and places that hashes of the id choose; it bounds the automata (at
 most two states a character) whatever the size of the corpus. Whole texts are parsed, in blocks of BLOCK
 characters that begin a phrase of their own; all blocks of a slice go through an automaton in step, one array
@@ -18,8 +19,7 @@ rows are scored like others and may teach twice; an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,15 +33,19 @@ from leafmill.llm import words
 UNKNOWN = "und"
 #: Passages of a language and characters in each: the bound of the sample.
 PASSAGES, PASSAGE_LENGTH = 400, 100
-#: Letters with a code of their own; others share one.
-LETTERS = 44
+#: Moves of all languages together that are held as tables; if there are more, they are looked up among those that exist.
+TABLES = 1 << 26
 BLOCK = 256
 _OTHER, _BLANK, _PAD, _FIRST = 0, 1, 2, 3
 _NEW = 1 << 30
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Moves of the automaton of all substrings, one row per state, -1 where there is none. State 0 is the empty string."""
+#: The next states, and 1 where a phrase begins, for states and the symbols they meet.
+Step = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Moves of the automaton of all substrings, by state. State 0 is the empty string."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -68,6 +72,12 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[new] = copy
         last = new
+    return moves
+
+
+def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
+    """The moves as a table, one row per state, -1 where there is none."""
+    moves = automaton_moves(symbols)
     table = np.full((len(moves), size), -1, np.int32)
     for state, row in enumerate(moves):
         for c, target in row.items():
@@ -87,6 +97,36 @@ def parser(symbols: list[int], size: int) -> tuple[np.ndarray, int]:
     return out.astype(np.int32).reshape(-1), begin * size
 
 
+def table_step(symbols: list[int], size: int) -> tuple[Step, int]:
+    """Parsing by a table of all moves, and the state in which it begins."""
+    moves, begin = parser(symbols, size)
+
+    def step(state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = moves.take(state + row).astype(np.int64)
+        return found & (_NEW - 1), found >> 30
+
+    return step, begin
+
+
+def search_step(symbols: list[int], size: int) -> tuple[Step, int]:
+    """The same by a search among the moves that exist, at most three a character of the sample."""
+    moves = automaton_moves(symbols)
+    begin = len(moves)
+    # the last one is beyond every place to look
+    keys = np.array([state * size + c for state, row in enumerate(moves) for c in sorted(row)] + [(begin + 1) * size], np.int64)
+    targets = np.array([row[c] for row in moves for c in sorted(row)] + [begin], np.int64)
+    fresh = np.full(size, begin, np.int64)
+    fresh[list(moves[0])] = list(moves[0].values())
+
+    def step(state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, stays = state * size + row, row == _PAD
+        at = np.searchsorted(keys, key)
+        goes = keys[at] == key
+        return np.where(stays, state, np.where(goes, targets[at], fresh[row])), ~(goes | stays)
+
+    return step, begin
+
+
 @dataclass
 class Languages:
     names: list[str]
@@ -94,23 +134,33 @@ class Languages:
     samples: list[list[int]]
 
     def __post_init__(self):
-        self._parsers: list[tuple[np.ndarray, int]] | None = None
+        self._parsers: list[tuple[np.ndarray, Step, int]] | None = None
+        self._table: np.ndarray | None = None
 
     def __getstate__(self):
         return self.names, self.codes, self.samples
 
     def __setstate__(self, state):
         self.names, self.codes, self.samples = state
-        self._parsers = None
+        self.__post_init__()
 
     @property
     def size(self) -> int:
         return _FIRST + len(self.codes)
 
     @property
-    def parsers(self) -> list[tuple[np.ndarray, int]]:
+    def parsers(self) -> list[tuple[np.ndarray, Step, int]]:
+        """For each language its own number of every symbol (letters that its sample lacks share one), the step and the first state."""
         if self._parsers is None:
-            self._parsers = [parser(s, self.size) for s in self.samples]
+            letters = [[c for c in sorted(set(s)) if c >= _FIRST] for s in self.samples]
+            # an automaton has at most two states a character
+            whole = sum(2 * (len(s) + 1) * (_FIRST + len(x)) for s, x in zip(self.samples, letters, strict=True)) <= TABLES
+            self._parsers = []
+            for sample, own in zip(self.samples, letters, strict=True):
+                number = np.zeros(self.size, np.int64)
+                number[:_FIRST] = range(_FIRST)
+                number[own] = np.arange(_FIRST, _FIRST + len(own))
+                self._parsers.append((number, *(table_step if whole else search_step)(number[sample].tolist(), _FIRST + len(own))))
         return self._parsers
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +168,10 @@ class Languages:
         low = [t.lower() for t in texts]
         points = words.code_points("".join(low))
         kind = words.classes(points)
-        table = np.zeros(words.TABLE, np.int64)
-        for c, code in self.codes.items():
-            table[c] = code
-        code = np.where(kind == words.LETTER, table[points], _BLANK)
+        if self._table is None:
+            self._table = np.zeros(words.TABLE, np.int32)
+            self._table[list(self.codes)] = list(self.codes.values())
+        code = np.where(kind == words.LETTER, self._table[points], _BLANK)
         text = np.repeat(np.arange(len(texts)), [len(t) for t in low])
         keep = np.ones(len(code), bool)
         keep[1:] = ~((code[1:] == _BLANK) & (code[:-1] == _BLANK) & (text[1:] == text[:-1]))
@@ -141,14 +191,12 @@ class Languages:
         matrix[place % BLOCK, first[text] + place // BLOCK] = code
         of = np.repeat(np.arange(len(texts)), per)
         bits = np.empty((len(self.names), len(texts)))
-        for k, (moves, begin) in enumerate(self.parsers):
+        for k, (number, step, begin) in enumerate(self.parsers):
             state = np.full(matrix.shape[1], begin, np.int64)
             phrases = np.zeros(matrix.shape[1], np.int64)
             for row in matrix:
-                state += row
-                state = moves.take(state).astype(np.int64)
-                phrases += state >> 30
-                state &= _NEW - 1
+                state, new = step(state, number.take(row))
+                phrases += new
             bits[k] = np.bincount(of, phrases, len(texts)) * np.log2(len(self.samples[k]) + 2)
         best = bits.argmin(axis=0)
         share = 1 / np.exp2(np.clip(bits.min(axis=0) - bits, -1000, 0)).sum(axis=0)
@@ -173,9 +221,9 @@ def learn(docs: DataFrame, usable: Column, passages: int = PASSAGES, length: int
     found: dict[str, list[str]] = {}
     for row in ranked.orderBy("lang", "place", "text").collect():
         found.setdefault(row.lang, []).append(row.text.lower())
-    every = Counter(c for texts in found.values() for t in texts for c in t if c.isalpha() and ord(c) < words.TABLE)
-    common = sorted(every, key=lambda c: (-every[c], c))[:LETTERS]
-    languages = Languages([], {ord(c): _FIRST + i for i, c in enumerate(common)}, [])
+    every = sorted({ord(c) for texts in found.values() for t in texts for c in t})
+    letters = [c for c in every if words.class_table()[c] == words.LETTER]
+    languages = Languages([], {c: _FIRST + i for i, c in enumerate(letters)}, [])
     for name, texts in sorted(found.items()):
         symbols, _ = languages.symbols([" ".join(texts)])
         languages.names.append(name)

@@ -40,6 +40,39 @@ def test_parser_against_plain():
         assert n == plain_phrases("".join(map(chr, text)), "".join(map(chr, sample)))
 
 
+@pytest.mark.parametrize("make", [language.table_step, language.search_step])
+def test_steps_against_plain(make):
+    rng = random.Random(2)
+    for _ in range(30):
+        sample = [rng.choice([1, 3, 4, 5]) for _ in range(rng.randint(0, 60))]
+        text = [rng.choice([0, 1, 3, 4, 5, 6]) for _ in range(rng.randint(1, 80))]
+        step, begin = make(sample, 7)
+        state, n = np.array([begin]), 0
+        for c in [*text, 2, 2]:
+            state, new = step(state, np.array([c]))
+            n += int(new[0])
+        assert n == plain_phrases("".join(map(chr, text)), "".join(map(chr, sample)))
+
+
+@pytest.mark.parametrize("tables", [language.TABLES, 0])
+def test_languages_of_many_letters(spark, tables, monkeypatch):
+    rng = random.Random(5)
+    parts = {"zh": "今天 天气 很好 我们 一起 公园 散步 孩子 唱歌 时候", "ja": "きょう てんき とても いい わたし いっしょ こうえん さんぽ こども うた",
+             "ko": "오늘 날씨 매우 좋다 우리 함께 공원 산책 아이 노래", "ru": "сегодня погода очень хорошая мы вместе парк гулять дети песня",
+             "uk": "сьогодні погода дуже гарна ми разом парк гуляти діти пісня їжа", "el": "σήμερα καιρός πολύ καλός εμείς μαζί πάρκο βόλτα παιδιά τραγούδι"}
+
+    def text(name):
+        gap = "" if name in ("zh", "ja", "ko") else " "
+        return gap.join(rng.choice(parts[name].split()) for _ in range(40))
+
+    rows = [(k, text(name), name) for k, name in enumerate(list(parts) * 8)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.col("doc_id") < 36)
+    monkeypatch.setattr(language, "TABLES", tables)
+    found = learned.score([t for _, t, _ in rows[36:]])
+    assert [name for name, _ in found] == [name for _, _, name in rows[36:]]
+    assert learned.symbols(["今。天\U0001f600"])[0].tolist() == [learned.codes[ord("今")], 1, learned.codes[ord("天")], 1]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     learned = language.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
