@@ -8,7 +8,8 @@ cross entropy, and the language with the least wins (of equal ones, the first by
 Texts are read in lower case; runs of anything but letters are one blank. Every letter of the sample is a symbol of its
 own; a letter that no sample has is a phrase in every language. The sample is ``passages`` passages of
 ``length`` characters per language, from documents and places that hashes of the id choose; it bounds the automata (at
-most two states a character) whatever the size of the corpus. Whole texts are parsed, in blocks of BLOCK
+most two states a character) whatever the size of the corpus. Of more than ``most`` distinct languages, as in a column that holds
+free text or ids, those with the most labelled rows are learned (of equal ones, the first by name). Whole texts are parsed, in blocks of BLOCK
 characters that begin a phrase of their own; all blocks of a slice go through an automaton in step, one array
 operation for all of them.
 
@@ -33,6 +34,8 @@ from leafmill.llm import words
 UNKNOWN = "und"
 #: Passages of a language and characters in each: the bound of the sample.
 PASSAGES, PASSAGE_LENGTH = 400, 100
+#: Languages that are learned: more than any usual list has.
+LANGUAGES = 256
 #: Moves of all languages together that are held as tables; if there are more, they are looked up among those that exist.
 TABLES = 1 << 26
 BLOCK = 256
@@ -204,13 +207,13 @@ class Languages:
 
 
 def learn(docs: DataFrame, usable: Column, passages: int = PASSAGES, length: int = PASSAGE_LENGTH,
-          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Automata of the languages of the ``usable`` rows. Brings passages x length characters a language to the driver."""
+          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> Languages:
+    """Automata of the languages of the ``usable`` rows. Brings at most ``most`` x passages x length characters to the driver."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
     # few enough rows by hash, then exactly the first ones
     share = F.least(F.lit(1.0), F.lit(4.0 * passages + 200) / F.col("n"))
     few = (

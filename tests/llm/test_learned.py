@@ -73,6 +73,12 @@ def test_languages_of_many_letters(spark, tables, monkeypatch):
     assert learned.symbols(["今。天\U0001f600"])[0].tolist() == [learned.codes[ord("今")], 1, learned.codes[ord("天")], 1]
 
 
+def test_languages_are_bounded(spark):
+    rows = [(k, "the of and", f"id {k}") for k in range(30)] + [(50 + k, "der die das", "de") for k in range(2)] + [(60 + k, "le la les", "fr") for k in range(3)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), most=3)
+    assert learned.names == ["de", "fr", "id 0"]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     learned = language.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
