@@ -3,7 +3,7 @@
 Each stage takes all that the one before kept and gives rows with the columns of ``documents``, the last one the packed
 pieces. ``run`` writes what a stage gives as Parquet to the shared folder and reads it back for the next.
 
-* language_id: documents without any letter have no language and go; a missing ``lang`` is filled in.
+* language_id: documents without any letter have no language and go; ``lang`` becomes the predicted language.
 * exact_dedup: of texts that are equal but for the case of A-Z the one with the largest id stays.
 * near_dedup: of documents joined by a similarity of 0.8 or more on five-word runs the one with the least id stays.
 * pii: personal values become pseudonyms; ``n_chars`` follows where a text changed its length.
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not languages.names:  # nothing to learn from: only texts without a letter are rejected
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = predict(docs, languages, pred_col="__lang", score_col="__score")
-    return found.where(F.col("__lang") != UNKNOWN).withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    return found.where(F.col("__lang") != UNKNOWN).withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

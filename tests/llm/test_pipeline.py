@@ -37,6 +37,14 @@ def test_language(stages):
     assert stages[1].where("lang IS NULL").isEmpty()
 
 
+def test_predicted_language_takes_effect(spark):
+    made = [(k, "the of and to in " * 9 if k % 2 else "der die das und ist " * 9, "en" if k % 2 else "de", "s", 1) for k in range(20)]
+    wrong = [(30, "the of and to in " * 9, "de", "s", 1), (31, "der die das und ist " * 9, None, "s", 1), (32, "12 ...", "en", "s", 1)]
+    docs = spark.createDataFrame(made + wrong, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = {r.doc_id: r.lang for r in pipeline.language_id(spark, docs, "").collect()}
+    assert found == {k: lang for k, _, lang, _, _ in made} | {30: "en", 31: "de"}
+
+
 def test_exact(stages):
     groups = defaultdict(list)
     for i, t in rows(stages[1]):
