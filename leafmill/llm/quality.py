@@ -4,7 +4,8 @@ The features of a text are its words (runs without white space) and the characte
 blank around a word as its border, and one sign for a word that is the same as the word before; each is hashed to a row of a table of learned vectors. A text is the mean of
 its vectors, and a softmax over two classes of a linear map of that mean is its score. Vectors and map are
 trained by stochastic gradient descent in numpy, in one task, on a bounded sample of labelled rows: at most
-``rows`` rows and ``characters`` characters, in the order of a hash of the id. Scores are then plain sums: the
+``rows`` rows and ``characters`` characters, in the order of a hash of the id; a text that does not fit into what is left is
+passed over, and those after it still count. Scores are then plain sums: the
 map of every vector is one number, so a worker holds one number per hash bucket (2 MB by default).
 
 A null or empty text has no features and gets the score of the bias alone. Labels that are null, or not 0 or 1, are
@@ -100,8 +101,12 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column,
     few = named.where(F.pmod("place", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("place").limit(rows)
     texts = materialise(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
         F.max("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place")).where("text IS NOT NULL"), "sample")
-    sums = texts.select("doc_id", F.expr("sum(char_length(text)) OVER (ORDER BY place, doc_id)").alias("sum"))
-    chosen = sums.where(F.col("sum") <= characters).select("doc_id")  # at most ``rows`` ids
+    fits, left = [], characters  # of at most ``rows`` ids
+    for r in texts.select("doc_id", F.char_length("text").alias("n")).orderBy("place", "doc_id").collect():
+        if r.n <= left:
+            fits.append((r.doc_id,))
+            left -= r.n
+    chosen = docs.sparkSession.createDataFrame(fits, texts.select("doc_id").schema)
     return texts.join(F.broadcast(chosen), "doc_id").orderBy("place", "doc_id").select("text", "label")
 
 

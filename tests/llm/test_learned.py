@@ -128,6 +128,15 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_a_long_text_does_not_empty_the_sample(spark):
+    rows = [(k, "good text " if k % 2 else "bad words ") for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id bigint, quality int")
+    first = min(range(20), key=lambda k: spark.range(k, k + 1).select(F.xxhash64("id")).first()[0])
+    docs = spark.createDataFrame([(k, t * (1000 if k == first else 1)) for k, t in rows], "doc_id bigint, text string")
+    assert quality._sample(docs, labels, "quality", F.lit(True), 4000, 5000).count() == 19
+    assert np.any(quality.fit(docs, labels, characters=5000))
+
+
 def test_features_do_not_depend_on_the_slice():
     texts = ["One two  two", "", "a", " b c ", "längere Wörter und\tmehr"]
     together = quality.features(texts)
