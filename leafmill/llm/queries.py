@@ -16,6 +16,8 @@ from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.pii import pseudonymise
 from leafmill.llm.quality import fit, score
+from leafmill.llm.secret_links import CUT, FORMS, REACH, find_secrets, written
+from leafmill.llm.secret_links import count as secret_count
 from leafmill.llm.suffix_dedup import remove_repeats
 from leafmill.llm.token_counts import token_counts
 from leafmill.plans.registry import query
@@ -101,3 +103,57 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+def _secret_spans_sql() -> str:
+    """The same spans with DuckDB's functions: places from the lengths of the texts between matches, scopes by counting blank lines."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def places(number: int, pattern: str, keep: str) -> str:
+        return f"""SELECT doc_id, ends - length(m) AS s, {number} AS k, ends AS e FROM (
+            SELECT doc_id, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS ends FROM (
+                SELECT doc_id, i, ms[i] AS m, gaps[i] AS gap FROM (
+                    SELECT doc_id, regexp_extract_all(t, {quoted(pattern)}) AS ms, string_split_regex(t, {quoted(pattern)}) AS gaps FROM d),
+                unnest(range(1, len(ms) + 1)) AS u(i))) WHERE {keep}"""
+
+    finds = []
+    for number, form in enumerate(FORMS):
+        value = f"regexp_extract(m, {quoted(form.pattern)}, {form.group})" if form.group else "m"
+        keep = " AND ".join([f"length({value}) >= {form.least}", *[f"regexp_matches(m, {quoted(sign)})" for sign in form.needs]])
+        finds.append(places(number, form.pattern, keep))
+    finds.append(places(len(FORMS), CUT, "true"))
+
+    def kinds(role: str) -> str:
+        return "(" + ", ".join(str(i) for i, f in enumerate(FORMS) if f.role == role) + ")"
+
+    weak = min(i for i, f in enumerate(FORMS) if not f.strong)
+    names = "[" + ", ".join(f"'{f.kind}'" for f in FORMS) + "]"
+    written_sql = f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) {{}}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({' UNION ALL '.join(finds)}),
+scoped AS (SELECT *, sum(CASE WHEN k = {len(FORMS)} THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM found),
+parts AS (SELECT * FROM scoped WHERE k < {len(FORMS)}),
+beside AS (
+    SELECT w.doc_id, w.s, w.k, w.e, bool_or(o.k IN {kinds('identifier')}) AS i, bool_or(o.k IN {kinds('secret')}) AS c, bool_or(o.k IN {kinds('endpoint')}) AS p
+    FROM parts w JOIN parts o ON w.doc_id = o.doc_id AND w.scope = o.scope AND w.k >= {weak} AND o.s - w.e <= {REACH} AND w.s - o.e <= {REACH}
+    GROUP BY w.doc_id, w.s, w.k, w.e),
+spans AS (
+    SELECT doc_id, s, k, e FROM parts WHERE k < {weak} UNION ALL
+    SELECT doc_id, s, k, e FROM beside WHERE CASE WHEN k IN {kinds('secret')} THEN i OR p WHEN k IN {kinds('identifier')} THEN c ELSE i AND c END)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256({written_sql.format(f'FILTER (k < {weak})')}) AS base_sha256, {written_sql.format('FILTER (k IS NOT NULL)')} AS spans,
+       count(*) FILTER (k >= {weak}) AS n_linked
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("op11_secret_links", _secret_spans_sql())
+def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[secret_count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        written(F.array_sort(F.concat("base", "linked"))).alias("spans"), F.size("linked").cast("bigint").alias("n_linked"))
