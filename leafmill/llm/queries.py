@@ -20,6 +20,7 @@ from leafmill.llm.secret_links import CUT, FORMS, REACH, find_secrets, written
 from leafmill.llm.secret_links import count as secret_count
 from leafmill.llm.suffix_dedup import remove_repeats
 from leafmill.llm.token_counts import token_counts
+from leafmill.llm.turn_repair import damaged, digests, repair
 from leafmill.plans.registry import query
 
 
@@ -157,3 +158,15 @@ def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[secret_count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "linked"))).alias("spans"), F.size("linked").cast("bigint").alias("n_linked"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    done = repair(damaged(given))
+    every = given.select(F.struct("conv_id").alias("conv")).distinct()
+    report = done.report.withColumn("conv", F.struct("conv_id")).drop("conv_id")
+    sums = digests(done.turns).select(F.struct("conv_id").alias("conv"), "repaired_sha256")
+    return every.join(report, "conv", "left").join(sums, "conv", "left").select(
+        F.col("conv.conv_id"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
