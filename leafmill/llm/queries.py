@@ -15,6 +15,7 @@ from leafmill.llm.near_dup import links
 from leafmill.llm.neighbours import nearest
 from leafmill.llm.packing import pack
 from leafmill.llm.pii import pseudonymise
+from leafmill.llm.prefix_trie import numbered, prefix_trie, shared_heads
 from leafmill.llm.quality import fit, score
 from leafmill.llm.secret_links import CUT, FORMS, REACH, find_secrets, written
 from leafmill.llm.secret_links import count as secret_count
@@ -170,3 +171,8 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(report, "conv", "left").join(sums, "conv", "left").select(
         F.col("conv.conv_id"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(shared_heads(numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
