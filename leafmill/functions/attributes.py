@@ -23,14 +23,20 @@ def false_if_null(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def _step(key: str) -> str:
+    if "'" in key and '"' in key:
+        raise ValueError(f"an attribute name may hold single or double quotes, not both: {key}")
+    return f'["{key}"]' if "'" in key else f"['{key}']"
+
+
 def variant_path(key: str) -> str:
-    """JSON path of one flat key, whatever characters it holds (dots included)."""
-    return f'$["{key}"]' if "'" in key else f"$['{key}']"
+    """JSON path of one flat key, whatever characters it holds (dots included) but both kinds of quotes."""
+    return "$" + _step(key)
 
 
 def dotted_path(path: str) -> str:
     """JSON path of a nested value: every dot steps one object down."""
-    return "$" + "".join(f"['{part}']" for part in path.split("."))
+    return "$" + "".join(map(_step, path.split(".")))
 
 
 def try_json(text: Column) -> Column:

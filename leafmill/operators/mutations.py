@@ -1,9 +1,9 @@
 """Batches of document and stage changes.
 
 Each operator takes the table and a batch of change rows and returns new rows; nothing is written
-here. Several changes of one target resolve by a numeric ``seq``. List items and references are kept
-as rows, one per item with its position, so a document that receives most of a batch is never
-gathered in one task.
+here. Several changes of one target resolve by a numeric ``seq``. ``append_to_lists`` and ``add_refs`` give
+list items and references as rows, one per item with its position, so a document that receives most of a batch is never
+gathered in one task. ``write_lists`` and ``write_refs`` give the updated table, in which the lists of a document are part of its row.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from leafmill.functions.attributes import false_if_null, try_json
-from leafmill.model import DEFAULT_DOCUMENT_STATUS, DOCUMENT_STATUS, DROPPABLE_STATUS, STAGE_STATUS
+from leafmill.functions.variants import get_at, is_open, items, no_items, set_at
+from leafmill.model import DEFAULT_DOCUMENT_STATUS, DOC_REF, DOCUMENT_STATUS, DROPPABLE_STATUS, FILE_REF, STAGE_STATUS
 from leafmill.operators.ranking import last_per_key, running_number
 
 
@@ -67,43 +68,61 @@ def set_json_attributes(docs: DataFrame, changes: DataFrame) -> Change:
     return Change(_merge_attributes(docs, values), rejects)
 
 
-def create_documents(
+def create(
     docs: DataFrame, new: DataFrame, sets: DataFrame | None = None, jsons: DataFrame | None = None, lists: DataFrame | None = None,
-    doc_refs: DataFrame | None = None, file_refs: DataFrame | None = None,
-) -> DataFrame:
+    doc_refs: DataFrame | None = None, file_refs: DataFrame | None = None, doc_data: DataFrame | None = None, file_data: DataFrame | None = None,
+) -> Change:
     """Add ``new`` (id, status, body) with attributes and references to the table, whose columns all stay.
 
     A missing id gets a uuid and a missing status ``inbox``; a row with a stored id takes the place of the stored
-    one, and of several new rows with one id one counts. Values of a key apply in the order ``sets`` (id, seq, key,
-    value), ``lists`` (id, seq, key, value: the items in order), ``jsons`` (id, seq, key, json); the last one stays.
-    ``doc_refs`` (id, seq, key, uuid) and ``file_refs`` (id, seq, key, filename, uuid) are the references of the new documents.
+    one, and of several new rows with one id the one with the greatest ``seq`` counts (without that column: status and body).
+    Changes apply in the order ``sets`` (id, seq, key, value: flat keys), ``lists`` (id, seq, key, value: items at dotted keys),
+    ``jsons`` (id, seq, key, json), ``doc_refs`` (id, seq, key, uuid) with ``doc_data`` (id, seq, json), ``file_refs`` (id, seq, key,
+    filename, uuid) with ``file_data``. What is wrong is rejected by itself, as in the operators for stored documents: (id, seq, part, error).
     """
-    named, nameless = new.where("id IS NOT NULL").dropDuplicates(["id"]), new.where("id IS NULL")
-    rows = named.unionByName(nameless.withColumn("id", F.uuid())).select(
+    order = [c for c in ("seq", "status", "body") if c in new.columns]
+    named = last_per_key(new.where("id IS NOT NULL").select("id", "status", "body", *[c for c in order if c == "seq"]), ["id"], [F.col(c) for c in order])
+    nameless = new.where("id IS NULL").select(F.uuid().alias("id"), "status", "body")
+    reference = {name: docs.schema[name].dataType if name in docs.columns else ArrayType(t) for name, t in (("doc_refs", DOC_REF), ("file_refs", FILE_REF))}
+    rows = named.select("id", "status", "body").unionByName(nameless).select(
         "id",
         F.coalesce("status", F.lit(DEFAULT_DOCUMENT_STATUS)).alias("status"),
         F.coalesce("body", F.lit("")).alias("body"),
         F.to_variant_object(F.expr("CAST(map() AS MAP<STRING, VARIANT>)")).alias("attrs"),
+        *[F.lit(None).cast(t).alias(name) for name, t in reference.items() if name in docs.columns or (name == "doc_refs" and doc_refs is not None) or (
+            name == "file_refs" and file_refs is not None)],
     )
-    steps = []
+    rejects = []
+
+    def apply(part: str, change: Change) -> DataFrame:
+        rejects.append(change.rejects.select("id", "seq", F.lit(part).alias("part"), "error"))
+        return change.accepted
+
     if sets is not None:
-        steps.append(sets.select("id", "key", F.lit(0).alias("step"), "seq", F.col("value").cast("variant").alias("made")))
+        rows = apply("set", set_attributes(rows, sets))
     if lists is not None:
-        items = lists.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("x"), F.max("seq").alias("seq"))
-        steps.append(items.select("id", "key", F.lit(1).alias("step"), "seq", F.col("x.value").cast("variant").alias("made")))
+        rows = apply("list", write_lists(rows, lists.withColumnRenamed("key", "path")))
     if jsons is not None:
-        steps.append(jsons.select("id", "key", F.lit(2).alias("step"), "seq", try_json(F.col("json")).alias("made")))
-    if steps:
-        given = reduce(DataFrame.unionByName, steps).where("made IS NOT NULL")
-        last = last_per_key(given, ["id", "key"], [F.col("step"), F.col("seq")])
-        rows = _merge_attributes(rows, last.select("id", "key", F.col("made").alias("value")))
-    for name, refs in (("doc_refs", doc_refs), ("file_refs", file_refs)):
+        rows = apply("json", set_json_attributes(rows, jsons))
+    for name, refs, data in (("doc_refs", doc_refs, doc_data), ("file_refs", file_refs, file_data)):
         if refs is not None:
-            fields = [c for c in refs.columns if c not in ("id", "seq")]
-            own = refs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("r"))
-            rows = rows.join(own.select("id", F.transform("r", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name)), "id", "left")
+            rows = apply(name, write_refs(rows, name, refs, data))
     kept = docs.join(named.select("id"), "id", "left_anti")
-    return kept.select(*docs.columns).unionByName(rows, allowMissingColumns=True)
+    bad = reduce(DataFrame.unionByName, rejects) if rejects else new.sparkSession.createDataFrame([], "id string, seq bigint, part string, error string")
+    return Change(_union(kept.select(*docs.columns), rows), bad)
+
+
+def _union(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored and new documents, whose references may hold data that the stored ones cannot."""
+    for name in ("doc_refs", "file_refs"):
+        if name in docs.columns and name in rows.columns and docs.schema[name].dataType != rows.schema[name].dataType:
+            docs = docs.withColumn(name, _with_data(F.col(name), docs.schema[name].dataType.elementType))
+    return docs.unionByName(rows, allowMissingColumns=True)
+
+
+def create_documents(docs: DataFrame, new: DataFrame, *args, **kwargs) -> DataFrame:
+    """The table after ``create``."""
+    return create(docs, new, *args, **kwargs).accepted
 
 
 def replace_body(docs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -116,10 +135,6 @@ def replace_body(docs: DataFrame, changes: DataFrame) -> DataFrame:
 # -- lists and references -------------------------------------------------------------------
 
 
-def _path_of(parts: Column) -> Column:
-    return F.concat(F.lit("$"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("['"), p, F.lit("']"))), ""))
-
-
 def append_to_lists(docs: DataFrame, changes: DataFrame, bucket: list[Column]) -> Change:
     """``changes`` (id, seq, path, value) append to list attributes at dotted paths; ``value`` is text or VARIANT.
 
@@ -130,15 +145,10 @@ def append_to_lists(docs: DataFrame, changes: DataFrame, bucket: list[Column]) -
     known, unknown = _known(changes, docs)
     touched = known.select("id", "path").distinct().join(docs.select("id", "attrs"), "id")
     parts = F.split("path", r"\.")
-    here = F.schema_of_variant(F.try_variant_get("attrs", _path_of(parts), "variant"))
-    # an object, or nothing, at every step on the way
-    way = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.schema_of_variant(
-        F.try_variant_get("attrs", _path_of(F.slice(parts, F.lit(1), i)), "variant")))
-    open_way = F.forall(F.slice(way, F.lit(1), F.size(parts) - 1), lambda k: k.isNull() | k.startswith("OBJECT"))
-    items = F.when(here.startswith("ARRAY"), F.try_variant_get("attrs", _path_of(parts), "array<variant>"))
+    here = get_at(F.col("attrs"), parts)
     state = touched.select(
-        "id", "path", (open_way & (here.isNull() | here.startswith("ARRAY"))).alias("ok"),
-        F.coalesce(items, F.expr("CAST(array() AS ARRAY<VARIANT>)")).alias("items"))
+        "id", "path", (is_open(F.col("attrs"), parts) & (here.isNull() | items(here).isNotNull())).alias("ok"),
+        F.coalesce(items(here), no_items()).alias("items"))
     sized = state.select("id", "path", "ok", F.size("items").cast("bigint").alias("n"))
     marked = known.join(sized, ["id", "path"])
     bad = marked.where(~F.col("ok")).select(*changes.columns).withColumn("error", F.concat("path", F.lit(" is not a list.")))
@@ -177,6 +187,88 @@ def add_refs(
     return Change(old.unionByName(added.join(attach, ["id", "pos"], "left")), unknown)
 
 
+def _in_order(rows: Column, by: str) -> Column:
+    """An array of structs in the order of one field; the others need not compare."""
+    return F.array_sort(rows, lambda a, b: F.when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0))
+
+
+def write_lists(docs: DataFrame, changes: DataFrame) -> Change:
+    """``append_to_lists`` into the table: ``accepted`` has every document, with the items in the lists of ``attrs``.
+
+    A path that is a list for one change and an object for another is what its first change makes of it; the
+    other changes are rejected. Keys may hold any character but the dot that separates them.
+    """
+    rest = [c for c in changes.columns if c not in ("id", "path")]
+    by_path = changes.groupBy("id", "path").agg(_in_order(F.collect_list(F.struct(*rest)), "seq").alias("given"))
+    batch = by_path.groupBy("id").agg(_in_order(F.collect_list(F.struct(F.col("given")[0]["seq"].alias("first"), "path", "given")), "first").alias("_steps"))
+
+    def step(state: Column, change: Column) -> Column:
+        parts = F.split(change["path"], r"\.")
+        here = get_at(state["attrs"], parts)
+        ok = is_open(state["attrs"], parts) & (here.isNull() | items(here).isNotNull())
+        grown = F.concat(F.coalesce(items(here), no_items()), F.transform(change["given"], lambda g: g["value"].cast("variant")))
+        return F.struct(
+            F.when(ok, set_at(state["attrs"], parts, grown.cast("variant"))).otherwise(state["attrs"]).alias("attrs"),
+            F.when(ok, state["bad"]).otherwise(F.array_append(state["bad"], change["path"])).alias("bad"))
+
+    joined = docs.withColumn("_there", F.lit(True)).join(batch, "id", "full_outer")
+    start = F.struct(F.col("attrs"), F.array().cast("array<string>").alias("bad"))
+    done = joined.withColumn("_done", F.when(F.col("_there") & F.col("_steps").isNotNull(), F.aggregate("_steps", start, step)))
+    accepted = done.where("_there").withColumn("attrs", F.coalesce("_done.attrs", "attrs")).select(docs.columns)
+    refused = F.filter("_steps", lambda c: F.coalesce(F.array_contains(F.col("_done.bad"), c["path"]), F.col("_there").isNull()))
+    rejects = (
+        done.select("id", "_there", F.explode(refused).alias("c")).select("id", "_there", "c.path", F.explode("c.given").alias("g"))
+        .select("id", "path", "g.*", F.when(F.col("_there"), F.concat("path", F.lit(" is not a list."))).otherwise("Document not found").alias("error")))
+    return Change(accepted, rejects.select(*changes.columns, "error"))
+
+
+def _with_data(refs: Column, reference: StructType) -> Column:
+    """References whose element has a place for ``data``."""
+    if "data" in reference.names:
+        return refs
+    return F.transform(refs, lambda r: F.struct(*[r[f].alias(f) for f in reference.names], F.lit(None).cast("variant").alias("data")))
+
+
+def write_refs(docs: DataFrame, refs: str, changes: DataFrame, data: DataFrame | None = None) -> Change:
+    """``add_refs`` into the table: ``accepted`` has every document, with the references in its array column ``refs``.
+
+    ``data`` (id, seq, json) must be JSON; empty text is an empty object. It attaches to the last reference that the batch adds to the
+    document; the last one counts. Without an added reference, data of files is rejected and data of documents ignored.
+    ``rejects`` has (id, seq, key, [filename,] uuid, json, error).
+    """
+    reference = docs.schema[refs].dataType.elementType
+    fields = [f for f in reference.names if f != "data"]
+    given = {f: F.trim(f) if f in changes.columns else F.lit(None).cast("string") for f in fields}
+    rows = changes.select("id", F.lit(False).alias("is_data"), "seq", *[c.alias(f) for f, c in given.items()], F.lit(None).cast("string").alias("json"))
+    if data is not None:
+        rows = rows.unionByName(data.select("id", F.lit(True).alias("is_data"), "seq", "json"), allowMissingColumns=True)
+    batch = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "is_data", *fields, "json"))).alias("_rows"))
+    joined = docs.withColumn("_there", F.lit(True)).join(batch, "id", "full_outer")
+    parsed = joined.withColumn("_added", F.filter("_rows", lambda r: ~r["is_data"])).withColumn(
+        "_data", F.transform(F.filter("_rows", lambda r: r["is_data"]), lambda r: F.struct(r.alias("row"), try_json(
+            F.when(F.coalesce(r["json"], F.lit("")) == "", "{}").otherwise(r["json"])).alias("value"))))
+    last = F.try_element_at(F.filter("_data", lambda d: d["value"].isNotNull()), F.lit(-1))
+    has_data = "data" in reference.names or data is not None
+    as_text = "data" in reference.names and isinstance(reference["data"].dataType, StringType)
+
+    def made(r: Column, i: Column) -> Column:
+        attached = F.when(i == F.size("_added") - 1, F.to_json(last["value"]) if as_text else last["value"])
+        whole = {**{f: r[f] for f in fields}, **({"data": attached} if has_data else {})}
+        return F.struct(*[whole[f].alias(f) for f in [*reference.names, *(["data"] if has_data and "data" not in reference.names else [])]])
+
+    old = _with_data(F.col(refs), reference) if has_data else F.col(refs)
+    new = F.transform("_added", made)
+    accepted = parsed.where("_there").withColumn(refs, F.when(F.size("_added") > 0, F.concat(F.coalesce(old, F.slice(new, 1, 0)), new)).otherwise(old)).select(docs.columns)
+    empty, of_files = F.size("_added") == 0, "filename" in reference.names
+    wrong = (
+        F.when(F.col("_there").isNull(), F.transform("_rows", lambda r: F.struct(r.alias("row"), F.lit("Document not found").alias("error"))))
+        .when(empty, F.transform("_data", lambda d: F.struct(d["row"].alias("row"), F.lit("file data without an added file").alias("error"))) if of_files
+              else F.lit(None))
+        .otherwise(F.transform(F.filter("_data", lambda d: d["value"].isNull()), lambda d: F.struct(d["row"].alias("row"), F.lit("invalid JSON").alias("error")))))
+    rejects = parsed.select("id", F.explode(wrong).alias("w")).select("id", "w.row.seq", *[f"w.row.{f}" for f in fields], "w.row.json", "w.error")
+    return Change(accepted, rejects)
+
+
 # -- status ---------------------------------------------------------------------------------
 
 

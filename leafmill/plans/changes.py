@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.model import STAGE_STATUS
 from leafmill.operators import mutations as mu
 from leafmill.plans.evaluation import _MET_SQL, SUMMARY_SQL, numbered
-from leafmill.plans.inputs import DEFINITIONS, DOCS_SQL, NUMBERED_STAGES_SQL, STAGES_SQL, ctes, docs, stages, table
+from leafmill.plans.inputs import DEFINITIONS, DOCS_SQL, FILE_REFS_SQL, NUMBERED_STAGES_SQL, STAGES_SQL, ctes, docs, stages, table
 from leafmill.plans.registry import query
 
 D = ctes(DOCS_SQL)
@@ -107,6 +107,120 @@ def add_refs(spark, sf_dir):
         F.lit("reject").alias("kind"), "id", F.col("seq").alias("pos"), F.trim("key").alias("key"), "uuid", F.col("error").alias("data")))
 
 
+def _attrs_sql(before: str = "", labels: str = "", tags: str = "tags") -> str:
+    """``attrs`` of ``docs`` as JSON text with sorted keys, with more members before all others and before those of ``meta``."""
+    return f"""'{{' || {before or "''"} || '"lang":' || to_json(lang) || ',"meta":{{' || {labels or "''"} || '"flags":{{"hot":' || (priority > 0.5) || ',"lang":' || to_json(lang)
+    || '}},"owner":' || to_json(source) || '}},"meta.owner":' || to_json(lang || '/' || source) || ',"priority":' || priority || ',"quality":' || coalesce(CAST(quality AS VARCHAR), 'null')
+    || ',"rating":' || CASE lang WHEN 'en' THEN '"' || n_chars || '"' WHEN 'fr' THEN CAST(n_chars AS VARCHAR) WHEN 'de' THEN CAST(priority > 0.5 AS VARCHAR) ELSE 'null' END
+    || ',"source":' || to_json(source) || ',"tags":' || to_json({tags}) || ',"title":' || to_json(title) || ',"toxic":' || coalesce(CAST(toxic AS VARCHAR), 'null') || '}}'"""
+
+
+_TAGS_SQL = "CASE WHEN idea_tag IS NULL THEN [lang, source] ELSE [lang, source, idea_tag] END"
+_WRITE_PATH = _PATH.replace("meta.labels", 'meta."labels" of').replace("'history'", "'a.b.c'")
+
+
+@query("doc_list_write", D + f""", changes AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, event_id, {_WRITE_PATH} AS path FROM events),
+lists AS (SELECT id, path, list(CAST(event_id AS VARCHAR) ORDER BY event_id) AS added FROM changes GROUP BY ALL)
+SELECT 'document' AS kind, d.id, CAST(NULL AS BIGINT) AS seq, {_attrs_sql(
+    """CASE WHEN h.added IS NULL THEN '' ELSE '"a":{"b":{"c":' || to_json(h.added) || '}},' END""",
+    """CASE WHEN m.added IS NULL THEN '' ELSE '"\\"labels\\" of":' || to_json(m.added) || ',' END""", f"list_concat({_TAGS_SQL}, coalesce(t.added, []))")} AS value
+FROM docs d LEFT JOIN lists h ON h.id = d.id AND h.path = 'a.b.c' LEFT JOIN lists m ON m.id = d.id AND m.path LIKE 'meta.%of'
+LEFT JOIN lists t ON t.id = d.id AND t.path = 'tags'
+UNION ALL SELECT 'reject', id, event_id, CASE WHEN id NOT IN (SELECT id FROM docs) THEN 'Document not found' ELSE path || ' is not a list.' END
+FROM changes WHERE path IN ('title', 'meta.owner.x') OR id NOT IN (SELECT id FROM docs)""")
+def doc_list_write(spark, sf_dir):
+    """The updated table after list appends: nested paths are made, a quoted key too."""
+    c = _event_changes(spark, sf_dir)
+    c = c.select("id", "seq", F.expr(_WRITE_PATH).alias("path"), F.col("seq").cast("string").alias("value"))
+    done = mu.write_lists(docs(spark, sf_dir).select("id", "attrs"), c)
+    return done.accepted.select(F.lit("document").alias("kind"), "id", F.lit(None).cast("bigint").alias("seq"), F.to_json("attrs").alias("value")).unionByName(
+        done.rejects.select(F.lit("reject").alias("kind"), "id", "seq", F.col("error").alias("value")))
+
+
+_DATA = "CASE WHEN event_type = 'error' THEN replace(props, '}', '') ELSE props END"
+_DATA_SQL = f"data AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id, event_type <> 'error' AS good, {_DATA} AS json FROM events)"
+
+
+def _written(done, refs, name):
+    """The references of the updated table as rows, and what was rejected."""
+    r = F.col("r")
+    rows = done.accepted.select("id", F.posexplode(refs).alias("pos", "r")).select(
+        F.lit("ref").alias("kind"), "id", (F.col("pos") + 1).cast("bigint").alias("pos"), r["key"].alias("key"), r[name].alias("target"), F.to_json(r["data"]).alias("data"))
+    return rows.unionByName(done.rejects.select(
+        F.lit("reject").alias("kind"), "id", F.col("seq").alias("pos"), "key", F.coalesce(name, "json").alias("target"), F.col("error").alias("data")))
+
+
+@query("doc_ref_write", D + f""", {_DATA_SQL}, orders_of AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey, o_orderpriority FROM orders),
+every AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, k::BIGINT AS pos, CASE k WHEN 1 THEN 'research_source' ELSE 'related_document' END AS key,
+         CAST(CASE k WHEN 1 THEN doc_id // 2 ELSE doc_id * 2 + 1 END AS VARCHAR) AS target, 0 AS n
+  FROM documents CROSS JOIN (VALUES (1), (2)) AS t(k) WHERE k <= doc_id % 3
+  UNION ALL SELECT id, doc_id % 3 + row_number() OVER w, o_orderpriority, CAST(o_orderkey AS VARCHAR), count(*) OVER (PARTITION BY id)
+  FROM orders_of JOIN docs USING (id) WINDOW w AS (PARTITION BY id ORDER BY o_orderkey)),
+last AS (SELECT id, arg_max(json, event_id) AS json FROM data WHERE good GROUP BY id)
+SELECT 'ref' AS kind, e.id, pos, key, target, CASE WHEN n > 0 AND pos = max(pos) OVER (PARTITION BY e.id) THEN CAST(json(l.json) AS VARCHAR) END AS data
+FROM every e LEFT JOIN last l ON l.id = e.id
+UNION ALL SELECT 'reject', id, o_orderkey, o_orderpriority, CAST(o_orderkey AS VARCHAR), 'Document not found' FROM orders_of WHERE id NOT IN (SELECT id FROM docs)
+UNION ALL SELECT 'reject', id, event_id, NULL, json, CASE WHEN id IN (SELECT id FROM docs) THEN 'invalid JSON' ELSE 'Document not found' END
+FROM data WHERE id NOT IN (SELECT id FROM docs) OR (NOT good AND id IN (SELECT id FROM orders_of))""")
+def doc_ref_write(spark, sf_dir):
+    """The updated table after document references and their data, part of which is no JSON."""
+    c = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit(" "), "o_orderpriority").alias("key"), F.col("o_orderkey").cast("string").alias("uuid"))
+    data = _event_changes(spark, sf_dir).select("id", "seq", F.expr(_DATA).alias("json"))
+    return _written(mu.write_refs(docs(spark, sf_dir).select("id", "doc_refs"), "doc_refs", c, data), "doc_refs", "uuid")
+
+
+@query("file_ref_write", ctes(DOCS_SQL, FILE_REFS_SQL) + f""", {_DATA_SQL}, orders_of AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'),
+every AS (
+  SELECT id, k::BIGINT + 1 AS pos, key, filename AS target, 0 AS n FROM file_refs
+  UNION ALL SELECT id, doc_id % 4 + row_number() OVER w, o_orderpriority, 'o' || o_orderkey || '.txt', count(*) OVER (PARTITION BY id)
+  FROM orders_of JOIN docs USING (id) WINDOW w AS (PARTITION BY id ORDER BY o_orderkey)),
+last AS (SELECT id, arg_max(json, event_id) AS json FROM data WHERE good GROUP BY id)
+SELECT 'ref' AS kind, e.id, pos, key, target, CASE WHEN n > 0 AND pos = max(pos) OVER (PARTITION BY e.id) THEN CAST(json(l.json) AS VARCHAR) END AS data
+FROM every e LEFT JOIN last l ON l.id = e.id
+UNION ALL SELECT 'reject', id, o_orderkey, o_orderpriority, 'o' || o_orderkey || '.txt', 'Document not found' FROM orders_of WHERE id NOT IN (SELECT id FROM docs)
+UNION ALL SELECT 'reject', id, event_id, NULL, json, CASE WHEN id NOT IN (SELECT id FROM docs) THEN 'Document not found'
+  WHEN id IN (SELECT id FROM orders_of) THEN 'invalid JSON' ELSE 'file data without an added file' END
+FROM data WHERE id NOT IN (SELECT id FROM docs) OR id NOT IN (SELECT id FROM orders_of) OR NOT good""")
+def file_ref_write(spark, sf_dir):
+    """The updated table after file references and their data; data needs a file of the same batch."""
+    c = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("key"),
+        F.concat(F.lit("o"), "o_orderkey", F.lit(".txt")).alias("filename"), F.concat(F.lit("u"), "o_orderkey").alias("uuid"))
+    data = _event_changes(spark, sf_dir).select("id", "seq", F.expr(_DATA).alias("json"))
+    return _written(mu.write_refs(docs(spark, sf_dir).select("id", "file_refs"), "file_refs", c, data), "file_refs", "filename")
+
+
+@query("doc_create", """WITH p AS (SELECT page_id, url, length(html) AS size, CASE WHEN url LIKE 'https%' THEN 'active' ELSE 'inbox' END AS status, page_id % 3 AS k FROM pages)
+SELECT 'document' AS kind, 'page' || page_id AS id, CAST(NULL AS BIGINT) AS seq, status AS part,
+  '{"meta":{"hosts":["first",' || to_json(url) || ']},"meta.hosts":"flat",' || CASE WHEN k = 0 THEN '' ELSE '"size":' || size || ',' END || '"title":' || to_json(url) || '}' AS value FROM p
+UNION ALL SELECT 'reject', 'page' || page_id, 1, 'json', 'invalid JSON' FROM p WHERE k = 0
+UNION ALL SELECT 'reject', 'page' || page_id, 3, 'list', 'title.x is not a list.' FROM p WHERE k = 1
+UNION ALL SELECT 'reject', 'page' || page_id, 1, 'file_refs', 'file data without an added file' FROM p WHERE k = 2
+UNION ALL SELECT 'file', 'page' || page_id, 1, 'upload_file', '{"k":' || page_id || '}' FROM p WHERE k <> 2""")
+def doc_create(spark, sf_dir):
+    """New documents from pages: flat values, nested lists, JSON and files with data, some of each wrong."""
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id").alias("id"), "page_id", "url", F.length("html").alias("size"), (F.col("page_id") % 3).alias("k"))
+    new = p.select("id", F.when(F.col("url").startswith("https"), "active").alias("status"), F.lit(None).cast("string").alias("body"))
+    row = lambda seq, key, value: F.struct(F.lit(seq).alias("seq"), F.lit(key).alias("key"), value.alias("value"))
+    sets = p.select("id", F.inline(F.array(row(1, "title", F.lit("first")), row(2, "title", F.col("url")), row(3, "meta.hosts", F.lit("flat")))))
+    lists = p.select("id", F.inline(F.array(row(2, "meta.hosts", F.col("url")), row(1, "meta.hosts", F.lit("first"))))).unionByName(
+        p.where("k = 1").select("id", F.lit(3).alias("seq"), F.lit("title.x").alias("key"), F.lit("no").alias("value")))
+    jsons = p.select("id", F.lit(1).alias("seq"), F.lit("size").alias("key"), F.when(F.col("k") == 0, "{bad").otherwise(F.col("size").cast("string")).alias("json"))
+    files = p.where("k <> 2").select("id", F.lit(1).alias("seq"), F.lit("upload_file").alias("key"), F.lit("page.html").alias("filename"), "url")
+    data = p.select("id", F.lit(1).alias("seq"), F.concat(F.lit('{"k": '), "page_id", F.lit("}")).alias("json"))
+    stored = docs(spark, sf_dir).where("false").select("id", "status", "body", "attrs", "file_refs")
+    done = mu.create(stored, new, sets, jsons, lists, file_refs=files.withColumnRenamed("url", "uuid"), file_data=data)
+    number = F.lit(None).cast("bigint").alias("seq")
+    rows = done.accepted.select(F.lit("document").alias("kind"), "id", number, F.col("status").alias("part"), F.to_json("attrs").alias("value"))
+    held = done.accepted.select("id", F.posexplode("file_refs").alias("pos", "r")).select(
+        F.lit("file").alias("kind"), "id", (F.col("pos") + 1).cast("bigint").alias("seq"), F.col("r.key").alias("part"), F.to_json("r.data").alias("value"))
+    return rows.unionByName(held).unionByName(done.rejects.select(F.lit("reject").alias("kind"), "id", F.col("seq").cast("bigint").alias("seq"), "part", F.col("error").alias("value")))
+
+
 @query("doc_body_update", D + """, last AS (
   SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role <> 'user' GROUP BY conv_id)
 SELECT id, coalesce(text, body) AS body FROM docs LEFT JOIN last ON conv_id = doc_id""")
