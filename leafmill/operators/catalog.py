@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,65 +74,108 @@ def overview_extended(elements: DataFrame, project: DataFrame) -> DataFrame:
 KEYED_LISTS = ("workflows",)
 
 
-def flatten_paths(definitions: DataFrame, keys: list[str], payload: str = "payload", keyed_lists: tuple[str, ...] = KEYED_LISTS) -> DataFrame:
-    """Every container and leaf of a VARIANT as ``(*keys, path ARRAY, kind, value JSON)``.
+@dataclass(frozen=True)
+class Merged:
+    """Definitions merged over their layers. ``roots`` has the keys of every definition, ``levels[d]`` one row for each path
+    of d + 1 steps: ``(*keys, path, kind, value, at, pos)`` with the value of a leaf, and layer and place of the last row.
 
-    A keyed list is a container of its items: an item with a name has the step ``[name]``, any other one a step
-    that no other row has. A key that itself starts with a bracket or a backslash gets a backslash in front. One step
-    per level: what a level holds is written and the next one starts from its containers, so the work
-    grows with the size of the definitions and nothing is cut off.
+    A step is a key (with a backslash in front if it starts with a bracket or a backslash) or, in a keyed list, ``[name]`` of an item;
+    an item without a name has a step that no other one has.
     """
-    spark = definitions.sparkSession
-    whole = definitions.select(*keys, F.expr("CAST(array() AS ARRAY<STRING>)").alias("path"), F.lit("object").alias("kind"), F.to_json(payload).alias("value"))
-    level = whole.where(F.schema_of_variant(F.parse_json("value")).startswith("OBJECT"))
-    parts = []
+
+    keys: list[str]
+    roots: DataFrame
+    levels: list[DataFrame]
+
+    def leaves(self) -> DataFrame:
+        """``(*keys, path, value JSON)`` of the leaves and of objects and lists with nothing in them."""
+        found = []
+        for level, below in zip(self.levels, [*self.levels[1:], None], strict=True):
+            found.append(level.where("kind = 'leaf'").select(*self.keys, "path", F.to_json("value").alias("value")))
+            if below is not None:
+                filled = below.select(*self.keys, _parent().alias("path")).distinct()
+                empty = level.where("kind <> 'leaf'").join(filled, [*self.keys, "path"], "left_anti")
+                found.append(empty.select(*self.keys, "path", F.when(F.col("kind") == "object", "{}").otherwise("[]").alias("value")))
+        return reduce(DataFrame.unionByName, found)
+
+    def definitions(self) -> DataFrame:
+        """``(*keys, definition VARIANT)``: the values put together again, one level at a time from the deepest.
+
+        Keyed lists are in the order of ``merged_list_order``: items without a name of earlier layers, the list of the last layer, the
+        named items that no later layer repeats, newest layer first.
+        """
+        built = None
+        for level in reversed(self.levels):
+            rows = level if built is None else level.join(built, [*self.keys, "path"], "left")
+            inner = F.col("members") if built is not None else F.lit(None).cast(_MEMBERS.format(at=level.schema["at"].dataType.simpleString()))
+            made = F.when(F.col("kind") == "object", _object_of(inner)).when(F.col("kind") == "list", _list_of(inner, F.col("at"))).otherwise(F.col("value"))
+            member = F.struct(F.element_at("path", -1).alias("step"), made.alias("value"), "at", F.col("pos").cast("int").alias("pos"))
+            built = rows.groupBy(*self.keys, _parent().alias("path")).agg(F.collect_list(member).alias("members"))
+        return self.roots.join(built.drop("path"), self.keys, "left").select(*self.keys, _object_of(F.col("members")).alias("definition"))
+
+
+_MEMBERS = "array<struct<step:string,value:variant,at:{at},pos:int>>"
+
+
+def _parent() -> Column:
+    return F.slice("path", F.lit(1), F.size("path") - 1)
+
+
+def _object_of(members: Column) -> Column:
+    def entry(m: Column) -> Column:
+        key = F.when(m["step"].startswith("\\"), F.substring(m["step"], 2, 2**31 - 1)).otherwise(m["step"])
+        return F.struct(key.alias("key"), m["value"].alias("value"))
+
+    entries = F.transform(F.coalesce(members, F.slice(members, 1, 0)), entry)
+    return F.to_variant_object(F.when(F.size(members) > 0, F.map_from_entries(entries)).otherwise(F.create_map().cast("map<string,variant>")))
+
+
+def _list_of(members: Column, last: Column) -> Column:
+    def before(a: Column, b: Column) -> Column:
+        group = lambda m: F.when(m["at"] == last, 1).when(m["step"].startswith("[#:"), 0).otherwise(2)
+        layer = F.when(a["at"] == b["at"], 0).when((a["at"] < b["at"]) == (group(a) == 0), -1).otherwise(1)
+        return F.when(group(a) != group(b), group(a) - group(b)).when(layer != 0, layer).otherwise(a["pos"] - b["pos"])
+
+    values = F.transform(F.array_sort(members, before), lambda m: m["value"])
+    return F.coalesce(values, F.array().cast("array<variant>")).cast("variant")
+
+
+def deep_merge(definitions: DataFrame, keys: list[str], order: list[str], payload: str = "payload", keyed_lists: tuple[str, ...] = KEYED_LISTS) -> Merged:
+    """Merge the layers of definitions: objects and keyed lists (by the ``name`` of their items) merge, everything else is replaced.
+
+    ``definitions`` has the keys, the columns of ``order`` that sort the layers, and a VARIANT. It goes down level by level. Of
+    every path the last row says what it is; the objects (or lists) that go on are those after the last row of another kind, and
+    only these are written and opened on the next level. All steps are aggregates with map-side combine and joins on (keys, path), so the work grows with the
+    size of the definitions, and neither a deep definition nor one with very many layers is gathered in one task.
+    """
+    spark, at = definitions.sparkSession, F.struct(*order)
+    whole = definitions.where(F.schema_of_variant(payload).startswith("OBJECT")).select(
+        *keys, at.alias("at"), F.array().cast("array<string>").alias("path"), F.lit("object").alias("kind"), F.col(payload).alias("value"))
+    # files of definitions are small and may come in few partitions
+    open_ = materialise(whole.repartition(*keys, "at"), "definitions")
+    roots, levels = open_.select(*keys).distinct(), []
     while True:
-        containers = level.where("kind <> 'leaf'").withColumn("_in", F.parse_json("value"))
-        if parts and containers.isEmpty():
-            break
-        inside = containers.lateralJoin(spark.tvf.variant_explode(F.col("_in").outer()).select(
-            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
+        inside = open_.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(
+            F.col("pos").alias("pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
         of_list, shape = F.col("kind") == "list", F.schema_of_variant("_value")
         name = F.when(shape.startswith("OBJECT"), F.try_variant_get("_value", "$.name", "string"))
-        item = F.concat(F.lit("["), F.coalesce(name, F.concat_ws(":", F.lit("#"), *[F.col(k).cast("string") for k in keys], "_pos")), F.lit("]"))
+        item = F.concat(F.lit("["), F.coalesce(name, F.concat_ws(":", F.lit("#"), *[F.col(f"at.{c}").cast("string") for c in order], "pos")), F.lit("]"))
         key = F.when(F.col("_key").rlike(r"^[\[\\]"), F.concat(F.lit("\\"), "_key")).otherwise(F.col("_key"))
         kind = (
             F.when(shape.startswith("OBJECT"), "object")
             .when(shape.startswith("ARRAY") & ~of_list & F.col("_key").isin(*keyed_lists), "list").otherwise("leaf"))
-        level = materialise(inside.select(
-            *keys, F.concat("path", F.array(F.when(of_list, item).otherwise(key))).alias("path"), kind.alias("kind"), F.to_json("_value").alias("value")), "paths")
-        parts.append(level)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _steps_above() -> Column:
-    """For every ancestor of a path: its own path, and the step from it towards the path."""
-    inner = F.when(F.size("path") > 1, F.sequence(F.lit(1), F.size("path") - 1))
-    return F.transform(inner, lambda i: F.struct(F.slice("path", F.lit(1), i).alias("above"), F.element_at("path", i + 1).alias("step")))
-
-
-def deep_merge(paths: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Merge layers of ``flatten_paths`` rows: objects and keyed lists merge, everything else is replaced.
-
-    The last row of a path wins, unless a later layer put something of another kind on one of its ancestors.
-    Result: ``(*keys, path ARRAY, value JSON)`` for the leaves and for objects and lists with nothing in
-    them. All steps are aggregates and joins on (keys, path).
-    """
-    at = F.struct(*order)
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, at))
-    last = materialise(paths.groupBy(*keys, "path").agg(
-        F.max_by(F.struct("kind", "value"), at).alias("row"), F.max(at).alias("at"),
-        of("object").alias("object_at"), of("list").alias("list_at"), of("leaf").alias("leaf_at")), "merged-paths")
-    cuts = last.select(*keys, F.col("path").alias("above"), F.greatest("list_at", "leaf_at").alias("ends_object"),
-                       F.greatest("object_at", "leaf_at").alias("ends_list")).where("leaf_at IS NOT NULL OR (list_at IS NOT NULL AND object_at IS NOT NULL)")
-    above = last.select(*keys, "path", "at", F.inline(_steps_above()))
-    cut_at = F.when(F.col("step").startswith("["), F.col("ends_list")).otherwise(F.col("ends_object"))
-    covered = above.join(cuts, [*keys, "above"]).where(cut_at > F.col("at")).select(*keys, "path").distinct()
-    alive = materialise(last.join(covered, [*keys, "path"], "left_anti").select(*keys, "path", "row.kind", "row.value"), "merged-alive")
-    filled = alive.select(*keys, F.inline(_steps_above())).select(*keys, F.col("above").alias("path")).distinct()
-    empty = alive.where("kind <> 'leaf'").join(filled, [*keys, "path"], "left_anti")
-    nothing = F.when(F.col("kind") == "object", "{}").otherwise("[]")
-    return alive.where("kind = 'leaf'").select(*keys, "path", "value").unionByName(empty.select(*keys, "path", nothing.alias("value")))
+        inside = inside.select(*keys, "at", F.array_append("path", F.when(of_list, item).otherwise(key)).alias("path"), kind.alias("kind"), F.col("_value").alias("value"), "pos")
+        last_of = lambda k: F.max(F.when(F.col("kind") == k, F.col("at")))
+        row = F.struct("kind", F.when(F.col("kind") == "leaf", F.col("value")).alias("value"), "pos")
+        level = inside.groupBy(*keys, "path").agg(
+            F.max_by(row, "at").alias("row"), F.max("at").alias("at"), *[last_of(k).alias(f"{k}_at") for k in ("object", "list", "leaf")])
+        cut = F.when(F.col("row.kind") == "object", F.greatest("list_at", "leaf_at")).otherwise(F.greatest("object_at", "leaf_at"))
+        level = materialise(level.select(*keys, "path", "row.*", "at", cut.alias("cut")), "merged-level")
+        levels.append(level.drop("cut"))
+        going_on = level.where("kind <> 'leaf'").select(*keys, "path", "kind", "cut")
+        if going_on.isEmpty():
+            return Merged(keys, roots, levels)
+        open_ = materialise(inside.where("kind <> 'leaf'").join(going_on, [*keys, "path", "kind"]).where("cut IS NULL OR at > cut").drop("cut", "pos"), "merged-open")
 
 
 def merged_list_order(items: DataFrame, owner: str, order: str, bucket: list[Column]) -> DataFrame:

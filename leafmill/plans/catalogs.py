@@ -102,8 +102,43 @@ UNION ALL SELECT name, 'requirements.part', CAST(arg_max(part, rn) AS VARCHAR) F
 UNION ALL SELECT name, 'requirements.limits.discount', '"' || CAST(arg_max(discount, rn) AS VARCHAR) || '"' FROM live WHERE form = 'base' AND rn > cut GROUP BY name
 UNION ALL SELECT name, 'requirements.limits.supplier', CAST(arg_max(supplier, rn) AS VARCHAR) FROM live WHERE form = 'priced' AND rn > cut GROUP BY name""")
 def deep_merge_layers(spark, sf_dir):
-    paths = cat.flatten_paths(_definition_files(spark, sf_dir), ["name", *FILE_ORDER])
-    return cat.deep_merge(paths, ["name"], FILE_ORDER).withColumn("path", F.array_join("path", "."))
+    merged = cat.deep_merge(_definition_files(spark, sf_dir), ["name"], FILE_ORDER)
+    return merged.leaves().withColumn("path", F.array_join("path", "."))
+
+
+def _flow_files(spark, sf_dir):
+    """The definitions with a list of workflows: one with a name, and with a low discount a text without one."""
+    files = _definition_files(spark, sf_dir)
+    flow = F.to_variant_object(F.map_from_arrays(
+        F.array(F.lit("name"), F.concat(F.lit("p"), F.col("file_no") % 2)),
+        F.array(F.concat(F.lit("wf"), F.col("part") % 3).cast("variant"), F.col("part").cast("variant"))))
+    flows = F.when(F.col("discount") < 0.03, F.array(flow, F.concat(F.lit("x"), "part").cast("variant"))).otherwise(F.array(flow))
+    with_flows = F.to_variant_object(F.map_concat(
+        F.try_variant_get("payload", "$", "map<string,variant>"), F.create_map(F.lit("workflows"), flows.cast("variant"))))
+    plain = F.try_variant_get("payload", "$.quantity", "bigint").isNull()
+    return files.withColumn("payload", F.when(plain, F.col("payload")).otherwise(with_flows))
+
+
+@query("merged_definitions", L + """, files AS (
+  SELECT *, CASE WHEN layer = 'vendor_o' AND discount > 0.05 THEN 'plain' WHEN quantity > 25 THEN 'base' ELSE 'priced' END AS form,
+         row_number() OVER (PARTITION BY name ORDER BY layer_rank, file_no, part, supplier, price) AS rn FROM layers),
+cuts AS (SELECT name, max(rn) FILTER (form = 'plain') AS cut, max(rn) FILTER (form <> 'plain') AS obj FROM files GROUP BY name),
+live AS (SELECT f.*, coalesce(c.cut, 0) AS cut, c.obj FROM files f JOIN cuts c USING (name) WHERE form <> 'plain'),
+req AS (SELECT name, arg_max(quantity, rn)::BIGINT AS quantity, arg_max(part, rn) FILTER (form = 'base' AND rn > cut) AS part,
+  arg_max(discount, rn) FILTER (form = 'base' AND rn > cut) AS discount, arg_max(supplier, rn) FILTER (form = 'priced' AND rn > cut) AS supplier, any_value(obj) AS obj FROM live GROUP BY name),
+flows AS (SELECT name, part % 3 AS k, max(rn) AS rn, arg_max(part, rn) FILTER (file_no % 2 = 0) AS p0, arg_max(part, rn) FILTER (file_no % 2 = 1) AS p1, any_value(obj) AS last FROM live GROUP BY ALL),
+items AS (
+  SELECT name, rn, 0 AS pos, rn = last AS is_last, true AS named, '{"name":"wf' || k || '"' || coalesce(',"p0":' || p0, '') || coalesce(',"p1":' || p1, '') || '}' AS item FROM flows
+  UNION ALL SELECT name, rn, 1, rn = obj, false, '"x' || part || '"' FROM live WHERE discount < 0.03),
+lists AS (SELECT name, string_agg(item, ',' ORDER BY CASE WHEN is_last THEN 1 WHEN named THEN 2 ELSE 0 END, CASE WHEN is_last THEN 0 WHEN named THEN -rn ELSE rn END, pos) AS flows FROM items GROUP BY name)
+SELECT c.name, CASE WHEN c.obj IS NULL THEN '{"requirements":"none"}' ELSE '{"quantity":' || r.quantity || ',"requirements":' ||
+  CASE WHEN coalesce(c.cut, 0) > c.obj THEN '"none"' ELSE '{"limits":{' || concat_ws(',', '"discount":"' || r.discount || '"', '"supplier":' || r.supplier) || '}' || coalesce(',"part":' || r.part, '') || '}' END
+  || ',"workflows":[' || l.flows || ']}' END AS definition
+FROM cuts c LEFT JOIN req r ON r.name = c.name LEFT JOIN lists l ON l.name = c.name""")
+def merged_definitions(spark, sf_dir):
+    """One whole definition per name, lists of workflows merged by their names."""
+    merged = cat.deep_merge(_flow_files(spark, sf_dir), ["name"], FILE_ORDER)
+    return merged.definitions().withColumn("definition", F.to_json("definition"))
 
 
 ITEMS_SQL = """raw AS (SELECT name AS owner, layer_rank AS layer, file_no, max(part) AS part, arg_max(discount, part * 100 + discount) AS discount FROM layers GROUP BY ALL),

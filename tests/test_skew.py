@@ -126,16 +126,27 @@ def test_deep_merge_against_dict_merge(spark):
 
     files = {n: [tree(3) for _ in range(4)] for n in range(60)}
     df = spark.createDataFrame([(n, i, json.dumps(f)) for n, fs in files.items() for i, f in enumerate(fs)], "name long, layer long, j string")
-    paths = cat.flatten_paths(df.select("name", "layer", F.parse_json("j").alias("payload")), ["name", "layer"])
+    done = cat.deep_merge(df.select("name", "layer", F.parse_json("j").alias("payload")), ["name"], ["layer"])
     got = sorted((r.name, tuple("[#]" if k.startswith("[#") else k for k in r.path), json.dumps(json.loads(r.value), sort_keys=True))
-                 for r in cat.deep_merge(paths, ["name"], ["layer"]).collect())
-    want = []
+                 for r in done.leaves().collect())
+    want, whole = [], {}
     for n, fs in files.items():
         merged = {}
         for f in fs:
             merged = merge(merged, f)
         want += [(n, *x) for x in leaves(merged)]
+        whole[n] = merged
     assert got == sorted(want)
+    definitions = done.definitions().select("name", F.to_json("definition").alias("j")).collect()
+    assert len(definitions) == len(whole)
+    assert {r.name: json.loads(r.j) for r in definitions} == whole
+
+
+def test_deep_merge_of_nothing(spark):
+    df = spark.createDataFrame([(1, 1, "{}"), (1, 2, "{}"), (2, 1, "[1]")], "name long, layer long, j string").withColumn("payload", F.parse_json("j"))
+    done = cat.deep_merge(df, ["name"], ["layer"])
+    assert done.leaves().collect() == []
+    assert [(r.name, r.j) for r in done.definitions().select("name", F.to_json("definition").alias("j")).collect()] == [(1, "{}")]
 
 
 def test_merged_list_order_against_a_merge(spark):
