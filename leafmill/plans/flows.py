@@ -15,6 +15,7 @@ from leafmill.plans.inputs import (
     SIGNALS_SQL,
     STAGES_SQL,
     as_signals,
+    as_stages,
     ctes,
     docs,
     stages,
@@ -185,6 +186,33 @@ def ev_stage_workflow_completed(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
+def _pieces(spark, sf_dir, n=3):
+    """The events as a stream of several micro-batches, one file each."""
+    path = shared_folder(spark, "event-files")
+    table(spark, sf_dir, "events").repartition(n, F.col("event_id") % n).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("ev_stage_workflow_started", _outcomes_sql(OPEN_DOCS) + f""", {EVENTS_SQL}
+SELECT doc_id, definition AS name, counter, 'active' AS status FROM outcomes WHERE outcome = 'started'
+AND doc_id IN (SELECT doc_id FROM ev WHERE event = 'workflow.completed' AND workflow_type = 'stage_workflow' AND doc_id <> 0)""")
+def ev_stage_workflow_started(spark, sf_dir):
+    """The stages that are there after several micro-batches, many of which name the same documents."""
+    triggers = st.on_stage_workflow_completed(_as_events(_pieces(spark, sf_dir)))
+    out, ck = shared_folder(spark, "started"), shared_folder(spark, "started-state")
+    store = st.StageStore.create(spark, shared_folder(spark, "stage-store"))
+
+    def evaluate(ids, started):
+        d, s = _scope(ids.sparkSession, sf_dir)
+        stored = s.join(ids, "doc_id", "left_semi").select("doc_id", "name", "seq", "status")
+        later = started.join(ids, "doc_id", "left_semi").select("doc_id", "name", (F.lit(1 << 40) + F.col("counter")).alias("seq"), "status")
+        done = ev.evaluate_stages(d.join(ids, "doc_id", "left_semi"), stored.unionByName(later), DEFINITIONS, order="seq")
+        return done.outcomes.select("doc_id", "definition", "outcome", "reason", "counter")
+
+    st.evaluate_and_start(triggers, evaluate, store, out, ck).awaitTermination()
+    return store.read()
+
+
 _GATE_SQL = ctes(SIGNALS_SQL) + """, first AS (SELECT * FROM (SELECT *, value > 100 AS ready, row_number() OVER (PARTITION BY workflow_id ORDER BY ts, event_id) AS rn
   FROM signals WHERE value > 100 OR reason = 'cancel') WHERE rn = 1)"""
 
@@ -197,6 +225,14 @@ def trigger_gate(spark, sf_dir):
     return spark.read.parquet(out).select("workflow_id", "seq", "ready", "reason", "doc_id")
 
 
+@query("trigger_gate_keyed", _GATE_SQL + "SELECT workflow_id, event_id AS seq, ready, reason, doc_id FROM first")
+def trigger_gate_keyed(spark, sf_dir):
+    signals = as_signals(_event_stream(spark, sf_dir)).withColumnRenamed("event_id", "seq")
+    out, ck = shared_folder(spark, "gate"), shared_folder(spark, "gate-state")
+    st.gate_stream_keyed(signals, F.expr("value > 100"), out, ck).awaitTermination()
+    return spark.read.parquet(out).select("workflow_id", "seq", "ready", "reason", "doc_id")
+
+
 @query("trigger_gate_batch", _GATE_SQL + "SELECT workflow_id, event_id AS seq, ready, reason, doc_id FROM first")
 def trigger_gate_batch(spark, sf_dir):
     signals = as_signals(table(spark, sf_dir, "events")).withColumnRenamed("event_id", "seq")
@@ -211,6 +247,18 @@ def trigger_route(spark, sf_dir):
     return st.route(decided, {"research_methods": "web", "docId": "ignored"}).select("workflow_id", "action", "inputs")
 
 
+@query("start_dedup_stream", ctes(STAGES_SQL) + """, wanted AS (SELECT DISTINCT doc_id || '-' || name || '-' || (seq % 7) AS correlation_id FROM stages WHERE status <> 'active')
+SELECT correlation_id FROM wanted WHERE correlation_id NOT IN (SELECT doc_id || '-' || name || '-' || (seq % 7) FROM stages WHERE status = 'active')""")
+def start_dedup_stream(spark, sf_dir):
+    """Start requests of several micro-batches, most correlation ids in each of them."""
+    def with_id(s):
+        return s.withColumn("counter", F.col("seq") % 7).withColumn("correlation_id", wf.correlation_id())
+
+    wanted = with_id(as_stages(_pieces(spark, sf_dir))).where("status <> 'active'").select("correlation_id", "ts")
+    running = with_id(stages(spark, sf_dir)).where("status = 'active'")
+    return _run(spark, st.start_once_stream(wanted, running, "3650 days"), "start-once").select("correlation_id")
+
+
 # -- user functions -------------------------------------------------------------------------
 
 

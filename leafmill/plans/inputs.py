@@ -112,7 +112,12 @@ _STAGE_STATUS = """CASE WHEN value > 200 THEN 'scheduled' WHEN value > 150 THEN
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage instances in arrival order; ``seq`` orders the instances of a (document, name)."""
-    return table(spark, sf_dir, "events").select(
+    return as_stages(table(spark, sf_dir, "events"))
+
+
+def as_stages(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as stage instances."""
+    return events.select(
         F.col("user_id").alias("doc_id"),
         F.col("event_type").alias("name"),
         F.col("event_id").alias("seq"),

@@ -87,6 +87,75 @@ def test_gate_opens_once(spark, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 3
 
 
+GATE_BATCHES = [
+    [("a", 1, 1, "ready", 1, 5), ("b", 2, 2, "ready", 2, 500), ("b", 1, 9, "ready", 2, 600), ("c", 3, 3, None, 3, 5)],
+    [("a", 4, 4, "cancel", 1, 5), ("b", 0, 5, "cancel", 2, 900), ("c", 6, 6, None, 3, 101)],
+    [("a", 7, 7, "ready", 1, 900), ("d", 8, 8, "ready", 4, 100)],
+]
+
+
+def test_keyed_gate_opens_once(spark, tmp_path):
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    se.gate_stream_keyed(signal_files(spark, tmp_path, GATE_BATCHES), F.expr("value > 100"), out, ck).awaitTermination()
+    rows = sorted((r.workflow_id, r.seq, r.ready, r.reason) for r in spark.read.parquet(out).collect())
+    assert rows == [("a", 4, False, "cancel"), ("b", 9, True, "ready"), ("c", 6, True, "ready")]
+
+
+def test_an_open_gate_is_forgotten_after_its_time(spark, tmp_path):
+    day = 86_400
+    batches = [
+        [("a", 0, 1, "ready", 1, 500), ("b", 0, 2, "ready", 2, 500), ("c", 0, 3, "ready", 3, 5)],
+        [("a", day // 2, 4, "ready", 1, 500), ("x", 3 * day, 5, "ready", 9, 500)],  # a is still open; the watermark passes its end
+        [("x", 3 * day + 1, 6, "ready", 9, 500)],
+        [("a", 3 * day + 2, 7, "ready", 1, 500), ("b", 3 * day + 2, 8, "ready", 2, 5)],  # a opens again, b has no opening signal
+        [("a", 3 * day + 3, 9, "ready", 1, 500), ("x", 3 * day + 3, 10, "ready", 9, 500)],
+    ]
+    signals = signal_files(spark, tmp_path, batches).withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_000_000_000))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    se.gate_stream_keyed(signals, F.expr("value > 100"), out, ck, ttl="1 day").awaitTermination()
+    assert sorted((r.workflow_id, r.seq) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 7), ("b", 2), ("x", 5)]
+    out, ck = str(tmp_path / "out2"), str(tmp_path / "ck2")
+    se.gate_stream_keyed(signals, F.expr("value > 100"), out, ck).awaitTermination()
+    assert sorted((r.workflow_id, r.seq) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2), ("x", 5)]
+
+
+def test_requests_on_a_stream_start_once(spark, tmp_path):
+    batches = [[("a", 1, 1, "", 1, 0), ("a", 2, 2, "", 1, 0), ("b", 1, 3, "", 1, 0)], [("a", 3, 4, "", 1, 0), ("c", 4, 5, "", 1, 0)], [("b", 5, 6, "", 1, 0), ("r", 5, 7, "", 1, 0)]]
+    requests = signal_files(spark, tmp_path, batches).select(F.col("workflow_id").alias("correlation_id"), F.timestamp_seconds("ts").alias("ts"))
+    running = spark.createDataFrame([("r",), ("r",)], "correlation_id string")
+    out = str(tmp_path / "out")
+    once = se.start_once_stream(requests, running, "1 hour")
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.correlation_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("snapshot", [1, 2, 50])
+def test_a_stage_starts_once_over_batches(spark, tmp_path, snapshot):
+    """Five batches name the same document; the first starts its stages, and a replayed batch leaves the same."""
+    batches = [[("a", i, i, "", 1, 0), ("b", i, 10 + i, "", 2 if i == 3 else 1, 0)] for i in range(5)]
+    triggers = signal_files(spark, tmp_path, batches).select("doc_id")
+    docs = spark.createDataFrame([(1, "inbox"), (2, "inbox")], "doc_id long, status string")
+    stages = spark.createDataFrame([(1, "again", 1, "done")], "doc_id long, name string, counter long, status string")
+    defs = [StageDefinition("first"), StageDefinition("second", requirements=Requirements(stages={"first": "active"})), StageDefinition("again", multiple_callable=True)]
+    store = se.StageStore.create(spark, str(tmp_path / "store"), snapshot=snapshot)
+    calls = []
+
+    def evaluate(ids, started):
+        calls.append(sorted((r.doc_id, r.name) for r in started.collect()))
+        named = docs.join(ids, "doc_id", "left_semi")
+        return ev.evaluate_stages(named, stages.unionByName(started), defs, allow_rerun=True).outcomes
+
+    out = str(tmp_path / "out")
+    se.evaluate_and_start(triggers, evaluate, store, out, str(tmp_path / "ck")).awaitTermination()
+    want = [(1, "again", 2), (1, "first", 1), (1, "second", 1), (2, "again", 1), (2, "first", 1), (2, "second", 1)]
+    assert sorted((r.doc_id, r.name, r.counter) for r in store.read().collect()) == want
+    assert [len(c) for c in calls] == [0, 3, 3, 3, 6]
+    # the batch that started document 2 runs again, after later ones
+    assert sorted((r.doc_id, r.name) for r in store.before(3).collect()) == calls[3]
+    store.write(ev.started_stages(evaluate(spark.createDataFrame([(1,), (2,)], "doc_id long"), store.before(3))), 3)
+    assert sorted((r.doc_id, r.name, r.counter) for r in store.read().collect()) == want
+
+
 def test_route(spark):
     d = spark.createDataFrame([("a", "cancel", 1), ("b", "ready", 2)], "workflow_id string, reason string, doc_id long")
     rows = {r.workflow_id: r for r in se.route(d, {"docId": "x", "m": "y"}).collect()}
