@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators.mutations import normalise_result
+from leafmill.operators.mutations import normalise_result, set_attributes
 from leafmill.plans.changes import _results
 from leafmill.plans.evaluation import numbered
 from leafmill.plans.inputs import DOCS_SQL, NUMBERED_STAGES_SQL, ctes, docs, table
@@ -141,12 +141,37 @@ def extract_names(spark, sf_dir):
 def move_status_partition(spark, sf_dir):
     path = shared_folder(spark, "store")
     d = docs(spark, sf_dir).select("id", "status", "lang", "title", "body")
-    st.write_store(d, path)
+    st.write_store(d, path, buckets=4)
     new = F.expr("CASE WHEN status = 'active' THEN 'done' WHEN status = 'blocked' AND lang = 'en' THEN 'archived' END")
     st.move_status(spark, path, d.select("id", new.alias("new_status")).where("new_status IS NOT NULL"))
     return st.read_store(spark, path).select("id", "status", "title")
 
 
+@query("save_changed_documents", D + """SELECT id, CASE WHEN doc_id % 8 = 3 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 4 = 1 THEN lang || '?' ELSE lang END AS lang FROM docs
+WHERE doc_id % 10 <> 9""")
+def save_changed_documents(spark, sf_dir):
+    """The store after a save of all documents, some of which are changed, and the removal of some."""
+    path = shared_folder(spark, "saved")
+    d = docs(spark, sf_dir).select("id", "status", "attrs", "body")
+    st.write_store(d, path, buckets=4)
+    n = F.col("id").cast("bigint")
+    changes = d.where(n % 4 == 1).select("id", F.lit(1).alias("seq"), F.lit("lang").alias("key"), F.concat(F.try_variant_get("attrs", "$.lang", "string"), F.lit("?")).alias("value"))
+    new = set_attributes(st.read_store(spark, path), changes).accepted.withColumn("status", F.when(n % 8 == 3, "archived").otherwise(F.col("status")))
+    st.save_changed(spark, path, new)
+    st.save(spark, path, new.where("false"), gone=d.where(n % 10 == 9).select("id"))
+    return st.read_store(spark, path).select("id", "status", F.try_variant_get("attrs", "$.lang", "string").alias("lang"))
+
+
+@query("save_changed_stages", ctes(NUMBERED_STAGES_SQL) + """SELECT doc_id, name, counter, CASE WHEN status = 'scheduled' THEN 'cancelled' ELSE status END AS status FROM numbered""")
+def save_changed_stages(spark, sf_dir):
+    """The store of stages after the scheduled ones were cancelled and all were saved."""
+    path = shared_folder(spark, "saved-stages")
+    st.write_store(numbered(spark, sf_dir).select("doc_id", "name", "counter", "status", "stage_id"), path, "doc_id", 4)
+    s = st.read_store(spark, path, "doc_id")
+    st.save_changed(spark, path, s.withColumn("status", F.when(F.col("status") == "scheduled", "cancelled").otherwise(F.col("status"))), ("doc_id", "name", "counter"))
+    return st.read_store(spark, path, "doc_id").select("doc_id", "name", "counter", "status")
+
+
 @query("stage_result_sink", """WITH r AS (SELECT o_custkey AS doc_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 4 AS counter, o_orderpriority AS name, o_orderkey AS seq,
     CASE o_orderstatus WHEN 'F' THEN 'title: ' || o_orderpriority ELSE '{}' END AS head, CASE o_orderstatus WHEN 'F' THEN 'order ' ELSE 'text ' END || o_orderkey AS body
   FROM orders WHERE o_orderstatus <> 'P')

@@ -1,6 +1,7 @@
 """Lists, references and new documents written into the table."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from leafmill.functions.attributes import dotted_path, variant_path
 from leafmill.functions.variants import get_at, is_open, set_at
 from leafmill.operators import mutations as mu
 from leafmill.operators.filters import list_documents
+from leafmill.sources import store
 from tests.test_changes import documents
 
 LISTS = "id string, seq int, path string, value string"
@@ -116,3 +118,39 @@ def test_empty_batches(spark):
     refs = spark.createDataFrame([], "id string, seq int, key string, uuid string")
     done = mu.write_refs(docs, "doc_refs", refs)
     assert done.accepted.count() == 1 and done.rejects.count() == 0
+
+
+def files_of(path):
+    return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_one_move_of_a_million_rewrites_two_folders(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_store(spark.range(1_000_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, "inbox").otherwise("done").alias("status"), F.col("id").alias("n")), path)
+    before = files_of(path)
+    assert len(before) == 2 * store.BUCKETS
+    assert store.move_status(spark, path, spark.createDataFrame([("4", "done")], "id string, new_status string")) == ["done", "inbox"]
+    after = files_of(path)
+    changed = {os.path.dirname(f) for f, _ in set(before.items()) ^ set(after.items())}
+    assert len(changed) == 2 and {os.path.basename(os.path.dirname(d)) for d in changed} == {"status=done", "status=inbox"}
+    rows = store.read_store(spark, path)
+    assert rows.count() == 1_000_000 and rows.where("id = '4'").collect()[0].status == "done"
+    assert rows.agg(F.sum("n")).first()[0] == 499_999_500_000
+
+
+def test_a_save_writes_what_changed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    docs = documents(spark, [(str(i), "inbox" if i < 6 else "done", f"text {i}", f'{{"n":{i}}}', None, None) for i in range(8)]).select("id", "status", "body", "attrs")
+    store.write_store(docs, path, buckets=4)
+    before = files_of(path)
+    assert store.save_changed(spark, path, docs) == [] and files_of(path) == before
+    new = store.read_store(spark, path).withColumn("body", F.when(F.col("id") == "7", "changed").otherwise(F.col("body")))
+    new = new.withColumn("status", F.when(F.col("status") == "inbox", "active").otherwise(F.col("status")))
+    touched = store.save_changed(spark, path, new)
+    assert {s for s, _ in touched} == {"inbox", "active", "done"} and sum(s == "done" for s, _ in touched) == 1
+    want = {str(i): ("active" if i < 6 else "done", "changed" if i == 7 else f"text {i}", f'{{"n":{i}}}') for i in range(8)}
+    rows = store.read_store(spark, path).select("id", "status", "body", F.to_json("attrs").alias("j")).collect()
+    assert len(rows) == 8 and {r.id: (r.status, r.body, r.j) for r in rows} == want  # the inbox is empty now
+    more = documents(spark, [("9", "inbox", "new", "{}", None, None), (None, "inbox", "no id", "{}", None, None)]).select("id", "status", "body", "attrs")
+    store.save(spark, path, more, gone=spark.createDataFrame([("0",), ("nobody",)], "id string"))
+    assert sorted(r.id for r in store.read_store(spark, path).collect()) == [str(i) for i in (1, 2, 3, 4, 5, 6, 7, 9)]
