@@ -69,7 +69,8 @@ def score_candidates(
     The corpus is read once: the terms of a text are counted inside its row, the counts are written, and the
     document frequencies come from them. A row per key is expected; rows that share a key are texts of their own.
     """
-    rows = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
+    # a table of few, large files would be cut into words by as many tasks
+    rows = docs.select(key, text).repartition(key).select(key, tokens(F.col(text), stop_words).alias("w"))
     size = sum(F.greatest(F.size("w") - (n - 1), F.lit(0)) for n in range(ngram_range[0], ngram_range[1] + 1))
     counts = materialise(rows.select(key, size.alias("n"), F.inline(counted(ngrams(F.col("w"), *ngram_range)))), "term-counts")
     freq = counts.groupBy("term").agg(F.count("*").alias("df"))

@@ -218,7 +218,7 @@ scored AS (SELECT query_id, doc_id, round(sum(tf / n * (ln((1 + (SELECT count(*)
   FROM q JOIN tf USING (term) JOIN freq USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_results FROM scored)
 SELECT query_id, doc_id, rank, score, total_results, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example.org/' || doc_id AS url, source || '.example.org' AS domain,
-  substr(text, greatest(coalesce(list_min(list_filter(list_transform(words, lambda w: instr(lower(text), w)), lambda p: p > 0)), 1) - 50, 1), 100) AS snippet
+  substr(text, greatest(greatest(length(regexp_extract(' ' || lower(text) || ' ', '(?s)^(.*?[^\\p{{L}}\\p{{N}}_])(?:' || list_aggregate(words, 'string_agg', '|') || ')[^\\p{{L}}\\p{{N}}_]', 1)), 1) - 50, 1), 100) AS snippet
 FROM ranked JOIN documents USING (doc_id) JOIN wanted USING (query_id) WHERE rank <= 10""")
 def corpus_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
