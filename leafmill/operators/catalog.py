@@ -334,18 +334,82 @@ def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame
 
     ``extends`` (feature, pos, parent) and ``packages`` (feature, pos, package) are ordered lists. The
     packages of the parents come before the own ones, in list order, each package once at its
-    first place. Every round joins the newly found ancestors with their parents; of several ways to
-    one ancestor only the first in list order is kept, so the work grows with the number of
-    (feature, ancestor) pairs and not with the number of paths. A way that would visit a feature
-    twice is not followed, so cycles end.
+    first place. Ways to ancestors are joined with ways, so their length doubles with every round. A way that would visit a feature
+    twice is not followed; only features that reach a cycle take the slower walk which looks for that.
+    """
+    features = features.select("feature").distinct()
+    edges = materialise(extends.select("feature", F.col("pos").cast("bigint").alias("pos"), "parent"), "extends")
+    own = packages.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "package")
+    reach = _reach(edges)
+    circles = reach.where(F.col("feature") == F.col("ancestor")).select("ancestor")
+    tangled = materialise(reach.join(circles, "ancestor", "left_semi").select("feature").distinct(), "tangled")
+
+    def in_order(placed: DataFrame, place: Column) -> DataFrame:
+        """Packages at the first place of any ancestor that has them."""
+        firsts = placed.join(own, "ancestor").groupBy("feature", "package").agg(F.min(place).alias("_p"))
+        return firsts.select("feature", F.row_number().over(Window.partitionBy("feature").orderBy("_p")).cast("bigint").alias("pos"), "package")
+
+    by_rank, by_way = F.struct("rank", "pos"), F.concat(_place("at"), F.array("pos"))
+    if tangled.isEmpty():
+        return in_order(_ranked_ways(features, edges), by_rank)
+    free = _ranked_ways(features.join(tangled, "feature", "left_anti"), edges.join(tangled, "feature", "left_anti"))
+    return in_order(free, by_rank).unionByName(in_order(_simple_ways(features.join(tangled, "feature", "left_semi"), edges), by_way))
+
+
+def _reach(edges: DataFrame) -> DataFrame:
+    """Every (feature, ancestor) pair, in about as many rounds as the longest of the shortest ways has binary digits."""
+    reach = materialise(edges.select("feature", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("steps")).distinct(), "reach")
+    size = 1
+    while True:
+        longest = reach.where(F.col("steps") == size).select("feature", F.col("ancestor").alias("_mid"))
+        if longest.isEmpty():
+            return reach.select("feature", "ancestor")
+        on = reach.select(F.col("feature").alias("_mid"), "ancestor", (F.col("steps") + size).alias("steps"))
+        further = longest.join(on, "_mid").select("feature", "ancestor", "steps")
+        reach = materialise(reach.unionByName(further).groupBy("feature", "ancestor").agg(F.min("steps").alias("steps")), "reach")
+        size *= 2
+
+
+def _ranked_ways(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(feature, ancestor, rank)`` without cycles: the order in which a walk leaves the ancestors, parents first.
+
+    Of several ways to one ancestor the first in list order counts. Every part of such a way is the first one between its ends too, so ways are
+    known by their rank among those of their feature: a way as long as all found so far and one that goes on from its end compare by two ranks.
+    """
+    nodes = features.unionByName(edges.select("feature")).unionByName(edges.select(F.col("parent").alias("feature"))).distinct()
+    zero = F.lit(0).cast("bigint")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("feature", "ancestor").agg(F.min(F.struct("first", "ends", "then", "steps")).alias("b"))
+        rank = F.row_number().over(Window.partitionBy("feature").orderBy("b.first", "b.ends", "b.then")).cast("bigint")
+        return materialise(best.select("feature", "ancestor", rank.alias("rank"), "b.steps"), "ways")
+
+    # one step sorts by its place in the list, the feature itself comes after all its parents
+    ways = ranked(
+        edges.select("feature", F.col("parent").alias("ancestor"), F.col("pos").alias("first"), F.lit(0).alias("ends"), zero.alias("then"), F.lit(1).cast("bigint").alias("steps"))
+        .unionByName(nodes.select("feature", F.col("feature").alias("ancestor"), F.lit(2**62).cast("bigint").alias("first"), F.lit(1).alias("ends"), zero.alias("then"), zero.alias("steps"))))
+    size = 1
+    while True:
+        longest = ways.where(F.col("steps") == size).select("feature", F.col("ancestor").alias("_mid"), F.col("rank").alias("first"))
+        if longest.isEmpty():
+            return ways.join(features, "feature", "left_semi").select("feature", "ancestor", "rank")
+        on = ways.where("steps > 0").select(F.col("feature").alias("_mid"), "ancestor", F.col("rank").alias("then"), "steps")
+        further = longest.join(on, "_mid").select("feature", "ancestor", "first", F.lit(0).alias("ends"), "then", (F.col("steps") + size).alias("steps"))
+        ways = ranked(further.unionByName(ways.select("feature", "ancestor", F.col("rank").alias("first"), F.lit(1).alias("ends"), zero.alias("then"), "steps")))
+        size *= 2
+
+
+def _simple_ways(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(feature, ancestor, at)`` where ways may run into cycles: one step a round, each way with the features it has visited.
+
+    ``at`` is the place of an ancestor in the final list: the positions on the way there. The
+    marker of ``_place`` after the last position sorts the own packages behind those of all parents.
     """
-    # ``at`` is the place of an ancestor in the final list: the positions on the way there. The
-    # marker after the last position sorts the own packages behind those of all parents.
     found = features.select("feature", F.col("feature").alias("ancestor"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("at"),
-                            F.array("feature").alias("way")).distinct()
+                            F.array("feature").alias("way"))
     found = materialise(found, "closure")
     frontier = found
-    edges = extends.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "parent")
+    edges = edges.withColumnRenamed("feature", "ancestor")
     while not frontier.isEmpty():
         step = frontier.join(edges, "ancestor").where(~F.array_contains("way", F.col("parent")))
         step = step.select("feature", F.col("parent").alias("ancestor"), F.concat("at", F.array("pos")).alias("at"),
@@ -355,10 +419,7 @@ def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame
         fresh = best.join(found.select("feature", "ancestor", F.col("at").alias("_old")), ["feature", "ancestor"], "left")
         frontier = fresh.where(~F.col("_old").eqNullSafe(F.col("at"))).drop("_old")
         found = best
-    own = packages.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "package")
-    placed = found.join(own, "ancestor").groupBy("feature", "package").agg(F.min(F.concat(_place("at"), F.array("pos"))).alias("_p"))
-    w = Window.partitionBy("feature").orderBy("_p")
-    return placed.select("feature", F.row_number().over(w).cast("bigint").alias("pos"), "package")
+    return found.select("feature", "ancestor", "at")
 
 
 def _place(at: str) -> Column:

@@ -78,6 +78,34 @@ def test_extends_closure_against_a_walk(spark):
     assert got == {f: walk(f, []) for f in extends}
 
 
+def closure_of(spark, extends, packages):
+    edges = spark.createDataFrame([(f, i, p) for f, ps in extends.items() for i, p in enumerate(ps)], "feature long, pos long, parent long")
+    own = spark.createDataFrame([(f, i, p) for f, ps in packages.items() for i, p in enumerate(ps)], "feature long, pos long, package string")
+    got = {}
+    for r in cat.extends_closure(spark.createDataFrame([(f,) for f in extends], "feature long"), edges, own).orderBy("feature", "pos").collect():
+        got.setdefault(r.feature, []).append(r.package)
+    return got
+
+
+def test_extends_closure_of_random_graphs(spark):
+    """Without cycles, where many ways lead to one ancestor."""
+    random.seed(11)
+    extends = {f: random.sample(range(f), min(f, random.randint(0, 4))) for f in range(60)}
+    packages = {f: random.sample([f"p{i}" for i in range(30)], random.randint(0, 3)) for f in range(60)}
+    done = {}
+    for f in range(60):
+        done[f] = list(dict.fromkeys([p for parent in extends[f] for p in done[parent]] + packages[f]))
+    assert closure_of(spark, extends, packages) == {f: ps for f, ps in done.items() if ps}
+
+
+def test_extends_closure_of_a_long_chain(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cat, "materialise", lambda df, name, keep=cat.materialise: written.append(name) or keep(df, name))
+    got = closure_of(spark, {f: [f - 1] if f else [] for f in range(1000)}, {f: [f"p{f}"] for f in range(1000)})
+    assert len(got) == 1000 and all(got[f] == [f"p{i}" for i in range(f + 1)] for f in (0, 1, 2, 500, 999))
+    assert written.count("ways") <= 11 and written.count("reach") <= 12
+
+
 def test_deep_merge_against_dict_merge(spark):
     import json
 
