@@ -7,7 +7,7 @@ VARIANT column ``attrs``. The type of a VARIANT value differs from row to row, s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,20 +53,30 @@ def try_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
-@dataclass(frozen=True)
 class Attribute:
-    """One attribute, split by kind."""
+    """One attribute, split by kind. Each form is given as a function and made when it is first asked for, since
+    most of the expressions are long and a check needs one or two."""
 
     present: Column  # not null (a VARIANT null counts as null)
     string: Column  # value if it is text
     number: Column  # value as double if it is a number or a boolean (true = 1)
     boolean: Column  # value if it is a boolean
     kind: Column  # 'string', 'number', 'boolean', 'list', 'object' or null
-    list_has: callable  # literal, fold case -> Column, true if a list holds the literal
+    list_has: Callable[..., Column]  # literal, fold case -> Column, true if a list holds the literal
     text: Column  # text form of a scalar or list, as Python prints it
     truthy: Column
     json: Column  # compact JSON text, for structural equality
 
+    def __init__(self, **forms: Callable):
+        self._forms = forms
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._forms:
+            raise AttributeError(name)
+        made = self._forms[name]()
+        setattr(self, name, made)
+        return made
+
 
 def attribute(df: DataFrame, name: str, path: str | None = None) -> Attribute:
     """Resolve ``name``; ``path`` gives a nested JSON path inside ``attrs`` instead of a flat key."""
@@ -125,83 +135,71 @@ def _python_items(items: Column) -> Column:
 
 
 def _from_column(c: Column, dtype: T.DataType) -> Attribute:
-    no_string, no_number, no_bool = (F.lit(None).cast(t) for t in ("string", "double", "boolean"))
-    never = F.lit(False)
-    shared = {"present": c.isNotNull(), "list_has": lambda value, fold: never}
-    kind = lambda word: F.when(c.isNotNull(), F.lit(word))
+    nothing = lambda t: lambda: F.lit(None).cast(t)
+    never = lambda: F.lit(False)
+    shared = {"present": c.isNotNull, "list_has": lambda: lambda value, fold: never(),
+              "string": nothing("string"), "number": nothing("double"), "boolean": nothing("boolean")}
+    kind = lambda word: lambda: F.when(c.isNotNull(), F.lit(word))
     if isinstance(dtype, T.VariantType):
         return _from_variant(c)
     if isinstance(dtype, T.BooleanType):
-        return Attribute(string=no_string, number=c.cast("double"), boolean=c, kind=kind("boolean"), text=_python_bool(c),
-                         truthy=false_if_null(c), json=F.to_json(F.array(c)), **shared)
+        return Attribute(**shared | {"number": lambda: c.cast("double"), "boolean": lambda: c, "kind": kind("boolean"), "text": lambda: _python_bool(c),
+                                     "truthy": lambda: false_if_null(c), "json": lambda: F.to_json(F.array(c))})
     if isinstance(dtype, T.NumericType):
-        return Attribute(string=no_string, number=c.cast("double"), boolean=no_bool, kind=kind("number"),
-                         text=_python_float(c.cast("double")) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c.cast("string"),
-                         truthy=false_if_null(c != 0), json=c.cast("string"), **shared)
+        is_float = isinstance(dtype, (T.DoubleType, T.FloatType))
+        return Attribute(**shared | {"number": lambda: c.cast("double"), "kind": kind("number"),
+                                     "text": lambda: _python_float(c.cast("double")) if is_float else c.cast("string"),
+                                     "truthy": lambda: false_if_null(c != 0), "json": lambda: c.cast("string")})
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
 
         def has(value, fold):
             if not isinstance(value, str):
-                return F.exists(c, lambda x: x.isNull()) if value is None else never
+                return F.exists(c, lambda x: x.isNull()) if value is None else never()
             wanted = F.lit(value.lower() if fold else value)
             return F.exists(c, lambda x: (F.lower(x) if fold else x).eqNullSafe(wanted))
 
-        return Attribute(present=c.isNotNull(), string=no_string, number=no_number, boolean=no_bool, kind=kind("list"),
-                         list_has=has, text=_python_list(c), truthy=F.coalesce(F.size(c) > 0, never), json=F.to_json(c))
+        return Attribute(**shared | {"kind": kind("list"), "list_has": lambda: has, "text": lambda: _python_list(c),
+                                     "truthy": lambda: F.coalesce(F.size(c) > 0, never()), "json": lambda: F.to_json(c)})
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         word = "list" if isinstance(dtype, T.ArrayType) else "object"
-        return Attribute(string=no_string, number=no_number, boolean=no_bool, kind=kind(word), text=F.to_json(c),
-                         truthy=c.isNotNull(), json=F.to_json(c), **shared)
+        return Attribute(**shared | {"kind": kind(word), "text": lambda: F.to_json(c), "truthy": c.isNotNull, "json": lambda: F.to_json(c)})
     s = c.cast("string")  # text; dates and timestamps compare in ISO form
-    return Attribute(string=s, number=no_number, boolean=no_bool, kind=kind("string"), text=s,
-                     truthy=false_if_null(s != ""), json=F.to_json(F.array(s)), **shared)
+    return Attribute(**shared | {"string": lambda: s, "kind": kind("string"), "text": lambda: s,
+                                 "truthy": lambda: false_if_null(s != ""), "json": lambda: F.to_json(F.array(s))})
+
+
+_WHOLE, _REAL, _TEXT = "^(BIGINT|INT|SMALLINT|TINYINT)", "^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)", "^(STRING|DATE|TIMESTAMP)"
 
 
 def _from_variant(v: Column) -> Attribute:
     t = F.schema_of_variant(v)
-    is_bool = t == "BOOLEAN"
-    is_number = t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)")
-    is_list = t.startswith("ARRAY")
-    is_object = t.startswith("OBJECT")
-    # Dates and timestamps compare in ISO text form.
-    is_string = t.rlike("^(STRING|DATE|TIMESTAMP)")
-    present = false_if_null(v.isNotNull() & (t != "VOID"))
-    as_string = F.when(is_string, F.try_variant_get(v, "$", "string"))
-    as_bool = F.when(is_bool, F.try_variant_get(v, "$", "boolean"))
-    as_double = F.when(is_number, F.try_variant_get(v, "$", "double"))
-    whole = t.rlike("^(BIGINT|INT|SMALLINT|TINYINT)")
-    text = (
-        F.when(is_string, as_string)
-        .when(is_bool, _python_bool(as_bool))
-        .when(whole, F.try_variant_get(v, "$", "bigint").cast("string"))
-        .when(is_number, _python_float(as_double))
-        .when(is_list, _python_items(F.try_variant_get(v, "$", "array<variant>")))
-        .otherwise(F.to_json(v))
-    )
-    kind = (
-        F.when(is_string, "string").when(is_bool, "boolean").when(is_number, "number")
-        .when(is_list, "list").when(is_object, "object")
-    )
+    get = lambda kind: F.try_variant_get(v, "$", kind)
+    items = lambda: F.when(t.startswith("ARRAY"), get("array<variant>"))
 
     def has(value, fold):
-        items = F.when(is_list, F.try_variant_get(v, "$", "array<variant>"))
-        return F.exists(items, lambda x: _variant_equals(x, value, fold))
-
-    return Attribute(
-        present=present,
-        string=as_string,
-        number=F.coalesce(as_double, as_bool.cast("double")),
-        boolean=as_bool,
-        kind=kind,
-        list_has=has,
-        text=F.when(present, text),
-        truthy=false_if_null(
-            F.when(is_string, as_string != "").when(is_bool, as_bool).when(is_number, as_double != 0)
-            .when(is_list, F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-            .when(is_object, t != "OBJECT<>")
-        ),
-        json=F.to_json(v),
-    )
+        return F.exists(items(), lambda x: _variant_equals(x, value, fold))
+
+    def text() -> Column:
+        return F.when(
+            a.present,
+            F.when(t.rlike(_TEXT), a.string).when(t == "BOOLEAN", _python_bool(a.boolean)).when(t.rlike(_WHOLE), get("bigint").cast("string"))
+            .when(t.rlike(_REAL), _python_float(get("double"))).when(t.startswith("ARRAY"), _python_items(get("array<variant>"))).otherwise(F.to_json(v)))
+
+    def truthy() -> Column:
+        return false_if_null(
+            F.when(t.rlike(_TEXT), a.string != "").when(t == "BOOLEAN", a.boolean).when(t.rlike(_REAL), get("double") != 0)
+            .when(t.startswith("ARRAY"), F.size(get("array<variant>")) > 0).when(t.startswith("OBJECT"), t != "OBJECT<>"))
+
+    a = Attribute(
+        present=lambda: false_if_null(v.isNotNull() & (t != "VOID")),
+        string=lambda: F.when(t.rlike(_TEXT), get("string")),  # dates and timestamps compare in ISO form
+        boolean=lambda: F.when(t == "BOOLEAN", get("boolean")),
+        number=lambda: F.when(t.rlike(_REAL), get("double")).when(t == "BOOLEAN", get("boolean").cast("double")),
+        kind=lambda: (
+            F.when(t.rlike(_TEXT), "string").when(t == "BOOLEAN", "boolean").when(t.rlike(_REAL), "number")
+            .when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object")),
+        list_has=lambda: has, text=text, truthy=truthy, json=lambda: F.to_json(v))
+    return a
 
 
 def _variant_equals(item: Column, value, fold: bool) -> Column:

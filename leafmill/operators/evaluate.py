@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.attributes import false_if_null
 from leafmill.model import OPEN_STAGE_STATUS
-from leafmill.operators.requirements import StageDefinition, needed_states, requirements_met
+from leafmill.operators.requirements import RuleTable, StageDefinition, needed_states, quoted, requirements_met, sql_text
 
 # Outcome texts of an evaluation.
 REASON_NO_EVAL = "no_eval"
@@ -53,10 +53,6 @@ def _has(name: str, status: str) -> str:
     return f"_has:{name}:{status}"
 
 
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def stage_summary(
     stages: DataFrame, definitions: list[StageDefinition], order: str = "counter"
 ) -> DataFrame:
@@ -66,17 +62,16 @@ def stage_summary(
     All aggregates are numbers or booleans, so a document with most of the stages is reduced inside
     the map tasks. The first open instance is the least of ``2 * order + (status is active)``.
     """
-    names = [d.name for d in definitions]
-    pairs = needed_states(definitions)
-    is_open = F.col("status").isin(*OPEN_STAGE_STATUS)
-    first_open = F.col(order) * 2 + (F.col("status") == "active").cast("int")
+    # as SQL text: one call each, however many definitions there are
+    is_open = f"status IN ({', '.join(map(sql_text, OPEN_STAGE_STATUS))})"
+    first_open = f"`{order}` * 2 + CAST(status = 'active' AS INT)"
     aggregates = []
-    for name in names:
-        mine = F.col("name") == name
-        aggregates.append(F.count(F.when(mine, 1)).alias(_n(name)))
-        aggregates.append(F.min(F.when(mine & is_open, first_open)).alias(_run(name)))
-    for name, status in pairs:
-        aggregates.append(F.max((F.col("name") == name) & (F.col("status") == status)).alias(_has(name, status)))
+    for name in [d.name for d in definitions]:
+        mine = f"name = {sql_text(name)}"
+        aggregates.append(F.expr(f"count(CASE WHEN {mine} THEN 1 END)").alias(_n(name)))
+        aggregates.append(F.expr(f"min(CASE WHEN {mine} AND {is_open} THEN {first_open} END)").alias(_run(name)))
+    for name, status in needed_states(definitions):
+        aggregates.append(F.expr(f"max(name = {sql_text(name)} AND status = {sql_text(status)})").alias(_has(name, status)))
     aggregates.append(F.count("*").alias("_stages"))
     return stages.groupBy("doc_id").agg(*aggregates)
 
@@ -84,31 +79,31 @@ def stage_summary(
 def with_stage_summary(
     docs: DataFrame, stages: DataFrame, definitions: list[StageDefinition], order: str = "counter"
 ) -> DataFrame:
-    pairs = needed_states(definitions)
-    joined = docs.join(stage_summary(stages, definitions, order), "doc_id", "left")
-    zero = {_n(d.name): 0 for d in definitions} | {"_stages": 0}
-    return joined.na.fill(zero).na.fill(False, [_has(n, s) for n, s in pairs])
+    summary = stage_summary(stages, definitions, order)
+    joined = docs.join(summary, "doc_id", "left")
+    # documents without stages have no row there
+    empty = {_n(d.name): "0" for d in definitions} | {"_stages": "0"} | {_has(n, s): "false" for n, s in needed_states(definitions)}
+    given = [F.expr(f"coalesce({quoted(c)}, {empty[c]})").alias(c) if c in empty else F.expr(quoted(c)) for c in summary.columns if c != "doc_id"]
+    return joined.select(*[F.expr(quoted(c)) for c in docs.columns], *given)
 
 
 _STATE = "struct<started:array<string>,status:string,stages:bigint,outcomes:array<struct<pass:int,definition:string,outcome:string,reason:string,checked:boolean,counter:bigint>>>"
 
 
-def _facts(docs: DataFrame, definitions: list[StageDefinition], pairs, installed) -> Column:
+def _facts(rules: RuleTable, hits: str, definitions: list[StageDefinition], installed) -> Column:
     """One struct per definition: what is stored, and whether the requirements that no start changes are met."""
 
-    def stored_only(d: StageDefinition) -> Column:
-        needs = [(n, s) for n, s in (d.requirements.stages.items() if d.requirements else ())]
-        none = F.expr("CAST(array() AS ARRAY<STRUCT<stored: BOOLEAN, starts: STRING>>)")
+    def needs(d: StageDefinition) -> str:
         # a stage that starts here is active; no other state of it comes about
-        given = [F.struct(_c(_has(n, s)).alias("stored"), F.lit(n if s == "active" else None).cast("string").alias("starts")) for n, s in needs]
-        return F.array(*given) if given else none
+        given = [f"named_struct('stored', {quoted(_has(n, s))}, 'starts', {sql_text(n) if s == 'active' else 'CAST(NULL AS STRING)'})"
+                 for n, s in (d.requirements.stages.items() if d.requirements else ())]
+        return f"array({', '.join(given)})" if given else "CAST(array() AS ARRAY<STRUCT<stored: BOOLEAN, starts: STRING>>)"
 
-    return F.array(*[
-        F.struct(
-            F.lit(d.name).alias("name"), _c(_n(d.name)).cast("bigint").alias("n"), _c(_run(d.name)).cast("bigint").alias("run"),
-            requirements_met(docs, d, installed, lambda name, status: F.lit(True)).alias("met"), stored_only(d).alias("needs"),
-            F.lit(d.no_eval).alias("no_eval"), F.lit(d.multiple_callable).alias("multiple"))
-        for d in definitions])
+    rows = [
+        f"named_struct('name', {sql_text(d.name)}, 'n', CAST({quoted(_n(d.name))} AS BIGINT), 'run', CAST({quoted(_run(d.name))} AS BIGINT), "
+        f"'met', {rules.met(d, hits, installed)}, 'needs', {needs(d)}, 'no_eval', {str(d.no_eval).lower()}, 'multiple', {str(d.multiple_callable).lower()})"
+        for d in definitions]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def _decide(state: Column, cell: Column, allow_rerun: bool) -> Column:
@@ -171,22 +166,23 @@ def evaluate_stages(
     if not chosen:
         raise UnknownStage("No stage definitions found")
     involved = active if passes > 1 else chosen
-    pairs = needed_states(involved)
     rows = with_stage_summary(docs, stages, involved, order).withColumn("_old_status", F.col("status"))
-    rows = rows.withColumn("_facts", _facts(docs, involved, pairs, installed))
+    rules = RuleTable(docs, involved)
+    rows = rows.withColumn("_hits", rules.hits).withColumn("_facts", _facts(rules, "_hits", involved, installed))
     if any(c.attribute == "status" for d in involved if d.requirements for c in d.requirements.attribute_checks):
         # a requirement on the status is met or not as the status goes from inbox to active
-        rows = rows.withColumn("status", F.lit("active")).withColumn("_facts_active", _facts(docs, involved, pairs, installed)).withColumn("status", F.col("_old_status"))
+        rows = rows.withColumn("status", F.lit("active")).withColumn("_hits_active", rules.hits).withColumn("status", F.col("_old_status"))
+        rows = rows.withColumn("_facts_active", _facts(rules, "_hits_active", involved, installed))
     else:
         rows = rows.withColumn("_facts_active", F.col("_facts"))
     place = {d.name: i for i, d in enumerate(involved)}
     cells = []
     for p in range(1, passes + 1):
         looked_at = active if p > 1 else chosen
-        cells += [F.struct(F.lit(p).alias("pass"), F.lit(place[d.name]).alias("no"), F.lit(d is looked_at[-1]).alias("last")) for d in looked_at]
+        cells += [f"named_struct('pass', {p}, 'no', {place[d.name]}, 'last', {str(d is looked_at[-1]).lower()})" for d in looked_at]
     start = F.struct(F.expr("CAST(array() AS ARRAY<STRING>)").alias("started"), F.col("status").alias("status"), F.col("_stages").cast("bigint").alias("stages"),
                      F.array().cast("array<struct<pass:int,definition:string,outcome:string,reason:string,checked:boolean,counter:bigint>>").alias("outcomes"))
-    rows = rows.withColumn("_end", F.aggregate(F.array(*cells), start, lambda state, cell: _decide(state, cell, allow_rerun)))
+    rows = rows.withColumn("_end", F.aggregate(F.expr(f"array({', '.join(cells)})"), start, lambda state, cell: _decide(state, cell, allow_rerun)))
     # not ``inline``: its test for an empty list would be pushed below and evaluate everything a second time
     outcomes = rows.select("doc_id", F.inline_outer("_end.outcomes")).where("definition IS NOT NULL")
     kept = [F.col("_end.status").alias("status") if c == "status" else F.col(f"`{c}`") for c in docs.columns]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from leafmill.operators.filters import equals, everything
 LIST_HAS = ("HAS", "CONTAINS", "INCLUDES")
 LIST_HAS_NOT = ("NOT_HAS", "NOT_CONTAINS", "NOT_INCLUDES")
 RANGE = ("GT", "LT", "GTE", "LTE")
+COMPARE = ("EQ", "NE", *RANGE)
 
 
 @dataclass(frozen=True)
@@ -80,11 +83,14 @@ def attribute_check(docs: DataFrame, check: AttributeCheck) -> Column:
     string = F.lower(attr.string) if fold else attr.string
     if fold:
         value = value.lower()
+    if operator in COMPARE and isinstance(value, (str, bool, int, float)):
+        is_text = isinstance(value, str)
+        return _compared(attr, string if is_text else attr.number, operator, F.lit(value if is_text else float(value)), is_text)
     if operator in ("EQ", "NE", "IS", "IS_NOT"):
-        same = _identical(attr, check.value) if operator.startswith("IS") else _equal(attr, string, value)
+        same = _identical(attr, check.value) if operator.startswith("IS") else F.lit(False) if value is None else equals(attr, value)
         hit = ~same if operator in ("NE", "IS_NOT") else same
     elif operator in RANGE:
-        hit = _in_range(attr, string, operator, value)
+        hit = F.lit(False)  # neither text nor a number
     elif operator in ("CP", "NP"):
         glob = matches_glob(string, value) if isinstance(value, str) else F.lit(False)
         hit = ~glob if operator == "NP" else glob
@@ -98,12 +104,13 @@ def attribute_check(docs: DataFrame, check: AttributeCheck) -> Column:
     return false_if_null(attr.present & hit)
 
 
-def _equal(attr: Attribute, string: Column, value) -> Column:
-    if value is None:
-        return F.lit(False)
-    if isinstance(value, str):
-        return false_if_null(string == value)
-    return equals(attr, value)
+def _compared(attr: Attribute, left: Column, operator: str, value: Column, is_text: bool) -> Column:
+    """One of ``COMPARE`` between the attribute's text or number and a value of the same kind."""
+    outcome = {"EQ": left.__eq__, "NE": left.__eq__, "GT": left.__gt__, "LT": left.__lt__, "GTE": left.__ge__, "LTE": left.__le__}[operator](value)
+    if operator in RANGE and not is_text:
+        outcome = outcome & ~F.isnan(left)
+    hit = false_if_null(outcome)
+    return attr.present & (~hit if operator == "NE" else hit)
 
 
 def _identical(attr: Attribute, value) -> Column:
@@ -117,17 +124,6 @@ def _identical(attr: Attribute, value) -> Column:
     return equals(attr, value)
 
 
-def _in_range(attr: Attribute, string: Column, operator: str, value) -> Column:
-    if isinstance(value, str):
-        left, right = string, F.lit(value)
-    elif isinstance(value, (bool, int, float)):
-        left, right = attr.number, F.lit(float(value))
-    else:
-        return F.lit(False)
-    outcome = {"GT": left > right, "LT": left < right, "GTE": left >= right, "LTE": left <= right}[operator]
-    return false_if_null(outcome & ~F.isnan(left) if not isinstance(value, str) else outcome)
-
-
 def type_conflict(docs: DataFrame, check: AttributeCheck) -> Column:
     """A range check whose attribute has a type that does not compare with the value."""
     if check.operator.upper() not in RANGE:
@@ -154,15 +150,9 @@ def file_presence(check: FilePresence) -> Column:
     """Number of file references with the key against the count; an unknown operator passes."""
     n = F.coalesce(F.size(F.filter("file_refs", lambda r: r["key"] == check.key)), F.lit(0))
     n = F.greatest(n, F.lit(0))
-    outcomes = {
-        ">=": n >= check.count,
-        "==": n == check.count,
-        ">": n > check.count,
-        "<=": n <= check.count,
-        "<": n < check.count,
-        "!=": n != check.count,
-    }
-    return outcomes.get(check.count_operator, F.lit(True))
+    outcomes = {">=": n.__ge__, "==": n.__eq__, ">": n.__gt__, "<=": n.__le__, "<": n.__lt__, "!=": n.__ne__}
+    compare = outcomes.get(check.count_operator)
+    return F.lit(True) if compare is None else compare(check.count)
 
 
 def extras_gate(required: tuple[str, ...], installed: set[str]) -> Column:
@@ -242,6 +232,69 @@ def requirements_met(
     return everything(parts)
 
 
+def sql_text(value: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _each(values: list, test: Callable[[Column], Column]) -> Column:
+    return F.transform(F.lit(values), lambda v: test(v))
+
+
+def quoted(column: str) -> str:
+    """A column name in Spark SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+class RuleTable:
+    """The checks of many definitions as data: equal checks count once, and comparisons of one attribute by one operator are
+    one expression over the array of their values. ``hits`` has the outcome of every check as an array of booleans."""
+
+    def __init__(self, docs: DataFrame, definitions: list[StageDefinition]):
+        known: dict[str, Attribute] = {}
+        groups: dict[tuple, list] = {}
+        single: list = []
+        # by their text, since True, 1 and 1.0 are equal but other values to a check
+        for check in {repr(c): c for d in definitions for c in self._checks(d)}.values():
+            if isinstance(check, AttributeCheck) and check.operator.upper() in COMPARE and isinstance(check.value, (str, bool, int, float)):
+                is_text = isinstance(check.value, str)
+                groups.setdefault((check.attribute, check.operator.upper(), is_text, is_text and not check.case_sensitive), []).append(check)
+            else:
+                single.append(check)
+        parts: list[Column] = []
+        self.places: dict[str, int] = {}
+        for (name, operator, is_text, fold), checks in groups.items():
+            attr = known.setdefault(name, attribute(docs, name))
+            left = (F.lower(attr.string) if fold else attr.string) if is_text else attr.number
+            values = [(c.value.lower() if fold else c.value) if is_text else float(c.value) for c in checks]
+            compared = partial(_compared, attr, left, operator, is_text=is_text)
+            parts.append(_each(values, compared))
+            self._place(checks)
+        if single:
+            makers = {AttributeCheck: lambda c: attribute_check(docs, c), ListCheck: lambda c: list_check(docs, c), FilePresence: file_presence}
+            parts.append(F.array(*[makers[type(c)](c) for c in single]))
+            self._place(single)
+        self.hits = F.concat(*parts) if parts else F.array().cast("array<boolean>")
+
+    def _place(self, checks: list) -> None:
+        for check in checks:
+            self.places[repr(check)] = len(self.places)
+
+    @staticmethod
+    def _checks(definition: StageDefinition) -> list:
+        req = definition.requirements
+        if req is None or definition.no_eval:
+            return []
+        return [*([req.file_presence] if req.file_presence else []), *req.attribute_checks, *req.list_checks]
+
+    def met(self, definition: StageDefinition, hits: str, installed: set[str]) -> str:
+        """SQL text: whether the checks of a definition hold, without its stage prerequisites. ``hits`` names the column of the outcomes."""
+        req = definition.requirements
+        if definition.no_eval or (req and not all(extra in installed for extra in req.extras)):
+            return "false"
+        return " AND ".join([f"{hits}[{self.places[repr(c)]}]" for c in self._checks(definition)]) or "true"
+
+
 def requirement_matrix(
     docs: DataFrame, stages: DataFrame, definitions: list[StageDefinition], installed: set[str] = frozenset()
 ) -> DataFrame:

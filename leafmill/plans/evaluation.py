@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import evaluate as ev
 from leafmill.operators import requirements as req
+from leafmill.operators.requirements import AttributeCheck, ListCheck, Requirements, StageDefinition
 from leafmill.operators.ranking import running_number
 from leafmill.plans.inputs import (
     DEFINITIONS,
@@ -163,6 +164,26 @@ def doc_stage_matrix(spark, sf_dir):
 # -- evaluation -----------------------------------------------------------------------------
 
 
+def _many_definitions():
+    """Forty definitions whose requirements differ in their values; every third one needs the one before it."""
+    languages = ["en", "fr", "de", "es"]
+    return [StageDefinition(f"s{i}", requirements=Requirements(
+        stages={f"s{i - 1}": "active"} if i % 3 == 2 else {},
+        attribute_checks=(AttributeCheck("priority", "GT", i / 50), *([AttributeCheck("lang", "EQ", languages[i % 4].upper(), case_sensitive=False)] if i % 2 else [])),
+        list_checks=(ListCheck("tags", "HAS", "blog_post_ideas", case_sensitive=False),) if i % 5 == 0 else ())) for i in range(40)]
+
+
+def _many_sql(i: str) -> str:
+    return f"""(priority > CAST({i} AS DOUBLE) / 50 AND ({i} % 2 = 0 OR lang = ['en', 'fr', 'de', 'es'][{i} % 4 + 1]) AND ({i} % 5 <> 0 OR coalesce(lower(idea_tag) = 'blog_post_ideas', false)))"""
+
+
+@query("evaluate_many", D + f"""SELECT doc_id, 's' || i AS definition, CASE WHEN {_many_sql('i')} AND (i % 3 <> 2 OR {_many_sql('(i - 1)')}) THEN 'started' ELSE 'skipped' END AS outcome
+FROM docs, unnest(range(40)) AS t(i) WHERE status IN ('inbox', 'active')""")
+def evaluate_many(spark, sf_dir):
+    d, s = _scope(spark, sf_dir)
+    return ev.evaluate_stages(d, s, _many_definitions(), order="seq").outcomes.select("doc_id", "definition", "outcome")
+
+
 @query("evaluate_stages", _outcomes_sql(OPEN_DOCS) + "SELECT doc_id, definition, outcome, reason, checked, counter FROM outcomes")
 def evaluate_stages(spark, sf_dir):
     d, s = _scope(spark, sf_dir)

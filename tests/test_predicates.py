@@ -1,12 +1,27 @@
 """Attribute, list and file checks on values of every type."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions.attributes import attribute, try_json
 from leafmill.functions.globs import glob_to_regex
+from leafmill.operators.evaluate import evaluate_stages
 from leafmill.operators.filters import list_filter, match_expression, split_assignment
-from leafmill.operators.requirements import AttributeCheck, FilePresence, ListCheck, attribute_check, file_presence, list_check
+from leafmill.operators.requirements import (
+    AttributeCheck,
+    FilePresence,
+    ListCheck,
+    Requirements,
+    RuleTable,
+    StageDefinition,
+    attribute_check,
+    file_presence,
+    list_check,
+    requirements_met,
+)
 
 VALUES = {
     "text": '"alpha"', "upper": '"ALPHA"', "int": "1", "float": "1.0", "frac": "0.72", "true": "true", "false": "false", "null": "null",
@@ -116,3 +131,43 @@ def test_globs(spark, pattern, text, hit):
 @pytest.mark.parametrize("text,good", [('{"a":1}', True), ('{"a":1}]', False), ("1}", False), ("1,2", False), ('1,"a":2', False), ("", False), ('"x"', True), ("[1]", True)])
 def test_strict_json(spark, text, good):
     assert (spark.createDataFrame([(text,)], "t string").select(try_json(F.col("t")).isNotNull()).first()[0] or False) is good
+
+
+def test_a_table_of_rules_is_the_single_checks(spark):
+    """Checks with equal values of other types, folded text, patterns and lists, all in one array."""
+    rows = [("A", 1, True, 2.5, '{"v":1,"t":["x","Y"],"n":null}'), ("b", None, False, float("nan"), '{"v":true,"t":"x"}'), (None, 0, None, None, '{"v":"1","t":[1,2]}'), ("a", 3, True, -1.0, "{}")]
+    docs = spark.createDataFrame(rows, "s string, i int, b boolean, x double, j string").withColumn("attrs", F.parse_json("j"))
+    docs = docs.withColumn("file_refs", F.array(F.struct(F.lit("k").alias("key"))))
+    values = ["a", "A", 1, 1.0, True, 0, False, None, 2.5, float("nan"), "1", "b*", "["]
+    checks = [AttributeCheck(a, o, v, c) for a in ("s", "i", "b", "x", "v", "t", "n", "missing") for o in ("EQ", "NE", "GT", "LT", "GTE", "LTE", "IS", "IS_NOT", "CP", "REGEX")
+              for v in values for c in (True, False) if c or isinstance(v, str)]
+    checks = random.Random(1).sample(checks, 150) + [AttributeCheck("v", "IS", 1), AttributeCheck("v", "IS", True), AttributeCheck("i", "EQ", 1), AttributeCheck("i", "EQ", True)]
+    definitions = [StageDefinition(f"d{i}", requirements=Requirements(attribute_checks=(c,))) for i, c in enumerate(checks)]
+    definitions.append(StageDefinition("all", requirements=Requirements(
+        file_presence=FilePresence("k", 1, "=="), attribute_checks=(checks[0],), list_checks=(ListCheck("t", "HAS", "y", False), ListCheck("t", "NOT_HAS", 3)), extras=("e",))))
+    definitions.append(StageDefinition("none", no_eval=True, requirements=Requirements(attribute_checks=(checks[0],))))
+    rules = RuleTable(docs, definitions)
+    as_table = docs.withColumn("_hits", rules.hits).select(F.expr("array(" + ", ".join(rules.met(d, "_hits", {"e"}) for d in definitions) + ")").alias("m"))
+    one_by_one = docs.select(F.array(*[requirements_met(docs, d, {"e"}) for d in definitions]).alias("m"))
+    assert [r.m for r in as_table.collect()] == [r.m for r in one_by_one.collect()]
+    assert rules.met(definitions[-2], "_hits", set()) == "false"
+
+
+def test_the_plan_of_many_definitions_is_made_fast(spark):
+    definitions = [StageDefinition(f"it's `{i}`", multiple_callable=i % 5 == 0, requirements=Requirements(
+        stages={f"it's `{i - 1}`": "active"} if i % 2 else {},
+        attribute_checks=tuple(AttributeCheck("p", o, i / 100) for o in ("GT", "LTE", "NE"))[: 1 + i % 3])) for i in range(100)]
+    docs = spark.createDataFrame([(1, "inbox", 0.5), (2, "active", 0.0)], "doc_id long, status string, p double")
+    stages = spark.createDataFrame([], "doc_id long, name string, counter long, status string")
+    evaluate_stages(docs, stages, definitions[:1], passes=3)  # what only the first call loads
+    start = time.time()
+    outcomes = evaluate_stages(docs, stages, definitions, passes=3).outcomes
+    outcomes._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 10
+    started = {(r.doc_id, r.definition) for r in outcomes.where("outcome = 'started'").collect()}
+    want, rules = set(), {"GT": lambda p, v: p > v, "LTE": lambda p, v: p <= v, "NE": lambda p, v: p != v}
+    for doc, p in ((1, 0.5), (2, 0.0)):
+        for i in range(100):
+            if all(rules[o](p, i / 100) for o in ("GT", "LTE", "NE")[: 1 + i % 3]) and (i % 2 == 0 or (doc, f"it's `{i - 1}`") in want):
+                want.add((doc, f"it's `{i}`"))
+    assert started == want
