@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -62,19 +63,37 @@ def counted(terms: Column) -> Column:
 
 
 def score_candidates(
-    docs: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2), stop_words: list[str] = STOP_WORDS
+    docs: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2), stop_words: list[str] = STOP_WORDS, best: int | None = None
 ) -> DataFrame:
     """``(key, term, score)``: share of the term in its text times ln((1 + N) / (1 + df)) + 1.
 
     The corpus is read once: the terms of a text are counted inside its row, the counts are written, and the
     document frequencies come from them. A row per key is expected; rows that share a key are texts of their own.
+
+    With ``best`` the terms that cannot be among so many best ones of their text are left out before they meet their frequencies: a
+    term that all documents have counts once, one that a single document has ln((1 + N) / 2) + 1 times.
     """
     # a table of few, large files would be cut into words by as many tasks
     rows = docs.select(key, text).repartition(key).select(key, tokens(F.col(text), stop_words).alias("w"))
     size = sum(F.greatest(F.size("w") - (n - 1), F.lit(0)) for n in range(ngram_range[0], ngram_range[1] + 1))
-    counts = materialise(rows.select(key, size.alias("n"), F.inline(counted(ngrams(F.col("w"), *ngram_range)))), "term-counts")
-    freq = counts.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = docs.count()
+    rows = rows.select(key, "w", size.cast("bigint").alias("n"))
+
+    def marked(terms: Column) -> Column:
+        """The terms with a mark on those that may be among the best; one-element arrays bind what is used for every term."""
+        if best is None:
+            return F.transform(terms, lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), F.lit(True).alias("may")))
+        most = math.log((1 + max(n_docs, 1)) / 2) + 1
+        # the number of the last of the best, less what the rounding of scores may hide
+        tfs = F.sort_array(F.transform(terms, lambda t: t["tf"]), asc=False)
+        least = F.coalesce((F.get(tfs, F.lit(best - 1)) - 2e-9 * F.col("n")) / most, F.lit(0.0))
+        return F.transform(F.array(least), lambda at: F.transform(terms, lambda t: F.struct(
+            t["term"].alias("term"), t["tf"].alias("tf"), (t["tf"] >= at).alias("may"))))[0]
+
+    every = F.transform(F.array(counted(ngrams(F.col("w"), *ngram_range))), marked)[0]
+    counts = materialise(rows.select(key, "n", F.inline(every)), "term-counts")
+    freq = counts.groupBy("term").agg(F.count("*").alias("df"))
+    counts = counts.where("may")
     idf = F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1
     return counts.join(freq, "term").select(key, "term", F.round(F.col("tf") / F.col("n") * idf, 9).alias("score"))
 

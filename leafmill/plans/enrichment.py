@@ -149,15 +149,16 @@ def _scored(spark, sf_dir, **options):
 
 @query("keyword_extract", ctes(SCORED_SQL) + "SELECT doc_id, rank, term, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def keyword_extract(spark, sf_dir):
-    top = kw.top_keywords(_scored(spark, sf_dir), "doc_id", 10)
+    top = kw.top_keywords(_scored(spark, sf_dir, best=10), "doc_id", 10)
     return top.select("doc_id", "rank", "term", F.round("score", 6).alias("score"))
 
 
-_JACCARD = """CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"""
-
-
 def _jaccard(a: str, b: str) -> str:
-    return _JACCARD.format(a=f"list_distinct(string_split({a}, ' '))", b=f"list_distinct(string_split({b}, ' '))")
+    """Likeness of two terms of one or two words."""
+    a1, b1 = f"split_part({a}, ' ', 1)", f"split_part({b}, ' ', 1)"
+    a2, b2 = (f"nullif(nullif(split_part({t}, ' ', 2), ''), split_part({t}, ' ', 1))" for t in (a, b))
+    shared = f"(CAST({a1} = {b1} OR coalesce({a1} = {b2}, false) AS INT) + CAST(coalesce({a2} = {b1}, false) OR coalesce({a2} = {b2}, false) AS INT))"
+    return f"({shared} / (2 + CAST({a2} IS NOT NULL AS INT) + CAST({b2} IS NOT NULL AS INT) - {shared}))"
 
 
 @query("keyword_mmr", ctes(SCORED_SQL, f"""rel AS (SELECT doc_id, term, score, score / max(score) OVER (PARTITION BY doc_id) AS rel, rank FROM ranked),
@@ -182,7 +183,7 @@ long AS (SELECT doc_id, 1 AS rank, i AS at FROM pick UNION ALL SELECT doc_id, 2,
   UNION ALL SELECT doc_id, rank, rank FROM best WHERE size < 3)""")
     + "SELECT l.doc_id, l.rank, b.term, round(b.score, 6) AS score FROM long l JOIN best b ON b.doc_id = l.doc_id AND b.rank = l.at")
 def keyword_maxsum(spark, sf_dir):
-    chosen = kw.maxsum_keywords(_scored(spark, sf_dir), "doc_id", top_n=3, nr_candidates=12)
+    chosen = kw.maxsum_keywords(_scored(spark, sf_dir, best=12), "doc_id", top_n=3, nr_candidates=12)
     return chosen.select("doc_id", "rank", "term", F.round("score", 6).alias("score"))
 
 
@@ -198,7 +199,7 @@ SELECT d.doc_id, CASE WHEN kws IS NULL THEN text ELSE array_to_string(list_trans
 FROM documents d LEFT JOIN words USING (doc_id)""")
 def keyword_highlight(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    top = kw.top_keywords(_scored(spark, sf_dir, ngram_range=(1, 1)), "doc_id", 3)
+    top = kw.top_keywords(_scored(spark, sf_dir, ngram_range=(1, 1), best=3), "doc_id", 3)
     words = top.groupBy("doc_id").agg(F.collect_list("term").alias("kws"))  # three per document
     marked = d.join(words, "doc_id", "left")
     kws = F.coalesce("kws", F.expr("CAST(array() AS ARRAY<STRING>)"))

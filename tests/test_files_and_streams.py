@@ -228,6 +228,12 @@ def test_keywords_against_brute_force(spark):
     docs = spark.createDataFrame(list(texts.items()), "id long, text string")
     got = {(r.id, r.term): r.score for r in kw.score_candidates(docs, "id", "text").collect()}
     assert got == pytest.approx(want) and set(got) == set(want)
+    # the terms that are left out cannot be among the best
+    long = {k: " ".join(["common"] * (40 if k < 5 else 0) + [f"w{i}" for i in range(k * 7) for _ in range(i % 13 + 1)]) for k in range(12)}
+    docs = spark.createDataFrame(list(long.items()), "id long, text string")
+    whole, part = kw.score_candidates(docs, "id", "text"), kw.score_candidates(docs, "id", "text", best=4)
+    assert part.count() < whole.count()
+    assert sorted(map(tuple, kw.top_keywords(whole, "id", 4).collect())) == sorted(map(tuple, kw.top_keywords(part, "id", 4).collect()))
 
 
 def test_highlight(spark):
