@@ -71,23 +71,38 @@ def key_points(findings: DataFrame, limit: int = 10) -> DataFrame:
     return top_k(points, ["doc_id"], [F.col("no"), F.col("i")], limit, "pos").select("doc_id", "pos", "point")
 
 
-def title_rule(findings: DataFrame, terms: tuple[str, str], both: str, joined: str, default: str) -> DataFrame:
+#: Terms of a title that are joined in one piece.
+TITLE_PIECE = 1000
+
+
+def title_pieces(findings: DataFrame, terms: tuple[str, str], bucket: list[Column]) -> DataFrame:
+    """The terms found in the result titles of a document, one per result in order, joined in pieces: ``(doc_id, piece_no, piece)``.
+
+    Pieces stay rows and hold a bounded number of terms, whatever the number of results. ``bucket`` is a coarser form of the result number ``no``.
+    """
+    first, second = terms
+    term = F.when(F.contains("title", F.lit(first)), first).when(F.contains("title", F.lit(second)), second)
+    found = findings.select("doc_id", "no", term.alias("term")).where("term IS NOT NULL")
+    numbered = running_number(found, ["doc_id"], ["no"], bucket, "k")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"])
+    return numbered.groupBy("doc_id", F.floor((F.col("k") - 1) / TITLE_PIECE).alias("piece_no")).agg(F.array_join(in_order, " vs. ").alias("piece"))
+
+
+def title_rule(findings: DataFrame, terms: tuple[str, str], both: str, joined: str, default: str, bucket: list[Column] | None = None) -> DataFrame:
     """Title per document: ``both`` if one result title holds both terms; else ``joined`` with the
     terms found, one per result in order, as its ``{}``; else ``default``.
 
-    The terms are kept as an aggregate of short words, ordered by result.
+    The terms come in the pieces of ``title_pieces``; those of documents whose title is ``both`` are not put together.
     """
     first, second = terms
-    has1, has2 = F.contains("title", F.lit(first)), F.contains("title", F.lit(second))
-    term = F.when(has1, first).when(has2, second)
+    has_both = F.coalesce(F.contains("title", F.lit(first)) & F.contains("title", F.lit(second)), F.lit(False))
     before, after = joined.split("{}")
-    per_doc = findings.groupBy("doc_id").agg(
-        F.bool_or(F.coalesce(has1 & has2, F.lit(False))).alias("both"),
-        F.array_sort(F.collect_list(F.when(term.isNotNull(), F.struct("no", term.alias("t"))))).alias("found"),
-    )
-    names = F.array_join(F.transform("found", lambda x: x["t"]), " vs. ")
-    title = F.when(F.col("both"), F.lit(both)).when(F.size("found") > 0, F.concat(F.lit(before), names, F.lit(after))).otherwise(F.lit(default))
-    return per_doc.select("doc_id", title.alias("title"))
+    per_doc = findings.groupBy("doc_id").agg(F.bool_or(has_both).alias("both"))
+    open_ = findings.join(per_doc.where("NOT both"), "doc_id", "left_semi")
+    pieces = title_pieces(open_, terms, bucket or [F.lit(0)]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias("pieces"))
+    names = F.array_join(F.transform("pieces", lambda x: x["piece"]), " vs. ")
+    title = F.when(F.col("both"), F.lit(both)).when(F.col("pieces").isNotNull(), F.concat(F.lit(before), names, F.lit(after))).otherwise(F.lit(default))
+    return per_doc.join(pieces, "doc_id", "left").select("doc_id", title.alias("title"))
 
 
 def draft_records(summary: DataFrame, sources: DataFrame, points: DataFrame, titles: DataFrame, style: str = "professional", target_length: int = 1500) -> DataFrame:

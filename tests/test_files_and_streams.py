@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.operators import drafts as dr
 from leafmill.operators import evaluate as ev
 from leafmill.operators import keywords as kw
 from leafmill.operators.requirements import Requirements, StageDefinition
@@ -236,6 +237,16 @@ def test_keywords_against_brute_force(spark):
     assert sorted(map(tuple, kw.top_keywords(whole, "id", 4).collect())) == sorted(map(tuple, kw.top_keywords(part, "id", 4).collect()))
 
 
+def test_titles_of_many_results(spark):
+    titles = {1: ["A x"] * 2500 + ["B y"] * 700, 2: ["none"], 3: ["A", "A and B"], 4: [None, "B", "A"]}
+    rows = [(k, no, t) for k, ts in titles.items() for no, t in enumerate(ts)]
+    findings = spark.createDataFrame(rows, "doc_id long, no long, title string")
+    got = {r.doc_id: r.title for r in dr.title_rule(findings, ("A", "B"), "both", "<{}>", "default", [F.expr("no DIV 100")]).collect()}
+    assert got == {1: "<" + " vs. ".join(["A"] * 2500 + ["B"] * 700) + ">", 2: "default", 3: "both", 4: "<B vs. A>"}
+    pieces = dr.title_pieces(findings, ("A", "B"), [F.expr("no DIV 100")])
+    assert pieces.where("doc_id = 1").count() == 4
+
+
 def test_highlight(spark):
     d = spark.createDataFrame([("The den, DEN; garden étude den", ["den", "étude den"])], "t string, k array<string>")
     assert d.select(kw.highlight(F.col("t"), F.col("k"))).first()[0] == "The **den**, **DEN**; garden **étude den**"
