@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions.attributes import attribute
-from leafmill.functions.globs import java_regex
+from leafmill.functions.globs import UnsupportedPattern, java_regex
 from leafmill.operators import mutations as mu
 from leafmill.operators.filters import match_expression
 from leafmill.operators.requirements import AttributeCheck, attribute_check
@@ -96,6 +96,22 @@ def test_patterns_are_those_of_python(spark):
     assert java_regex("[") is None
 
 
+def test_patterns_of_every_kind_find_what_python_finds(spark):
+    import re
+
+    texts = ["", "x", "xxx", "xxxx", "[a", "a", "a]", "a&b", "a&&b", "&", "ab", "b", "b\r", "\r", "a\nb", "a\n", "{", "a{b", "a{1,b}", "]", "^", "-", "\\", "é", "٣", "😀", "\x00", "\x07", "aa", "q[", "c&", "a b"]
+    patterns = [r"^x{,3}$", r"^x{2,}$", r"^x{,}$", "^[[a]+$", "[]]", "[^]a]", r"[a&&b]$", "^[&]+$", "^.$", "b$", r"^a.b$", r"\Aa\Z", "a{b", "a{1,b}", "^{$", r"[\]\[]", r"[\w&]b", r"\U0001F600",
+                r"[\U0001F600-\U0001F64F]", r"\07", r"\0", r"[\07]", r"(?P<g>a)(?P=g)", r"(a)\1", r"(?i)A", r"(?m)^b", r"(?s)a.b", r"\d", r"[^\d\s]$", "[-^]", "[a^]", r"a{2}", "(?:a|b)$", r"(?<!a)b", r"(?x) a \ b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    checks = [attribute_check(docs, AttributeCheck("t", "REGEX", p)) for p in patterns]
+    got = docs.select("t", F.array(*checks).alias("hits")).collect()
+    for i, pattern in enumerate(patterns):
+        assert [r.t for r in got if r.hits[i]] == [t for t in texts if re.search(pattern, t)], pattern
+    for pattern in (r"(a)?(?(1)b|c)", r"(?a)x"):
+        with pytest.raises(UnsupportedPattern):
+            java_regex(pattern)
+
+
 def test_numbers_print_as_in_python(spark):
     numbers = [0.0005, 12345678.5, 1e16, 1.5e-5, 0.1, -0.0001, 100.0, 1e7, 123456789012345.0, 1.25e300, -2.5e-10, float("nan"), float("inf"), -float("inf"), 0.0, 12345678.0]
     docs = spark.createDataFrame([(x,) for x in numbers], "x double")
