@@ -93,7 +93,7 @@ class UnigramCounter:
         if not len(begin):
             zero = np.zeros(len(texts), np.int64)
             return zero, zero, zero.astype(float)
-        first, kind = words.distinct(words.word_hashes(points, begin, end))
+        first, kind = words.distinct_words(points, begin, end)
         number = self.numbers([joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
         text = np.searchsorted(bounds, begin, "right") - 1
         # the last text that begins at a place is the one that has it: empty texts before it have no words

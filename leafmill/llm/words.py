@@ -148,6 +148,30 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, kind.reshape(-1)
 
 
+def distinct_words(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``distinct`` of the words themselves: those that only share the hash of another one get kinds of their own."""
+    first, kind = distinct(word_hashes(points, begin, end))
+    size, model = end - begin, first[kind]
+    again = np.flatnonzero(model != np.arange(len(model)))
+    other = size[again] != size[model[again]]
+    same_size, n = again[~other], size[again[~other]]
+    differs = points[spread(n, begin[same_size])] != points[spread(n, begin[model[same_size]])]
+    wrong = again[other]
+    if differs.any():
+        wrong = np.append(wrong, np.unique(np.repeat(same_size, n)[differs]))
+    if len(wrong):
+        kinds: dict[bytes, int] = {}
+        more = []
+        for i in wrong.tolist():
+            word = points[begin[i] : end[i]].tobytes()
+            if word not in kinds:
+                kinds[word] = len(first) + len(more)
+                more.append(i)
+            kind[i] = kinds[word]
+        first = np.append(first, more)
+    return first, kind
+
+
 def spread(lengths: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Indices firsts[i] .. firsts[i] + lengths[i] - 1 for all i, one after the other."""
     ends = np.cumsum(lengths)
@@ -194,7 +218,7 @@ class WordIds:
 
     def texts(self, joined: str, points: np.ndarray, bounds: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a slice with the words begin..end."""
-        first, kind = distinct(word_hashes(points, begin, end))
+        first, kind = distinct_words(points, begin, end)
         number = self._numbers([joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
         ends = np.array(self.ends, np.int64)
         size, where = (ends[number + 1] - ends[number])[kind], ends[number][kind]
