@@ -1,10 +1,13 @@
 """Exact dedup over a persistent index of text digests.
 
 The index is a table bucketed and sorted by digest. A batch is reduced to one row per digest, held against
-the index by a sort-merge anti-join, and the digests that are new are appended. What a batch decides:
+the index by a sort-merge anti-join, and the digests that are new are appended with the name of the batch. What a batch decides:
 
-* a digest that the index already has: every row of the batch goes, ``keep_id`` is the id the index has;
-* a digest that is new: the row with the largest id stays (a null id is smaller than any other).
+* a digest that the index has from another batch: every row of the batch goes, ``keep_id`` is the id the index has;
+* a digest that is new, or that an earlier try of the same batch has appended: the row with the largest id stays (a null id is smaller than any other).
+
+So a batch that runs again, whether or not its first try got as far as the append, decides the same and appends
+only what is not there yet. A batch is known by the name that the caller gives, or by a digest of its ids and texts.
 
 Rows that share id and text are copies of each other: exactly one of them stays. A null text counts as the
 empty text, and empty texts are equal. An empty batch gives an empty result and leaves the index as it is.
@@ -46,7 +49,7 @@ class DigestIndex:
                buckets: int | None = None) -> DigestIndex:
         index = cls(spark, table or f"digest_index_{uuid.uuid4().hex}",
                     buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-        empty = spark.createDataFrame([], f"digest string, keep_id {id_type}")
+        empty = spark.createDataFrame([], f"digest string, keep_id {id_type}, batch string")
         index._writer(empty).option("path", shared_folder(spark, "digest-index")).saveAsTable(index.table)
         return index
 
@@ -56,36 +59,51 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.read.table(self.table)
 
-    def _groups(self, rows: DataFrame) -> DataFrame:
+    def drop(self) -> None:
+        """Take the index away, files and all; decisions that it gave stay."""
+        files = self.read().inputFiles()
+        if files:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        self.spark.sql(f"DROP TABLE `{self.table}`")
+
+    def _groups(self, rows: DataFrame, batch: str | None) -> DataFrame:
         """One row per digest of the batch with the id that stays; the new ones are then in the index."""
         groups = materialise(
             rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("n").alias("group_size")), "groups")
-        new = groups.join(self.read().hint("merge"), "digest", "left_anti")
-        before = materialise(  # read before the append: what the index said when the batch came
-            groups.join(self.read().hint("merge").withColumn("known", F.lit(True)), "digest", "left")
+        if batch is None:
+            # a sum does not depend on the order of rows
+            parts = F.struct(*[F.sum(F.xxhash64(F.lit(seed), "digest", "last_id", "group_size").cast("decimal(38,0)")) for seed in (1, 2)], F.count("*"))
+            batch = str(groups.agg(F.sha2(F.to_json(parts), 256).alias("name")).first().name)
+        held = self.read().hint("merge")
+        before = materialise(  # read before the append: what other batches had said when this one came
+            groups.join(held.where(F.col("batch") != batch).select("digest", "keep_id", F.lit(True).alias("known")), "digest", "left")
             .select("digest", "group_size", F.coalesce("known", F.lit(False)).alias("known"),
                     F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("last_id")).alias("keep_id")), "winners")
-        self._writer(new.select("digest", F.col("last_id").alias("keep_id")).repartition(self.buckets, "digest")
-                     ).mode("append").saveAsTable(self.table)
+        new = groups.join(held, "digest", "left_anti")
+        self._append(new.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch).alias("batch")))
         return before
 
-    def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def _append(self, new: DataFrame) -> None:
+        self._writer(new.repartition(self.buckets, "digest")).mode("append").saveAsTable(self.table)
+
+    def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """One row per row of ``docs``: doc_id, keep_id, group_size (rows of the batch with that text), kept,
         text_sha256, seen_before (the text came in an earlier batch). The batch enters the index."""
         rows = materialise(
             docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
             .groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "digests")
-        winners = self._groups(rows)
+        winners = self._groups(rows, batch)
         stays = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
         return (
             rows.join(winners, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
             .select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"),
                     F.col("known").alias("seen_before")))
 
-    def survivors(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def survivors(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """The rows of ``docs`` that stay, with all their columns."""
         keep = (
-            self.decide(docs, id_col, text_col).where("kept")
+            self.decide(docs, id_col, text_col, batch).where("kept")
             .select(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__id")))
         rows = docs.withColumn("__digest", text_digest(F.col(f"`{text_col}`")))
         same = (rows["__digest"] == keep["__digest"]) & rows[f"`{id_col}`"].eqNullSafe(keep["__id"])

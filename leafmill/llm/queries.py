@@ -47,8 +47,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, digest AS text_sha256, false AS seen_before
 FROM digests WINDOW same AS (PARTITION BY digest)""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as the first batch of a new index."""
-    return DigestIndex.create(spark).decide(documents(spark, sf_dir))
+    """All documents as the first batch of a new index, which goes after that."""
+    index = DigestIndex.create(spark)
+    decided = index.decide(documents(spark, sf_dir))
+    index.drop()
+    return decided
 
 
 @query("op6_best_fit_packing")

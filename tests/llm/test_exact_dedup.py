@@ -44,6 +44,42 @@ def test_later_batch_is_held_against_the_index(spark):
     assert index.read().groupBy("digest").count().where("count > 1").isEmpty()
 
 
+def test_a_batch_that_runs_again_decides_the_same(spark):
+    index = DigestIndex.create(spark, buckets=3)
+    index.decide(spark.createDataFrame([(1, "old")], "doc_id bigint, text string"))
+    rows = spark.createDataFrame([(5, "one"), (6, "two"), (7, "ONE"), (8, "Old")], "doc_id bigint, text string")
+    first = run(index.decide(rows))
+    assert [r[3] for r in first] == [False, True, True, False]
+    assert run(index.decide(rows)) == first and index.read().count() == 3
+    # under another name it is another batch
+    assert not any(r[3] for r in run(index.decide(rows, batch="later")))
+
+
+def test_nothing_is_lost_by_a_failure_after_the_append(spark, monkeypatch):
+    index = DigestIndex.create(spark, buckets=3)
+    rows = spark.createDataFrame([(i, f"text {i % 30}") for i in range(50)], "doc_id bigint, text string")
+    append = DigestIndex._append
+
+    def half(self, new):
+        append(self, new.where("digest < '8'"))
+        raise OSError("lost")
+
+    monkeypatch.setattr(DigestIndex, "_append", half)
+    with pytest.raises(OSError):
+        index.decide(rows)
+    monkeypatch.undo()
+    assert run(index.decide(rows)) == expected([(i, f"text {i % 30}") for i in range(50)])
+    assert index.read().count() == 30
+
+
+def test_a_dropped_index_leaves_its_decisions(spark):
+    index = DigestIndex.create(spark)
+    decided = index.decide(spark.createDataFrame(ROWS, "doc_id bigint, text string"))
+    index.drop()
+    assert not spark.catalog.tableExists(index.table)
+    assert run(decided) == expected(ROWS)
+
+
 def test_survivors_keep_all_columns(spark):
     docs = spark.createDataFrame([(i, t, "d", 1, True) for i, t in ROWS], "doc_id bigint, text string, digest string, keep_id int, kept boolean")
     left = DigestIndex.create(spark).survivors(docs)
