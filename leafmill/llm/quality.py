@@ -93,9 +93,11 @@ def train(texts: list[str], labels: list[int], bits: int = BITS, dim: int = 16,
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, rows: int, characters: int) -> DataFrame:
-    named = (
+    # only labels of documents with a text can teach
+    named = materialise(
         labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).where(usable)
-        .groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id")))
+        .groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id"))
+        .join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"), "labelled")
     total = named.count()
     share = min(1.0, (1.5 * rows + 1000) / max(1, total))
     few = named.where(F.pmod("place", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("place").limit(rows)
