@@ -212,8 +212,8 @@ def learn(docs: DataFrame, usable: Column, passages: int = PASSAGES, length: int
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    # only texts with a letter can teach, so only these are counted
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
     # few enough rows by hash, then exactly the first ones
     share = F.least(F.lit(1.0), F.lit(4.0 * passages + 200) / F.col("n"))
     few = (

@@ -149,3 +149,17 @@ def test_features_do_not_depend_on_the_slice():
 def test_slices(most):
     texts = ["aa", "b", "", "cccc", "dd"]
     assert [t for a, b in words.slices(texts, most) for t in texts[a:b]] == texts
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good text here"), (2, "bad noise there"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)] + [(i, i % 2) for i in range(1000, 21000)], "doc_id long, quality int")
+    sample = quality._sample(docs, labels, "quality", F.lit(True), 4000, 10**6).collect()
+    assert sorted((r.text, r.label) for r in sample) == [("bad noise there", 0), ("good text here", 1)]
+    assert len({r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}) > 1
+
+
+def test_texts_that_cannot_teach_take_no_place_in_the_sample(spark):
+    rows = [(i, "wordsofit" + "".join(chr(97 + int(c)) for c in f"{i:05d}") if i % 100 == 0 else None if i % 2 else "12 34", "en") for i in range(40_000)]
+    found = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), passages=300, length=12)
+    assert len(found.samples[0]) > 300 * 11
