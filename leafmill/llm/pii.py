@@ -9,7 +9,7 @@ What does not pass its check stays as it is.
 A value is reduced to its letters and digits, and a keyed Feistel network permutes these within their form: digits
 stay digits, letters letters, separators and case stay where they are, check digits are made anew, dates move among the
 dates, addresses among the addresses. So equal values get equal pseudonyms in every document, however they are
-punctuated, and different ones different pseudonyms. Addresses and dates without leading zeros may change their
+punctuated, and different ones different pseudonyms. The country code of a telephone number stays. Addresses and dates without leading zeros may change their
 number of digits, everything else keeps its length. The key is the caller's secret.
 
 A null text stays null; an empty text or one without a value stays as it is; other columns are passed on; an
@@ -216,6 +216,17 @@ def _social(key: Column, value: Column) -> Column:
     return F.when(_bare(value).rlike(good), _bound(walk, lambda n: _dressed(value, n))).otherwise(value)
 
 
+#: Country codes of telephone numbers: one digit, two, or else three.
+_CODE = r"^\+(?:[17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9])"
+
+
+def _phone(key: Column, value: Column) -> Column:
+    """The country code stays, so the pseudonym is a number of the same country and form."""
+    code = F.regexp_extract(value, _CODE, 0)
+    rest = F.substr(value, F.length(code) + 1)
+    return F.concat(code, _dressed(rest, _permuted(key, "phone", _bare(rest))))
+
+
 def _plain(kind: str, keep: str | None = None):
     def change(key: Column, value: Column) -> Column:
         fixed = F.lit("") if keep is None else F.regexp_extract(value, keep, 0)
@@ -226,7 +237,7 @@ def _plain(kind: str, keep: str | None = None):
 
 
 _CHANGES = {"mail": _plain("mail", r"\.[A-Za-z]+$"), "secret": _plain("secret"), "account": _account, "address": _address,
-            "date": _date, "social": _social, "phone": _plain("phone"), "card": _card}
+            "date": _date, "social": _social, "phone": _phone, "card": _card}
 
 
 def _kind(value: Column) -> Column:

@@ -1,12 +1,13 @@
 """Pseudonyms against a plain version of the same network."""
 
+import random
 import re
 from datetime import date, timedelta
 from hashlib import sha256
 
 import pytest
 
-from leafmill.llm.pii import pseudonymise
+from leafmill.llm.pii import FORMS, pseudonymise
 
 KEY = "k"
 
@@ -49,7 +50,10 @@ def luhn(digits):
 
 def plain(kind, value):
     b = bare(value)
-    if kind in ("phone", "secret"):
+    if kind == "phone":
+        code = re.match(r"\+(1|49)|", value).group()
+        return code + dressed(value[len(code):], permuted(kind, bare(value[len(code):])))
+    if kind == "secret":
         return dressed(value, permuted(kind, b))
     if kind == "mail":
         head, dot, tail = value.rpartition(".")
@@ -131,6 +135,28 @@ def test_equal_values_stay_linked_and_others_apart(spark):
     assert all(a.text != b.text for a, b in zip(rows, other, strict=True))
 
 
+def test_pseudonyms_of_telephone_numbers_are_such_numbers(spark):
+    rng = random.Random(3)
+    codes = ["1", "7", "20", "30", "44", "49", "98", "212", "352", "998"]
+
+    def number():
+        d = "".join(rng.choices("0123456789", k=10))
+        return rng.choice([f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"+1-{d[:3]}-{d[3:6]}-{d[6:]}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"]
+                          + [f"+{c} {d[:4]} {d[4:]}" for c in codes[1:]] + [f"+{c}{d[:7]}" for c in codes[1:]])
+
+    given = [number() for _ in range(600)]
+    new = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(given)), "i int, text string"), KEY).orderBy("i").collect()]
+    assert sum(a != b for a, b in zip(given, new, strict=True)) > 590
+    form = lambda v: re.sub("[0-9]", "0", v)
+    for a, b in zip(given, new, strict=True):
+        assert re.fullmatch(FORMS["phone"].replace("\\3", "\\1"), b), (a, b)
+        assert form(a) == form(b) and (a[0] != "+" or a[:2] == b[:2] and any(a[1:].startswith(c) and b[1:].startswith(c) for c in codes)), (a, b)
+    again = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(new)), "i int, text string"), KEY).orderBy("i").collect()]
+    assert sum(a != b for a, b in zip(new, again, strict=True)) > 590  # found again
+    linked = pseudonymise(spark.createDataFrame([(1, "+1 (212) 555-0100"), (2, "212.555.0100")], "i int, text string"), KEY).orderBy("i").collect()
+    assert bare(linked[0].text)[1:] == bare(linked[1].text)
+
+
 def test_numbers_are_permuted():
     assert sorted(permuted_number("x", v, 16) for v in range(256)) == list(range(256))
     assert len({permuted("x", f"{v:04d}") for v in range(10000)}) == 10000
