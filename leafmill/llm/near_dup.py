@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from leafmill.llm import words
+from leafmill.llm.suffix_dedup import discard, written
 from leafmill.session import materialise
 
 WIDTH = 5
@@ -242,6 +243,17 @@ def _compare_tiles(similarity: Fraction):
     return run
 
 
+def _with_partner(leaves: DataFrame, similarity: Fraction) -> DataFrame:
+    """node, digest, members: the members (node, digest, members, n) of leaves with another one whose size could be similar.
+    No pair is lost: the smaller of two similar sets has at least that share of the larger one's elements, so their
+    sizes are in one class or in classes side by side."""
+    sized = leaves.withColumn("class", F.floor(F.log("n") / math.log(1 / similarity) + 1e-9) if similarity < 1 else F.col("n"))
+    counts = sized.groupBy("node", "class").agg(F.count("*").alias("m"))
+    beside = counts.select("node", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "m")
+    some = beside.groupBy("node", "class").agg(F.sum("m").alias("m")).where("m > 1").select("node", "class")
+    return sized.join(some, ["node", "class"], "left_semi").select("node", "digest", "members")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of ``edges`` (a, b)."""
     # a node with many edges keeps the one to its least neighbour, which takes over the others
@@ -268,31 +280,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     rows = materialise(profile(docs, runs, width, id_col, text_col), "profile")
     # the keys follow from the set, so any row of a class has them
     classes = materialise(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("keys").alias("keys")), "classes")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("n").alias("n")), "classes")
+    wide, rows = rows, written(rows.select("doc_id", "digest"), "set-digests")
+    discard(wide)
     roots = classes.select("digest", F.explode("keys").alias("node"))
     counts = roots.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     members = materialise(roots.join(counts, "node"), "members")
     met = members.select("digest").distinct().join(classes, "digest")
-    sets = materialise(_whole_sets(docs, met, width, id_col, text_col), "sets")
+    sets = written(_whole_sets(docs, met, width, id_col, text_col), "sets")
+    steps = [members]
     leaves = members.where(F.col("members") <= limit).select("node", "digest", "members")
     large = members.where(F.col("members") > limit)
     while not large.isEmpty():
         below = materialise(_split(large.join(sets, "digest")), "children")
         counts = below.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-        below = materialise(below.join(counts, "node").select("node", "digest", "members", "parent_members"), "members")
+        wide, below = below, written(below.join(counts, "node").select("node", "digest", "members", "parent_members"), "members")
+        discard(wide)
+        steps.append(below)
         done = (F.col("members") <= limit) | (F.col("members") > DENSE * F.col("parent_members"))
         leaves = leaves.union(below.where(done).select("node", "digest", "members"))
         large = below.where(~done)
-    leaves = materialise(leaves.distinct(), "leaves")
+    leaves = written(_with_partner(leaves.distinct().join(classes.select("digest", "n"), "digest"), share), "leaves")
+    discard(*steps)
     known = sets.join(leaves.groupBy("digest").agg(F.collect_set("node").alias("leaves")), "digest")
     blocks = F.ceil(F.col("members") / limit).cast("int")
     tiles = (
         leaves.withColumn("block", F.pmod(F.xxhash64("digest", "node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("digest", F.col("node").alias("leaf"), "block", F.array(F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
-    found = materialise(
+    found = written(
         tiles.join(known, "digest").repartition("leaf", "tile").sortWithinPartitions("leaf", "tile")
         .select("leaf", "tile", "block", "digest", "size", "shingles", "leaves").mapInArrow(_compare_tiles(share), "digest binary, links bigint, root binary"), "links")
+    discard(sets, leaves)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     label = components(found.where(F.col("digest") != F.col("root")).select(F.col("digest").alias("a"), F.col("root").alias("b")))
     labelled = classes.select("digest", "first_id", "size").join(label, F.col("digest") == F.col("node"), "left").join(links, "digest", "left")
