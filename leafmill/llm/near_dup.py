@@ -243,17 +243,6 @@ def _compare_tiles(similarity: Fraction):
     return run
 
 
-def _with_partner(leaves: DataFrame, similarity: Fraction) -> DataFrame:
-    """node, digest, members: the members (node, digest, members, n) of leaves with another one whose size could be similar.
-    No pair is lost: the smaller of two similar sets has at least that share of the larger one's elements, so their
-    sizes are in one class or in classes side by side."""
-    sized = leaves.withColumn("class", F.floor(F.log("n") / math.log(1 / similarity) + 1e-9) if similarity < 1 else F.col("n"))
-    counts = sized.groupBy("node", "class").agg(F.count("*").alias("m"))
-    beside = counts.select("node", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "m")
-    some = beside.groupBy("node", "class").agg(F.sum("m").alias("m")).where("m > 1").select("node", "class")
-    return sized.join(some, ["node", "class"], "left_semi").select("node", "digest", "members")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of ``edges`` (a, b)."""
     # a node with many edges keeps the one to its least neighbour, which takes over the others
@@ -280,7 +269,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     rows = materialise(profile(docs, runs, width, id_col, text_col), "profile")
     # the keys follow from the set, so any row of a class has them
     classes = materialise(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("n").alias("n")), "classes")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("keys").alias("keys")), "classes")
     wide, rows = rows, written(rows.select("doc_id", "digest"), "set-digests")
     discard(wide)
     roots = classes.select("digest", F.explode("keys").alias("node"))
@@ -300,7 +289,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
         done = (F.col("members") <= limit) | (F.col("members") > DENSE * F.col("parent_members"))
         leaves = leaves.union(below.where(done).select("node", "digest", "members"))
         large = below.where(~done)
-    leaves = written(_with_partner(leaves.distinct().join(classes.select("digest", "n"), "digest"), share), "leaves")
+    leaves = written(leaves.distinct(), "leaves")
     discard(*steps)
     known = sets.join(leaves.groupBy("digest").agg(F.collect_set("node").alias("leaves")), "digest")
     blocks = F.ceil(F.col("members") / limit).cast("int")
