@@ -87,24 +87,28 @@ class DigestIndex:
     def _append(self, new: DataFrame) -> None:
         self._writer(new.repartition(self.buckets, "digest")).mode("append").saveAsTable(self.table)
 
-    def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-        """One row per row of ``docs``: doc_id, keep_id, group_size (rows of the batch with that text), kept,
-        text_sha256, seen_before (the text came in an earlier batch). The batch enters the index."""
+    def _decided(self, docs: DataFrame, id_col: str, text_col: str, batch: str | None) -> DataFrame:
+        """One row per id and text with ``n``, how many rows have both; ``stays`` if one of them does."""
         rows = materialise(
             docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
             .groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "digests")
         winners = self._groups(rows, batch)
-        stays = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+        return rows.join(winners, "digest").withColumn("stays", ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+    def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        """One row per row of ``docs``: doc_id, keep_id, group_size (rows of the batch with that text), kept,
+        text_sha256, seen_before (the text came in an earlier batch). The batch enters the index."""
         return (
-            rows.join(winners, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-            .select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"),
+            self._decided(docs, id_col, text_col, batch).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+            .select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"),
                     F.col("known").alias("seen_before")))
 
     def survivors(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-        """The rows of ``docs`` that stay, with all their columns."""
-        keep = (
-            self.decide(docs, id_col, text_col, batch).where("kept")
-            .select(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__id")))
+        """The rows of ``docs`` that stay, with all their columns. Only rows that share id and text move a second time."""
+        keep = self._decided(docs, id_col, text_col, batch).where("stays").select(
+            F.col("digest").alias("__keep"), F.col("doc_id").alias("__id"), (F.col("n") > 1).alias("__copies"))
         rows = docs.withColumn("__digest", text_digest(F.col(f"`{text_col}`")))
-        same = (rows["__digest"] == keep["__digest"]) & rows[f"`{id_col}`"].eqNullSafe(keep["__id"])
-        return rows.join(keep, same, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+        same = (rows["__digest"] == keep["__keep"]) & rows[f"`{id_col}`"].eqNullSafe(keep["__id"])
+        kept = rows.join(keep, same).drop("__keep", "__id")
+        once = kept.where("NOT __copies").unionByName(kept.where("__copies").dropDuplicates(["__digest"]))
+        return once.drop("__digest", "__copies")

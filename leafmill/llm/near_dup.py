@@ -266,7 +266,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     """doc_id, digest, class_id, set_id, n_links: one row per row."""
     share = Fraction(str(similarity))
     runs = runs_for(recall, similarity)
-    rows = materialise(profile(docs, runs, width, id_col, text_col), "profile")
+    rows = written(profile(docs, runs, width, id_col, text_col), "profile")
     # the keys follow from the set, so any row of a class has them
     classes = materialise(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("keys").alias("keys")), "classes")
