@@ -306,7 +306,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     labelled = classes.select("digest", "first_id", "size").join(label, F.col("digest") == F.col("node"), "left").join(links, "digest", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "digest"))
     firsts = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    result = materialise(labelled.join(firsts, "label").select(
+    # also frees what the tiles left, which were still known to the driver when they were written
+    result = written(labelled.join(firsts, "label").select(
         "digest", "class_id", F.col("first_id").alias("set_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     alone = F.col("digest").isNull()
     return rows.select("doc_id", "digest").join(result, "digest", "left").select(
