@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.sources.frontmatter import read_texts, yaml_to_json
+from leafmill.sources.frontmatter import read_bundled_texts, read_texts, yaml_to_json
 
 EVENT_HANDLERS = "event_handlers.json"
 # Fixed value: how a source file names its task.
@@ -33,12 +33,16 @@ def workflow_catalog(texts: DataFrame, default_owner: str) -> DataFrame:
         F.from_json(F.to_json(get("tasks", "variant")), "array<struct<name:string,taskReferenceName:string,type:string>>").alias("tasks"), "definition")
 
 
-def read_definitions(spark: SparkSession, base: str) -> DataFrame:
-    return definition_catalog(read_texts(spark, f"{base}/stages/*.yml"))
+def _read(spark: SparkSession, base: str, pattern: str, bundled: bool) -> DataFrame:
+    return read_bundled_texts(spark, base, pattern) if bundled else read_texts(spark, f"{base}/{pattern}")
 
 
-def read_workflows(spark: SparkSession, base: str, default_owner: str) -> DataFrame:
-    return workflow_catalog(read_texts(spark, f"{base}/workflows/*/*.json"), default_owner)
+def read_definitions(spark: SparkSession, base: str, bundled: bool = False) -> DataFrame:
+    return definition_catalog(_read(spark, base, "stages/*.yml", bundled))
+
+
+def read_workflows(spark: SparkSession, base: str, default_owner: str, bundled: bool = False) -> DataFrame:
+    return workflow_catalog(_read(spark, base, "workflows/*/*.json", bundled), default_owner)
 
 
 def name_from_json_key(key: str) -> Column:

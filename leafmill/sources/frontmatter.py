@@ -1,12 +1,16 @@
 """Documents and stages as Markdown files with YAML frontmatter, one folder per document.
 
 Layout: ``<base>/<status>/<id>/doc.md`` and ``<base>/<status>/<id>/stages/<name>/<counter>/stage.md``.
+
+A file and a folder for every stage fill a disk with their blocks and a driver with their names. So a tree can also lie in
+bundles, Parquet files with many small files each (``write_bundles``); the readers take them with ``bundled=True``.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.model import DOC_REF, DOCUMENT_STATUS, FILE_REF
+from leafmill.session import materialise
 
 _STATUS = "|".join(DOCUMENT_STATUS)
+_BUNDLES = "bundles"
+_BUNDLED = "path string, value string, length bigint, top string"
 
 
 # -- reading --------------------------------------------------------------------------------
@@ -33,8 +40,26 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), "value")
 
 
-def read_tree(spark: SparkSession, base: str, statuses: tuple[str, ...], name: str) -> DataFrame:
+def read_bundles(spark: SparkSession, base: str, tops: tuple[str, ...] | None = None) -> DataFrame:
+    """The bundled files of ``base`` as ``(path, value, length)``; a choice of top folders reads only these."""
+    files = spark.read.schema(_BUNDLED).parquet(f"{base}/{_BUNDLES}")
+    chosen = files if tops is None else files.where(F.col("top").isin(*tops))
+    return chosen.select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "value", "length")
+
+
+def read_bundled_texts(spark: SparkSession, base: str, patterns: str | list[str]) -> DataFrame:
+    """Whole bundled files as ``(path, value)`` whose paths below ``base`` match; ``*`` and ``?`` stay in one folder."""
+    patterns = [patterns] if isinstance(patterns, str) else patterns
+    tops = [p.split("/")[0] for p in patterns]
+    texts = read_bundles(spark, base, None if any(c in t for t in tops for c in "*?") else tuple(tops))
+    names = "|".join(re.escape(p).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") for p in patterns)
+    return texts.where(F.substr("path", F.lit(len(base) + 2)).rlike(f"^(?:{names})$")).select("path", "value")
+
+
+def read_tree(spark: SparkSession, base: str, statuses: tuple[str, ...], name: str, bundled: bool = False) -> DataFrame:
     """All files called ``name`` below the status folders; large folders are listed by a Spark job."""
+    if bundled:
+        return read_bundles(spark, base, statuses).where(F.col("path").endswith(f"/{name}")).select("path", "value")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
     texts = reader.text(f"{base}/{{{','.join(statuses)}}}", wholetext=True)
     return texts.select(_file_path().alias("path"), "value")
@@ -77,7 +102,8 @@ def parse_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     status is the one in the document; ``folder_status`` is where the file lies.
     """
     head, body = split_frontmatter(F.col("value"))
-    raw = texts.select("path", head.alias("head"), body.alias("body")).select("path", "body", yaml_to_json("head").alias("json"))
+    # written once, so the good and the corrupt ones do not parse all YAML twice
+    raw = materialise(texts.select("path", head.alias("head"), body.alias("body")).select("path", "body", yaml_to_json("head").alias("json")), "parsed")
     v = raw.withColumn("all", F.coalesce(F.try_parse_json("json"), F.parse_json(F.lit("{}"))))
     get = lambda key: F.try_variant_get("all", f"$.{key}", "string")
     public = F.map_filter(F.try_variant_get("all", "$", "map<string,variant>"), lambda k, _: ~k.startswith("_"))
@@ -104,20 +130,21 @@ def _from_path(place: int) -> Column:
     return F.element_at(F.split("path", "/"), -place)
 
 
-def read_documents(spark: SparkSession, base: str, statuses: tuple[str, ...] = DOCUMENT_STATUS) -> tuple[DataFrame, DataFrame]:
+def read_documents(spark: SparkSession, base: str, statuses: tuple[str, ...] = DOCUMENT_STATUS, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
     """All documents below ``base``; a choice of statuses reads only their folders."""
-    texts = read_tree(spark, base, statuses, "doc.md")
+    texts = read_tree(spark, base, statuses, "doc.md", bundled)
     return parse_documents(texts.where(F.col("path").rlike(rf"/({_STATUS})/[^/]+/doc\.md$")))
 
 
-def read_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chosen files, or folders of documents."""
-    return parse_documents(read_texts(spark, [p if p.endswith(".md") else f"{p.rstrip('/')}/doc.md" for p in paths]))
+def read_paths(spark: SparkSession, paths: list[str], bundles: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chosen files, or folders of documents; with ``bundles`` those in the bundles of that folder, by their paths below it."""
+    files = [p if p.endswith(".md") else f"{p.rstrip('/')}/doc.md" for p in paths]
+    return parse_documents(read_texts(spark, files) if bundles is None else read_bundled_texts(spark, bundles, files))
 
 
-def read_stages(spark: SparkSession, base: str) -> DataFrame:
+def read_stages(spark: SparkSession, base: str, bundled: bool = False) -> DataFrame:
     """Stage files; the folders give name and counter, other than numeric folders and corrupt files are skipped."""
-    texts = read_tree(spark, base, DOCUMENT_STATUS, "stage.md")
+    texts = read_tree(spark, base, DOCUMENT_STATUS, "stage.md", bundled)
     place = r"/([^/]+)/stages/([^/]+)/([0-9]+)/stage\.md$"
     texts = texts.where(F.col("path").rlike(place))
     head, body = split_frontmatter(F.col("value"))
@@ -134,10 +161,13 @@ def read_stages(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def attachments(spark: SparkSession, base: str) -> DataFrame:
+def attachments(spark: SparkSession, base: str, bundled: bool = False) -> DataFrame:
     """Files beside the documents and stages: ``(doc_id, stage, counter, filename, length)``; contents are not read."""
-    folders = f"{base}/{{{','.join(DOCUMENT_STATUS)}}}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "length")
+    if bundled:
+        files = read_bundles(spark, base, DOCUMENT_STATUS).select("path", "length")
+    else:
+        folders = f"{base}/{{{','.join(DOCUMENT_STATUS)}}}"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "length")
     files = files.where(~F.col("path").rlike(r"/(doc|stage)\.md$"))
     at = rf"/(?:{_STATUS})/([^/]+)(?:/stages/([^/]+)/([0-9]+))?/([^/]+)$"
     part = lambda i: F.nullif(F.regexp_extract("path", at, i), F.lit(""))
@@ -161,14 +191,14 @@ def to_frontmatter(headers: pd.Series, bodies: pd.Series) -> pd.Series:
     return pd.Series([text(h, b) for h, b in zip(headers, bodies)], dtype=object)
 
 
-def document_texts(docs: DataFrame) -> DataFrame:
-    """``(id, status, path, text)`` of documents (id, status, attrs, body, doc_refs, file_refs)."""
+def document_texts(docs: DataFrame, *more: str) -> DataFrame:
+    """``(id, status, path, text)`` and ``more`` of documents (id, status, attrs, body, doc_refs, file_refs)."""
     own = F.map_filter(F.coalesce(F.try_variant_get("attrs", "$", "map<string,variant>"), F.expr("CAST(map() AS MAP<STRING, VARIANT>)")),
                        lambda k, _: ~(k.startswith("_") | k.isin("id", "status")))
     fixed = F.create_map(F.lit("id"), F.col("id").cast("variant"), F.lit("status"), F.col("status").cast("variant"))
     refs = F.create_map(*[x for name in ("doc_refs", "file_refs") for x in (F.lit(f"_{name}"), F.parse_json(F.coalesce(F.to_json(name), F.lit("[]"))))])
     header = F.to_json(F.map_concat(fixed, own, refs))
-    return docs.select("id", "status", F.concat_ws("/", "status", "id", F.lit("doc.md")).alias("path"), to_frontmatter(header, "body").alias("text"))
+    return docs.select("id", "status", F.concat_ws("/", "status", "id", F.lit("doc.md")).alias("path"), to_frontmatter(header, "body").alias("text"), *more)
 
 
 def arrow_uri(base: str) -> str:
@@ -205,3 +235,17 @@ def write_files(texts: DataFrame, base: str) -> int:
 
     done = texts.select("path", "text").mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0]
     return done or 0
+
+
+def write_bundles(texts: DataFrame, base: str) -> None:
+    """Write ``(path, text)`` rows as files in bundles below ``base``, with their lengths and a folder for each top folder of the paths.
+
+    A path that comes several times is one file, as in a tree. Later calls add files; they must not name a path again.
+    """
+    path = F.regexp_replace("path", "/+", "/")
+    missing = F.raise_error(F.lit("a file needs a path and a text"))
+    files = texts.select(F.coalesce(path, missing.cast("string")).alias("path"), F.coalesce("text", missing.cast("string")).alias("value"))
+    files = files.select("path", "value", F.octet_length("value").cast("bigint").alias("length"), F.split_part("path", F.lit("/"), F.lit(1)).alias("top"))
+    # one exchange and one sort: of equal paths one stays, and the rows of a top folder are together
+    once = files.repartition("top", "path").dropDuplicates(["top", "path"])
+    once.write.mode("append").partitionBy("top").parquet(f"{base}/{_BUNDLES}")
