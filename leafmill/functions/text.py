@@ -49,7 +49,8 @@ def split_kv(text: Column) -> tuple[Column, Column]:
 def literal_kind(text: Column) -> Column:
     """number, boolean, null, list, object, string (quoted) or text."""
     low = F.lower(text)
-    parsed = F.schema_of_variant(try_json(F.translate(text, "'", '"')))
+    # lists and objects are told by their first sign; all other text is not parsed
+    parsed = F.when(text.rlike(r"^\s*[\[{]"), F.schema_of_variant(try_json(F.translate(text, "'", '"'))))
     return (
         F.when(text.rlike(r"^[+-]?(0+(_?0)*|[1-9](_?\d)*)$") | text.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+(?=[eE]))([eE][+-]?\d+)?$"), "number")
         .when(low.isin("true", "false"), "boolean")
