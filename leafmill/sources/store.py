@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.model import DOCUMENT_STATUS
 from leafmill.operators.mutations import changed_rows
 from leafmill.operators.ranking import last_per_key
+from leafmill.session import materialise
 
 BUCKETS = 16
 _NAME = "bucket_of_"
@@ -49,7 +50,8 @@ def save(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ...]
     """
     store = spark.read.parquet(path)
     name, buckets = _bucket_column(store)
-    new = rows.where(F.col(keys[0]).isNotNull()).withColumn(name, _bucket(keys[0], buckets)).select(*store.columns)
+    # made once, since what follows reads the rows several times
+    new = materialise(rows.where(F.col(keys[0]).isNotNull()).withColumn(name, _bucket(keys[0], buckets)).select(*store.columns), "save")
     replaced = new.select(*keys, name)
     if gone is not None:
         replaced = replaced.unionByName(gone.select(*keys).withColumn(name, _bucket(keys[0], buckets)))
