@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.variants import entries, items
 from leafmill.operators.ranking import last_per_key, running_number, top_k
 from leafmill.session import materialise
 
@@ -77,7 +78,8 @@ KEYED_LISTS = ("workflows",)
 @dataclass(frozen=True)
 class Merged:
     """Definitions merged over their layers. ``roots`` has the keys of every definition, ``levels[d]`` one row for each path
-    of d + 1 steps: ``(*keys, path, kind, value, at, pos)`` with the value of a leaf, and layer and place of the last row.
+    of d + 1 steps: ``(*keys, path, kind, value, pos, at, bare)`` with the value of a leaf, layer and place of the last row, and whether
+    an object or list may have nothing in it; ``hollow`` says that there are such ones.
 
     A step is a key (with a backslash in front if it starts with a bracket or a backslash) or, in a keyed list, ``[name]`` of an item;
     an item without a name has a step that no other one has.
@@ -86,15 +88,16 @@ class Merged:
     keys: list[str]
     roots: DataFrame
     levels: list[DataFrame]
+    hollow: bool
 
     def leaves(self) -> DataFrame:
         """``(*keys, path, value JSON)`` of the leaves and of objects and lists with nothing in them."""
         found = []
         for level, below in zip(self.levels, [*self.levels[1:], None], strict=True):
             found.append(level.where("kind = 'leaf'").select(*self.keys, "path", F.to_json("value").alias("value")))
-            if below is not None:
+            if below is not None and self.hollow:
                 filled = below.select(*self.keys, _parent().alias("path")).distinct()
-                empty = level.where("kind <> 'leaf'").join(filled, [*self.keys, "path"], "left_anti")
+                empty = level.where("kind <> 'leaf' AND bare").join(filled, [*self.keys, "path"], "left_anti")
                 found.append(empty.select(*self.keys, "path", F.when(F.col("kind") == "object", "{}").otherwise("[]").alias("value")))
         return reduce(DataFrame.unionByName, found)
 
@@ -104,19 +107,19 @@ class Merged:
         Keyed lists are in the order of ``merged_list_order``: items without a name of earlier layers, the list of the last layer, the
         named items that no later layer repeats, newest layer first.
         """
-        built = None
+        built, of_list = None, F.element_at("path", -1).startswith("[")
         for level in reversed(self.levels):
-            rows = level if built is None else level.join(built, [*self.keys, "path"], "left")
-            inner = F.col("members") if built is not None else F.lit(None).cast(_MEMBERS.format(at=level.schema["at"].dataType.simpleString()))
-            made = F.when(F.col("kind") == "object", _object_of(inner)).when(F.col("kind") == "list", _list_of(inner, F.col("at"))).otherwise(F.col("value"))
-            member = F.struct(F.element_at("path", -1).alias("step"), made.alias("value"), "at", F.col("pos").cast("int").alias("pos"))
+            rows = level.where("kind = 'leaf'").select(*self.keys, "path", "value", "at", "pos")
+            if built is not None:
+                open_ = level.where("kind <> 'leaf'").join(built, [*self.keys, "path"], "left")
+                made = F.when(F.col("kind") == "object", _object_of(F.col("members"))).otherwise(_list_of(F.col("members"), F.col("at")))
+                rows = rows.unionByName(open_.select(*self.keys, "path", made.alias("value"), "at", "pos"))
+            # only the order of a list asks for the layer
+            member = F.struct(F.element_at("path", -1).alias("step"), "value", F.when(of_list, F.col("at")).alias("at"), F.when(of_list, F.col("pos")).alias("pos"))
             built = rows.groupBy(*self.keys, _parent().alias("path")).agg(F.collect_list(member).alias("members"))
         return self.roots.join(built.drop("path"), self.keys, "left").select(*self.keys, _object_of(F.col("members")).alias("definition"))
 
 
-_MEMBERS = "array<struct<step:string,value:variant,at:{at},pos:int>>"
-
-
 def _parent() -> Column:
     return F.slice("path", F.lit(1), F.size("path") - 1)
 
@@ -140,42 +143,102 @@ def _list_of(members: Column, last: Column) -> Column:
     return F.coalesce(values, F.array().cast("array<variant>")).cast("variant")
 
 
+#: Files of one definition above which they are spread over tasks.
+MANY = 10_000
+#: Files that one task takes.
+SHARE = 100_000
+#: Levels that are opened in one pass.
+STEPS = 4
+
+
 def deep_merge(definitions: DataFrame, keys: list[str], order: list[str], payload: str = "payload", keyed_lists: tuple[str, ...] = KEYED_LISTS) -> Merged:
     """Merge the layers of definitions: objects and keyed lists (by the ``name`` of their items) merge, everything else is replaced.
 
-    ``definitions`` has the keys, the columns of ``order`` that sort the layers, and a VARIANT. It goes down level by level. Of
-    every path the last row says what it is; the objects (or lists) that go on are those after the last row of another kind, and
-    only these are written and opened on the next level. All steps are aggregates with map-side combine and joins on (keys, path), so the work grows with the
-    size of the definitions, and neither a deep definition nor one with very many layers is gathered in one task.
+    ``definitions`` has the keys, the columns of ``order`` that sort the layers, and a VARIANT. The files of a definition move to one task
+    once, where all their paths are opened, ``STEPS`` levels in a pass, and reduced to one row for each path, which says what the last
+    file has there. The files of a definition with more than ``MANY`` of them are spread and reduced in two steps. A row stays if it is
+    of a later layer than the last row of another kind at any path above; that is passed down level by level. All steps are aggregates and joins on (keys,
+    path), so the work grows with the size of the definitions, and neither a deep definition nor one with very many layers is gathered in one task.
     """
     spark, at = definitions.sparkSession, F.struct(*order)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
     whole = definitions.where(F.schema_of_variant(payload).startswith("OBJECT")).select(
-        *keys, at.alias("at"), F.array().cast("array<string>").alias("path"), F.lit("object").alias("kind"), F.col(payload).alias("value"))
-    # files of definitions are small and may come in few partitions
-    open_ = materialise(whole.repartition(*keys, "at"), "definitions")
-    roots, levels = open_.select(*keys).distinct(), []
+        *keys, at.alias("at"), F.array().cast("array<string>").alias("path"), F.lit("object").alias("kind"), F.col(payload).alias("value"),
+        F.lit(0).alias("pos"), F.lit(False).alias("bare"))
+    counts = definitions.groupBy(*keys).agg(F.count("*").alias("_n"))
+    files, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, files // SHARE + 1)
+    parts = [whole.repartition(tasks, *keys)]
+    if most > MANY:
+        many = materialise(counts.where(F.col("_n") > MANY).select(*keys), "many-layers")
+        parts = [whole.join(many, keys, "left_anti").repartition(tasks, *keys), whole.join(many, keys, "left_semi").repartition(tasks, *keys, "at")]
+
+    def opened(rows: DataFrame, depth: int) -> DataFrame:
+        """The rows, and in place of each object or list of ``depth`` steps a row without value and one for each of its members."""
+        def member(m: Column, of_list: bool) -> Column:
+            key, value, shape, pos = m["key"], m["value"], m["shape"], m["pos"]
+            if of_list:
+                name = F.when(shape.startswith("OBJECT"), F.try_variant_get(value, "$.name", "string"))
+                step = F.concat(F.lit("["), F.coalesce(name, F.concat_ws(":", F.lit("#"), *[F.col(f"at.{c}").cast("string") for c in order], pos)), F.lit("]"))
+                kind = F.when(shape.startswith("OBJECT"), "object").otherwise("leaf")
+            else:
+                step = F.when(key.rlike(r"^[\[\\]"), F.concat(F.lit("\\"), key)).otherwise(key)
+                kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY") & key.isin(*keyed_lists), "list").otherwise("leaf")
+            bare = shape.isin("OBJECT<>", "ARRAY<VOID>") | ~known
+            return F.struct(F.array_append("path", step).alias("path"), kind.alias("kind"), value.alias("value"), pos.alias("pos"), bare.alias("bare"))
+
+        def shaped(key: Column, value: Column, pos: Column) -> Column:
+            return F.struct(key.alias("key"), value.alias("value"), F.schema_of_variant(value).alias("shape"), pos.alias("pos"))
+
+        of_object = F.transform(F.map_entries(entries(F.col("value"))), lambda e, i: shaped(e["key"], e["value"], i))
+        of_list = F.transform(items(F.col("value")), lambda v, i: shaped(F.lit(None).cast("string"), v, i))
+        inside = F.when(F.col("kind") == "object", F.transform(of_object, lambda m: member(m, False))).otherwise(F.transform(of_list, lambda m: member(m, True)))
+        is_open = (F.size("path") == depth) & (F.col("kind") != "leaf") & (known | (F.size("path") == 0))
+        own = F.struct("path", "kind", F.when(~is_open, F.col("value")).alias("value"), "pos", "bare")
+        every = F.when(is_open, F.concat(F.array(own), inside)).otherwise(F.array(own))
+        return rows.select(*keys, "at", F.inline(every).alias("path", "kind", "value", "pos", "bare"))
+
+    def reduced(nodes: DataFrame) -> DataFrame:
+        last_of = lambda k: F.max(F.when(F.col("kind") == k, F.col("at"))).alias(f"{k}_at")
+        row = F.struct("kind", F.when(F.col("kind") == "leaf", F.col("value")).alias("value"), "pos", "bare")
+        last = nodes.groupBy(*keys, "path").agg(F.max_by(row, "at").alias("row"), F.max("at").alias("at"), last_of("object"), last_of("list"), last_of("leaf"))
+        cut = F.when(F.col("row.kind") == "object", F.greatest("list_at", "leaf_at")).when(F.col("row.kind") == "list", F.greatest("object_at", "leaf_at")).when(
+            F.coalesce("object_at", "list_at").isNotNull(), F.col("at"))  # a leaf ends all that was below
+        return last.select(*keys, "path", "row.*", "at", cut.alias("cut")).withColumn(
+            "bare", F.col("bare") | F.coalesce(~(F.col("at") > F.col("cut")), F.lit(False)))
+
+    roots, found, done, hollow, cuts = None, [], 0, False, False
     while True:
-        inside = open_.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(
-            F.col("pos").alias("pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
-        of_list, shape = F.col("kind") == "list", F.schema_of_variant("_value")
-        name = F.when(shape.startswith("OBJECT"), F.try_variant_get("_value", "$.name", "string"))
-        item = F.concat(F.lit("["), F.coalesce(name, F.concat_ws(":", F.lit("#"), *[F.col(f"at.{c}").cast("string") for c in order], "pos")), F.lit("]"))
-        key = F.when(F.col("_key").rlike(r"^[\[\\]"), F.concat(F.lit("\\"), "_key")).otherwise(F.col("_key"))
-        kind = (
-            F.when(shape.startswith("OBJECT"), "object")
-            .when(shape.startswith("ARRAY") & ~of_list & F.col("_key").isin(*keyed_lists), "list").otherwise("leaf"))
-        inside = inside.select(*keys, "at", F.array_append("path", F.when(of_list, item).otherwise(key)).alias("path"), kind.alias("kind"), F.col("_value").alias("value"), "pos")
-        last_of = lambda k: F.max(F.when(F.col("kind") == k, F.col("at")))
-        row = F.struct("kind", F.when(F.col("kind") == "leaf", F.col("value")).alias("value"), "pos")
-        level = inside.groupBy(*keys, "path").agg(
-            F.max_by(row, "at").alias("row"), F.max("at").alias("at"), *[last_of(k).alias(f"{k}_at") for k in ("object", "list", "leaf")])
-        cut = F.when(F.col("row.kind") == "object", F.greatest("list_at", "leaf_at")).otherwise(F.greatest("object_at", "leaf_at"))
-        level = materialise(level.select(*keys, "path", "row.*", "at", cut.alias("cut")), "merged-level")
-        levels.append(level.drop("cut"))
-        going_on = level.where("kind <> 'leaf'").select(*keys, "path", "kind", "cut")
-        if going_on.isEmpty():
-            return Merged(keys, roots, levels)
-        open_ = materialise(inside.where("kind <> 'leaf'").join(going_on, [*keys, "path", "kind"]).where("cut IS NULL OR at > cut").drop("cut", "pos"), "merged-open")
+        nodes = parts
+        for depth in range(done, done + STEPS):
+            nodes = [opened(n, depth) for n in nodes]
+        first, done = done + 1, done + STEPS  # the first pass also has a row for each definition itself, without a path
+        if first > 1:  # what was there before this pass is known
+            nodes = [n.where(F.size("path") >= first) for n in nodes]
+        ends = (F.size("path") == done) & (F.col("kind") != "leaf") & known
+        seen = Observation()
+        rows = reduce(DataFrame.unionByName, [reduced(n) for n in nodes]).withColumn("depth", F.size("path"))
+        rows = rows.observe(seen, F.max("depth").alias("depth"), F.count_if((F.col("kind") != "leaf") & F.col("bare")).alias("bare"), F.count_if(F.col("cut").isNotNull()).alias("cuts"),
+                            F.count_if((F.col("depth") == done) & ((F.col("kind") != "leaf") | F.col("cut").isNotNull())).alias("open"))
+        rows = materialise(rows, "merged")
+        if roots is None:
+            roots = rows.where("depth = 0").select(*keys)
+        hollow, cuts = hollow or seen.get["bare"] > 0, cuts or seen.get["cuts"] > 0
+        found += [rows.where(F.col("depth") == d).drop("depth") for d in range(first, max(first, seen.get["depth"] or 0) + 1)]
+        if seen.get["open"] == 0:
+            break
+        parts = [materialise(n.where(ends), "merged-open") for n in nodes]
+    return Merged(keys, roots, _alive(found, keys) if cuts else [level.drop("cut") for level in found], hollow)
+
+
+def _alive(levels: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """The rows of each level that are later than every cut above them."""
+    alive, above = [levels[0].drop("cut")], levels[0].where("cut IS NOT NULL").select(*keys, "path", F.col("cut").alias("over"))
+    for level in levels[1:]:
+        below = level.withColumn("_parent", _parent()).join(above.withColumnRenamed("path", "_parent"), [*keys, "_parent"], "left").drop("_parent")
+        alive.append(below.where("over IS NULL OR at > over").drop("cut", "over"))
+        above = materialise(below.select(*keys, "path", F.greatest("cut", "over").alias("over")).where("over IS NOT NULL"), "merged-cuts") if level is not levels[-1] else None
+    return alive
 
 
 def merged_list_order(items: DataFrame, owner: str, order: str, bucket: list[Column]) -> DataFrame:
