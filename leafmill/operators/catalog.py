@@ -403,20 +403,37 @@ def extends_closure(features: DataFrame, extends: DataFrame, packages: DataFrame
     features = features.select("feature").distinct()
     edges = materialise(extends.select("feature", F.col("pos").cast("bigint").alias("pos"), "parent"), "extends")
     own = packages.select(F.col("feature").alias("ancestor"), F.col("pos").cast("bigint").alias("pos"), "package")
+    if not _has_circle(edges):
+        return _first_places(features, edges, own)
     reach = _reach(edges)
     circles = reach.where(F.col("feature") == F.col("ancestor")).select("ancestor")
     tangled = materialise(reach.join(circles, "ancestor", "left_semi").select("feature").distinct(), "tangled")
-
-    def in_order(placed: DataFrame, place: Column) -> DataFrame:
-        """Packages at the first place of any ancestor that has them."""
-        firsts = placed.join(own, "ancestor").groupBy("feature", "package").agg(F.min(place).alias("_p"))
-        return firsts.select("feature", F.row_number().over(Window.partitionBy("feature").orderBy("_p")).cast("bigint").alias("pos"), "package")
-
-    by_rank, by_way = F.struct("rank", "pos"), F.concat(_place("at"), F.array("pos"))
-    if tangled.isEmpty():
-        return in_order(_ranked_ways(features, edges), by_rank)
-    free = _ranked_ways(features.join(tangled, "feature", "left_anti"), edges.join(tangled, "feature", "left_anti"))
-    return in_order(free, by_rank).unionByName(in_order(_simple_ways(features.join(tangled, "feature", "left_semi"), edges), by_way))
+    free = _first_places(features.join(tangled, "feature", "left_anti"), edges.join(tangled, "feature", "left_anti"), own)
+    placed = _simple_ways(features.join(tangled, "feature", "left_semi"), edges).join(own, "ancestor")
+    firsts = placed.groupBy("feature", "package").agg(F.min(F.concat(_place("at"), F.array("pos"))).alias("_p"))
+    return free.unionByName(firsts.select(
+        "feature", F.row_number().over(Window.partitionBy("feature").orderBy("_p")).cast("bigint").alias("pos"), "package"))
+
+
+#: Rounds in which edges that no circle can hold are taken off before pairs are listed.
+PEELS = 12
+
+
+def _has_circle(edges: DataFrame) -> bool:
+    """Whether any feature reaches itself. An edge lies on a circle only if its feature is a parent and its parent has
+    one; the others go first, which leaves nothing of a hierarchy that is not very deep."""
+    left = materialise(edges.select("feature", "parent").distinct(), "peeled")
+    size = left.count()
+    for _ in range(PEELS):
+        if not size:
+            return False
+        inner = left.join(left.select(F.col("parent").alias("feature")).distinct(), "feature", "left_semi")
+        inner = materialise(inner.join(left.select(F.col("feature").alias("parent")).distinct(), "parent", "left_semi").select("feature", "parent"), "peeled")
+        before, size = size, inner.count()
+        left = inner
+        if size == before:
+            break  # only circles and what lies between them
+    return not _reach(left).where(F.col("feature") == F.col("ancestor")).isEmpty()
 
 
 def _reach(edges: DataFrame) -> DataFrame:
@@ -433,33 +450,38 @@ def _reach(edges: DataFrame) -> DataFrame:
         size *= 2
 
 
-def _ranked_ways(features: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(feature, ancestor, rank)`` without cycles: the order in which a walk leaves the ancestors, parents first.
+def _first_places(features: DataFrame, edges: DataFrame, own: DataFrame) -> DataFrame:
+    """``(feature, pos, package)`` without cycles.
 
-    Of several ways to one ancestor the first in list order counts. Every part of such a way is the first one between its ends too, so ways are
-    known by their rank among those of their feature: a way as long as all found so far and one that goes on from its end compare by two ranks.
+    After a round, each feature has the ends of its ways of exactly ``2 ** round`` steps and the packages at the end of shorter ones, one
+    row each, in the order in which a walk comes by (the packages of a feature after all its ways). Of several ways to one end, or
+    places of one package, only the first counts: whatever follows a later one has a place before. A way and what follows from
+    its end compare by two of these ranks, so neither ways nor pairs of features are written out.
     """
-    nodes = features.unionByName(edges.select("feature")).unionByName(edges.select(F.col("parent").alias("feature"))).distinct()
-    zero = F.lit(0).cast("bigint")
-
     def ranked(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy("feature", "ancestor").agg(F.min(F.struct("first", "ends", "then", "steps")).alias("b"))
-        rank = F.row_number().over(Window.partitionBy("feature").orderBy("b.first", "b.ends", "b.then")).cast("bigint")
-        return materialise(best.select("feature", "ancestor", rank.alias("rank"), "b.steps"), "ways")
-
-    # one step sorts by its place in the list, the feature itself comes after all its parents
-    ways = ranked(
-        edges.select("feature", F.col("parent").alias("ancestor"), F.col("pos").alias("first"), F.lit(0).alias("ends"), zero.alias("then"), F.lit(1).cast("bigint").alias("steps"))
-        .unionByName(nodes.select("feature", F.col("feature").alias("ancestor"), F.lit(2**62).cast("bigint").alias("first"), F.lit(1).alias("ends"), zero.alias("then"), zero.alias("steps"))))
-    size = 1
+        best = rows.repartition("feature").groupBy("feature", "ancestor", "package", "is_way").agg(F.min("place").alias("place"))
+        rank = F.row_number().over(Window.partitionBy("feature").orderBy("place")).cast("bigint")
+        return materialise(best.select("feature", "ancestor", "package", "is_way", rank.alias("rank")), "ways")
+
+    def no(df: DataFrame, column: str) -> Column:
+        return F.lit(None).cast(df.schema[column].dataType).alias(column)
+
+    def place(first: Column, then: Column) -> Column:
+        return F.struct(first.alias("first"), then.alias("then")).alias("place")
+
+    zero, last = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = ranked(
+        edges.select("feature", F.col("parent").alias("ancestor"), no(own, "package"), F.lit(True).alias("is_way"), place(zero, F.col("pos")))
+        .unionByName(own.select(F.col("ancestor").alias("feature"), no(edges, "parent").alias("ancestor"), "package", F.lit(False).alias("is_way"), place(last, F.col("pos")))))
     while True:
-        longest = ways.where(F.col("steps") == size).select("feature", F.col("ancestor").alias("_mid"), F.col("rank").alias("first"))
-        if longest.isEmpty():
-            return ways.join(features, "feature", "left_semi").select("feature", "ancestor", "rank")
-        on = ways.where("steps > 0").select(F.col("feature").alias("_mid"), "ancestor", F.col("rank").alias("then"), "steps")
-        further = longest.join(on, "_mid").select("feature", "ancestor", "first", F.lit(0).alias("ends"), "then", (F.col("steps") + size).alias("steps"))
-        ways = ranked(further.unionByName(ways.select("feature", "ancestor", F.col("rank").alias("first"), F.lit(1).alias("ends"), zero.alias("then"), "steps")))
-        size *= 2
+        ways = rows.where("is_way AND ancestor IS NOT NULL").select("feature", F.col("ancestor").alias("_mid"), F.col("rank").alias("_first"))
+        if ways.isEmpty():
+            # a way to no ancestor has a rank too, so packages are counted again
+            pos = F.row_number().over(Window.partitionBy("feature").orderBy("rank")).cast("bigint")
+            return rows.where("NOT is_way").join(features, "feature", "left_semi").select("feature", pos.alias("pos"), "package")
+        further = ways.join(rows.withColumnRenamed("feature", "_mid"), "_mid").select(
+            "feature", "ancestor", "package", "is_way", place(F.col("_first"), F.col("rank")))
+        rows = ranked(further.unionByName(rows.where("NOT is_way").select("feature", "ancestor", "package", "is_way", place(F.col("rank"), zero))))
 
 
 def _simple_ways(features: DataFrame, edges: DataFrame) -> DataFrame:
