@@ -44,6 +44,8 @@ BRANCHES = 2
 LIMIT = 128
 #: A child with more than this share of its parent's members is not split again.
 DENSE = 0.7
+#: Bits of the filter that tells whose texts are read again, 8 MB at most. More classes than that only let more texts through.
+FILTER_BITS = 2**26
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -134,9 +136,13 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, te
                                                  names=["digest", "shingles"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    wanted = classes.select(F.col("first_id").alias("id"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    # an id that is repeated brings other texts along: the join on the digest leaves them out
+    # texts do not move: bitmaps of bounded size tell which may be wanted, and the join on the digest leaves out the others
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bitmaps = classes.select(place("first_id").alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    marked = rows.withColumn("at", F.bitmap_bit_position(place("doc_id")).cast("int")).withColumn("bucket", F.bitmap_bucket_number(place("doc_id"))).join(F.broadcast(bitmaps), "bucket")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("at DIV 8 + 1"), F.lit(1))), 16, 10).cast("int")
+    texts = marked.where(F.getbit(byte, F.col("at") % 8) == 1).select("text")
     return texts.mapInArrow(run, "digest binary, shingles binary").join(classes.select("digest", "size"), "digest").dropDuplicates(["digest"])
 
 

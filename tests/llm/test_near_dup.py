@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from leafmill.llm import near_dup
 from leafmill.llm.near_dup import links, representatives, runs_for
 from tests.llm.helpers import near_groups, table, word_sets
 
@@ -72,3 +73,24 @@ def test_empty_table(spark):
 @pytest.mark.parametrize(("recall", "runs"), [(0.9, 1), (0.99, 2), (0.999, 3)])
 def test_runs(recall, runs):
     assert runs_for(recall, 0.8) == runs
+
+
+def test_texts_do_not_move_to_make_sets_again(spark):
+    """Also of ids that repeat or are null, and where the filter lets nearly all texts through."""
+    rows = [(i, f"text {i} " + " ".join(f"w{i * k % 7}" for k in range(20))) for i in range(200)] + [(3, "another text of this id here"), (None, "a text without an id here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = near_dup.profile(docs, 1, 5, "doc_id", "text").where("doc_id % 10 = 3 OR doc_id IS NULL").selectExpr("digest", "doc_id AS first_id", "1L AS size")
+    classes = classes.dropDuplicates(["digest"]).localCheckpoint()
+    want = {bytes(r.digest) for r in classes.collect()}
+    auto, bits = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), near_dup.FILTER_BITS
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for near_dup.FILTER_BITS in (bits, 8):
+            sets = near_dup._whole_sets(docs, classes, 5, "doc_id", "text")
+            got = [bytes(r.digest) for r in sets.collect()]
+            assert len(got) == len(want) == 22 and {*got} == want
+        plan = sets._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan[plan.index("MapInArrow"):] and "BroadcastHashJoin" in plan
+    finally:
+        near_dup.FILTER_BITS = bits
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
