@@ -6,10 +6,14 @@ a node's random function orders all elements, and a set goes on to the child of
 functions a node. Similar sets share such an element with a chance equal to their similarity, so a pair at the threshold
 gets through a level with 1.6 common children on average, however deep the tree is. A node with few members is
 a leaf. So is a node that keeps most of its parent's members: they are similar to each other throughout, and no split would
-part them. All pairs of a leaf are compared on their whole sets, in tiles of bounded size. The tree is built in
-several independent runs, as many as the wanted recall for pairs at the threshold takes.
-
-A pair may meet in several leaves; it counts in the first of those that both have. Leaves give no pairs
+part them. All pairs of a leaf are compared on their whole sets, in tiles of bounded size. The members of a leaf of several
+tiles go there as what sets them apart from one member, which tells any two as exactly: what sets two of them apart is in one
+of their differences and not in the other. Their tiles are made in rounds, so that disk holds a few copies of a difference
+at once, however large the leaf is. The tree is built in several independent runs, as many as the wanted recall for pairs at
+the threshold takes.
+
+A pair may meet in several leaves; it counts in the first of those that both have. Of leaves with the same members one is
+compared. Leaves give no pairs
 but, for each member, its number of links there and the first member of its component. Components are then joined by
 label propagation with pointer jumping over these, one row per member.
 
@@ -40,10 +44,14 @@ SIMILARITY = 0.8
 RECALL = 0.999
 #: Functions per node.
 BRANCHES = 2
-#: Members of a leaf or of a block of a larger one.
+#: Members of a node that is not split.
 LIMIT = 128
+#: Members of a tile's block, as a multiple of those.
+BLOCK = 4
 #: A child with more than this share of its parent's members is not split again.
 DENSE = 0.7
+#: Tiles of a leaf whose blocks are up to so many places further apart are made in one round.
+SPAN = 4
 #: Bits of the filter that tells whose texts are read again, 8 MB at most. More classes than that only let more texts through.
 FILTER_BITS = 2**26
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -126,6 +134,17 @@ def profile(docs: DataFrame, runs: int, width: int, id_col: str, text_col: str)
     return rows.mapInArrow(run, f"doc_id {kind}, digest binary, n bigint, keys array<bigint>")
 
 
+def _perhaps(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the column ``wanted``, and a few others, which a join leaves out. Rows do not move:
+    bitmaps of bounded size tell which may be wanted."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bitmaps = wanted.select(place(wanted.columns[0]).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    marked = rows.withColumn("at", F.bitmap_bit_position(place(key)).cast("int")).withColumn("bucket", F.bitmap_bucket_number(place(key))).join(F.broadcast(bitmaps), "bucket")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("at DIV 8 + 1"), F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.col("at") % 8) == 1).select(rows.columns)
+
+
 def _whole_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """digest, size, shingles: the set of each class, made again from the text of one of its documents."""
 
@@ -136,13 +155,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, te
                                                  names=["digest", "shingles"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    # texts do not move: bitmaps of bounded size tell which may be wanted, and the join on the digest leaves out the others
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bitmaps = classes.select(place("first_id").alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    marked = rows.withColumn("at", F.bitmap_bit_position(place("doc_id")).cast("int")).withColumn("bucket", F.bitmap_bucket_number(place("doc_id"))).join(F.broadcast(bitmaps), "bucket")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("at DIV 8 + 1"), F.lit(1))), 16, 10).cast("int")
-    texts = marked.where(F.getbit(byte, F.col("at") % 8) == 1).select("text")
+    texts = _perhaps(rows, "doc_id", classes.select("first_id")).select("text")
     return texts.mapInArrow(run, "digest binary, shingles binary").join(classes.select("digest", "size"), "digest").dropDuplicates(["digest"])
 
 
@@ -195,20 +208,22 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(sets: list[np.ndarray], leaves: list[np.ndarray], leaf: int, blocks: np.ndarray | None, sizes: np.ndarray,
+def compare(sets: list[np.ndarray], n: np.ndarray, leaves: list[np.ndarray], leaf: int, blocks: np.ndarray | None, sizes: np.ndarray,
             similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member to documents of other members that are counted here, and the first member of its component.
+    ``sets`` are the members' sets of ``n`` elements, or the differences of all of them from one and the same set.
     With ``blocks``, only pairs of different ones are compared."""
     m = len(sets)
-    n = np.array([len(s) for s in sets])
-    near = common(sets) * (similarity.numerator + similarity.denominator) >= similarity.numerator * (n[:, None] + n[None, :])
+    rest = n - np.array([len(s) for s in sets])
+    twice = rest[:, None] + rest[None, :] + 2 * common(sets)  # the elements that two sets share, doubled
+    near = twice * (similarity.numerator + similarity.denominator) >= 2 * similarity.numerator * (n[:, None] + n[None, :])
     np.fill_diagonal(near, False)
     if blocks is not None:
         near &= blocks[:, None] != blocks[None, :]
     if not near.any():
         return np.zeros(m, np.int64), np.arange(m)
-    before = common([x[x < leaf] for x in leaves])
-    links = (near & (before == 0)) @ sizes
+    near &= common([x[x < leaf] for x in leaves]) == 0  # the others count in an earlier leaf
+    links = near @ sizes
     root = np.arange(m)
     while True:
         lower = np.minimum(root, np.where(near, root[None, :], m).min(axis=1))
@@ -227,7 +242,8 @@ def _compare_tiles(similarity: Fraction):
         leaves = [np.array(r["leaves"], np.int64) for r in rows]
         first, second = rows[0]["tile"]
         blocks = None if first == second else np.array([r["block"] for r in rows])
-        links, root = compare(sets, leaves, rows[0]["leaf"], blocks, np.array([r["size"] for r in rows]), similarity)
+        n, sizes = np.array([r["n"] for r in rows]), np.array([r["size"] for r in rows])
+        links, root = compare(sets, n, leaves, rows[0]["leaf"], blocks, sizes, similarity)
         some = np.flatnonzero((links > 0) | (root != np.arange(len(rows)))).tolist()
         if not some:
             return None
@@ -249,6 +265,60 @@ def _compare_tiles(similarity: Fraction):
     return run
 
 
+def _compared(tiles: DataFrame, similarity: Fraction) -> DataFrame:
+    """digest, links, root of the members of each tile that have any."""
+    rows = tiles.select("leaf", "tile", "block", "digest", "size", "n", "shingles", "leaves").repartition("leaf", "tile").sortWithinPartitions("leaf", "tile")
+    return rows.mapInArrow(_compare_tiles(similarity), "digest binary, links bigint, root binary")
+
+
+def _reduced(found: DataFrame) -> DataFrame:
+    """The links of each digest summed, with its least root, which takes over the others."""
+    whole = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sort_array(F.collect_set("root")).alias("roots"))
+    least = F.col("roots")[0].alias("root")
+    others = whole.select(F.explode(F.expr("slice(roots, 2, size(roots))")).alias("digest"), F.lit(0).cast("bigint").alias("links"), least)
+    return whole.select("digest", "links", least).union(others.distinct())
+
+
+def _once(leaves: DataFrame, limit: int) -> DataFrame:
+    """``leaves`` (node, digest, members) without those of at most ``limit`` members that have the members of another one."""
+    few = leaves.where(F.col("members") <= limit).groupBy("node").agg(F.sort_array(F.collect_set("digest")).alias("who"))
+    few = few.groupBy("who").agg(F.min("node").alias("node"))
+    few = few.select("node", F.explode("who").alias("digest"), F.size("who").cast("bigint").alias("members"))
+    return few.union(leaves.where(F.col("members") > limit).select("node", "digest", "members"))
+
+
+def _known(members: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with their sets, the sizes of these and all leaves they are in."""
+    return members.join(sets.join(shared, "digest").withColumn("n", F.expr("length(shingles) DIV 8")), "digest")
+
+
+def _differences(large: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of ``large`` leaves (leaf, blocks, block, digest), where ``shingles`` are the elements that only the set of
+    the member or that of the leaf's least digest has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in _few(batch)):
+            pairs = zip(part["shingles"].to_pylist(), part["base"].to_pylist(), strict=True)
+            apart = [np.setxor1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True).tobytes() for a, b in pairs]
+            kept = part.drop_columns(["base", "shingles"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(apart, pa.binary())], names=[*kept.schema.names, "shingles"])
+
+    # a base goes to each block, so that no task has a whole leaf
+    first = large.groupBy("leaf", "blocks").agg(F.min("digest").alias("digest"))
+    bases = first.join(_perhaps(sets, "digest", first.select("digest")).select("digest", F.col("shingles").alias("base")), "digest")
+    bases = bases.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "base")
+    rows = _known(large, shared, _perhaps(sets, "digest", large.select("digest"))).join(bases, ["leaf", "block"]).select("leaf", "blocks", "block", "digest", "size", "n", "leaves", "shingles", "base")
+    return rows.mapInArrow(run, "leaf bigint, blocks int, block int, digest binary, size bigint, n bigint, leaves array<bigint>, shingles binary")
+
+
+def _tiles(differences: DataFrame, start: int) -> DataFrame:
+    """The rows of the tiles of two blocks that are ``start`` to ``start + SPAN - 1`` places apart."""
+    places = sorted({sign * k for k in range(start, start + SPAN) for sign in (-1, 1)})
+    rows = differences.where(F.col("blocks") > start).withColumn("other", F.explode(F.array(*[F.col("block") + k for k in places])))
+    return rows.where((F.col("other") >= 0) & (F.col("other") < F.col("blocks"))).withColumn(
+        "tile", F.array(F.least("block", "other"), F.greatest("block", "other")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of ``edges`` (a, b)."""
     # a node with many edges keeps the one to its least neighbour, which takes over the others
@@ -281,13 +351,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     roots = classes.select("digest", F.explode("keys").alias("node"))
     counts = roots.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     members = materialise(roots.join(counts, "node"), "members")
-    met = members.select("digest").distinct().join(classes, "digest")
-    sets = written(_whole_sets(docs, met, width, id_col, text_col), "sets")
     steps = [members]
     leaves = members.where(F.col("members") <= limit).select("node", "digest", "members")
     large = members.where(F.col("members") > limit)
+    # only these sets are read level by level, the others are made again for their tiles
+    sets = written(_whole_sets(docs, large.select("digest").distinct().join(classes, "digest"), width, id_col, text_col), "sets")
     while not large.isEmpty():
-        below = materialise(_split(large.join(sets, "digest")), "children")
+        below = materialise(_split(large.join(_perhaps(sets, "digest", large.select("digest")), "digest")), "children")
         counts = below.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
         wide, below = below, written(below.join(counts, "node").select("node", "digest", "members", "parent_members"), "members")
         discard(wide)
@@ -295,17 +365,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
         done = (F.col("members") <= limit) | (F.col("members") > DENSE * F.col("parent_members"))
         leaves = leaves.union(below.where(done).select("node", "digest", "members"))
         large = below.where(~done)
-    leaves = written(leaves.distinct(), "leaves")
+    leaves = written(_once(leaves.distinct(), limit), "leaves")
     discard(*steps)
-    known = sets.join(leaves.groupBy("digest").agg(F.collect_set("node").alias("leaves")), "digest")
-    blocks = F.ceil(F.col("members") / limit).cast("int")
-    tiles = (
-        leaves.withColumn("block", F.pmod(F.xxhash64("digest", "node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("digest", F.col("node").alias("leaf"), "block", F.array(F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
-    found = written(
-        tiles.join(known, "digest").repartition("leaf", "tile").sortWithinPartitions("leaf", "tile")
-        .select("leaf", "tile", "block", "digest", "size", "shingles", "leaves").mapInArrow(_compare_tiles(share), "digest binary, links bigint, root binary"), "links")
+    shared = leaves.groupBy("digest").agg(F.collect_set("node").alias("leaves"))
+    blocks = F.ceil(F.col("members") / (limit * BLOCK)).cast("int")
+    placed = leaves.select(F.col("node").alias("leaf"), "digest", blocks.alias("blocks"), F.pmod(F.xxhash64("digest", "node"), blocks).cast("int").alias("block"))
+    whole = placed.where(F.col("blocks") == 1).withColumn("tile", F.array("block", "block"))
+    met = _whole_sets(docs, whole.select("digest").distinct().join(classes, "digest"), width, id_col, text_col)
+    found = written(_compared(_known(whole, shared, met), share), "links")
+    apart = placed.where(F.col("blocks") > 1)
+    most = apart.agg(F.max("blocks")).first()[0]
+    if most:
+        differences = written(_differences(apart, shared, sets), "differences")
+        for start in range(0, most, SPAN):
+            found = found.union(written(_reduced(_compared(_tiles(differences, start), share)), "links"))
+        discard(differences)
     discard(sets, leaves)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     label = components(found.where(F.col("digest") != F.col("root")).select(F.col("digest").alias("a"), F.col("root").alias("b")))

@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import near_dup
 from leafmill.llm.near_dup import links, representatives, runs_for
@@ -94,3 +96,66 @@ def test_texts_do_not_move_to_make_sets_again(spark):
     finally:
         near_dup.FILTER_BITS = bits
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
+def near_copies(n, words=200):
+    """One word of each differs from the others, now and then two; some are equal as sets."""
+    rng = random.Random(11)
+    base = [rng.choice("mnopqrstuvwxyz") * 3 + str(k) for k in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(min(i % 5, 2)):
+            text[rng.randrange(words)] = f"new{i}"
+        if i % 10 == 9:  # not near to all others
+            for k in range(12):
+                text[k * 16 + rng.randrange(3)] = f"far{i}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def steps_of(monkeypatch, purpose, see):
+    """What ``see`` makes of each step that is written for ``purpose``."""
+    seen, plain = [], near_dup.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name == purpose:
+            seen.append(see(out))
+        return out
+
+    monkeypatch.setattr(near_dup, "written", written)
+    return seen
+
+
+def test_leaves_with_the_same_members_are_compared_once(spark, monkeypatch):
+    rows = made_rows()
+    seen = steps_of(monkeypatch, "leaves", lambda leaves: leaves.where("members <= 16").groupBy("node").agg(F.sort_array(F.collect_set("digest")).alias("who")).collect())
+    check(spark, rows, limit=16)
+    members = [tuple(map(bytes, r.who)) for r in seen[0]]
+    assert len(members) == len(set(members)) > 0
+
+
+def test_large_leaves_in_rounds(spark):
+    check(spark, near_copies(90), limit=4)
+
+
+def test_sets_of_a_large_leaf_are_not_brought_to_each_of_its_tiles(spark, monkeypatch):
+    """Elements that reach the tiles of a leaf of 16 blocks or more: each set came once for each block."""
+    rows = near_copies(80)
+
+    def counted(similarity):
+        def run(batches):
+            for batch in batches:
+                size = sum(len(x) // 8 for x in batch["shingles"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([b"x"]), pa.array([size], pa.int64()), pa.array([b"x"])], names=["digest", "links", "root"])
+
+        return run
+
+    monkeypatch.setattr(near_dup, "_compare_tiles", counted)
+    seen = steps_of(monkeypatch, "links", lambda found: found.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0])
+    leaves = steps_of(monkeypatch, "leaves", lambda leaves: leaves.where("members > 4").count())
+    links(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=4).count()
+    whole = leaves[0] * 196
+    assert leaves[0] > 0 and sum(seen) < 8 * whole
+    assert max(seen) < 3 * whole  # at once
