@@ -52,6 +52,8 @@ BLOCK = 4
 DENSE = 0.7
 #: Tiles of a leaf whose blocks are up to so many places further apart are made in one round.
 SPAN = 4
+#: Code points whose sets are made at once, and rows that are read for it.
+PIECE, PIECE_ROWS = 2**18, 1024
 #: Bits of the filter that tells whose texts are read again, 8 MB at most. More classes than that only let more texts through.
 FILTER_BITS = 2**26
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -107,7 +109,7 @@ def _texts(batch: pa.RecordBatch, k: int) -> list[str]:
 
 
 def _sets(texts: list[str], width: int) -> Iterator[tuple[int, int, list[np.ndarray], list[bytes | None], np.ndarray, np.ndarray]]:
-    for a, b in words.slices(texts):
+    for a, b in words.slices(texts, PIECE):
         hashes, bounds = shingles(texts[a:b], width)
         sets = [np.unique(hashes[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield a, b, sets, [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], hashes, bounds
@@ -117,7 +119,7 @@ def profile(docs: DataFrame, runs: int, width: int, id_col: str, text_col: str)
     """doc_id, digest of the set, its size, and its children of the roots of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole, PIECE_ROWS)):
             for a, b, sets, digests, hashes, bounds in _sets(_texts(batch, 1), width):
                 full = np.flatnonzero(np.diff(bounds))
                 keys = np.zeros((b - a, runs * BRANCHES), np.uint64)
@@ -149,7 +151,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, te
     """digest, size, shingles: the set of each class, made again from the text of one of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole, PIECE_ROWS)):
             for _, _, sets, digests, _, _ in _sets(_texts(batch, 0), width):
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["digest", "shingles"])
@@ -409,7 +411,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole, PIECE_ROWS)):
             for a, b, _, digests, _, _ in _sets(_texts(batch, at), width):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "__digest"])
 
