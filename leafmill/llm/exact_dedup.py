@@ -49,7 +49,8 @@ class DigestIndex:
                buckets: int | None = None) -> DigestIndex:
         index = cls(spark, table or f"digest_index_{uuid.uuid4().hex}",
                     buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-        empty = spark.createDataFrame([], f"digest string, keep_id {id_type}, batch string")
+        # made without Python, whose workers would stay beside those of the step before
+        empty = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (("digest", "string"), ("keep_id", id_type), ("batch", "string"))])
         index._writer(empty).option("path", shared_folder(spark, "digest-index")).saveAsTable(index.table)
         return index
 

@@ -241,9 +241,9 @@ def predict(docs: DataFrame, languages: Languages, text_col: str = "text", pred_
     at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.pieces(batches):
             texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            for a, b in words.slices(texts):
+            for a, b in words.slices(texts, words.PIECE):
                 found = shared.value.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],

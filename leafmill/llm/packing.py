@@ -50,7 +50,7 @@ class ByteLevelIds:
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        for a, b in words.slices(texts):
+        for a, b in words.slices(texts, words.PIECE):
             part = texts[a:b]
             odd = {i for i, t in enumerate(part) if not words.same_classes(t) or any(x in t for x in self.added)}
             plain = iter(self._plain([t for i, t in enumerate(part) if i not in odd]))
@@ -108,7 +108,7 @@ _MOVES = "bin bigint, parent bigint, shift bigint, fill bigint"
 def _cut_and_pack(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, numbers, starts, sizes, sums = ids_of(path), [], [], [], [], []
-        for batch in batches:
+        for batch in words.pieces(batches):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for doc, found in zip(batch.column(0).to_pylist(), ids(texts), strict=True):
                 full = np.append(found, np.uint32(CLOSING)).astype("<u4")

@@ -94,3 +94,15 @@ def test_survivors_keep_all_columns(spark):
 def test_empty_table(spark, method):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert getattr(DigestIndex.create(spark), method)(docs).collect() == []
+
+
+def test_an_index_is_made_without_python_workers(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows of Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    for id_type in ("bigint", "string", "decimal(20,0)"):
+        index = DigestIndex.create(spark, id_type)
+        assert index.read().dtypes == [("digest", "string"), ("keep_id", id_type), ("batch", "string")]
+        assert index.read().collect() == []
+        index.drop()

@@ -2,10 +2,13 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from leafmill.llm import language, quality, words
 
@@ -163,3 +166,21 @@ def test_texts_that_cannot_teach_take_no_place_in_the_sample(spark):
     rows = [(i, "wordsofit" + "".join(chr(97 + int(c)) for c in f"{i:05d}") if i % 100 == 0 else None if i % 2 else "12 34", "en") for i in range(40_000)]
     found = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), passages=300, length=12)
     assert len(found.samples[0]) > 300 * 11
+
+
+def test_a_batch_is_parsed_in_small_slices():
+    class Sizes(language.Languages):
+        """Instead of a score, what is parsed at once."""
+
+        def score(self, texts):
+            return [("x", float(sum(map(len, texts))))] * len(texts)
+
+    # a table that gives the function of its tasks
+    docs = SimpleNamespace(columns=["id", "text"], schema=StructType([StructField("id", LongType()), StructField("text", StringType())]), mapInArrow=lambda run, _: run,
+                           sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    docs.drop = lambda *_: docs
+    texts = ["b" * 300_000 if i == 7 else "a" * 1000 for i in range(2000)]
+    run = language.predict(docs, Sizes([], {}, []))
+    found = [r for b in run(iter([pa.record_batch([pa.array(range(2000)), pa.array(texts)], names=["id", "text"])])) for r in b.to_pylist()]
+    assert [(r["id"], r["text"]) for r in found] == list(enumerate(texts))
+    assert max(r["score"] for r in found if r["id"] != 7) <= words.PIECE < 300_000 == max(r["score"] for r in found)

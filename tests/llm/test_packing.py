@@ -1,10 +1,14 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from leafmill.llm import packing, words
 from leafmill.llm.packing import best_fit, pack, pieces
 from tests.llm.helpers import table
 
@@ -56,3 +60,28 @@ def test_pieces():
 def test_best_fit_takes_the_fullest_bin_that_fits():
     bins = best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]]
+
+
+def test_a_large_batch_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = pa.array(["some words of a text " * 100] * 2000)
+    run = packing._cut_and_pack(PATH, 2048)
+    list(run(iter([pa.record_batch([pa.array([0]), texts[:1]], names=["doc_id", "text"])])))  # the tokenizer stays
+    tracemalloc.start()
+    try:
+        out = list(run(iter([pa.record_batch([pa.array(range(2000)), texts], names=["doc_id", "text"])])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 2000
+    assert most < 50_000_000
+
+
+def test_words_that_are_learned_again_keep_their_ids():
+    ids = words.WordIds(lambda w: [ord(c) for c in w] * 30, kept=3000)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 2500)) for k in (0, 1000, 0, 4000)]
+    for text in texts:
+        points, bounds = words.code_points(text), words.bounds_of([text])
+        begin = np.flatnonzero(words.words_with_spaces(points, bounds))
+        (got,) = ids.texts(text, points, bounds, begin, np.append(begin[1:], len(points)))
+        assert got.tolist() == [ord(c) for s, e in zip(begin, [*begin[1:], len(text)], strict=True) for c in text[s:e] * 30]
