@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.layers import merged_layers
 from leafmill.functions.variants import entries, items
 from leafmill.operators.ranking import last_per_key, running_number, top_k
 from leafmill.session import materialise
@@ -76,8 +77,8 @@ KEYED_LISTS = ("workflows",)
 
 
 @dataclass(frozen=True)
-class Merged:
-    """Definitions merged over their layers. ``roots`` has the keys of every definition, ``levels[d]`` one row for each path
+class _Levels:
+    """Definitions taken apart. ``roots`` has the keys of every definition, ``levels[d]`` one row for each path
     of d + 1 steps: ``(*keys, path, kind, value, pos, at, bare)`` with the value of a leaf, layer and place of the last row, and whether
     an object or list may have nothing in it; ``hollow`` says that there are such ones.
 
@@ -110,8 +111,11 @@ class Merged:
         built, of_list = None, F.element_at("path", -1).startswith("[")
         for level in reversed(self.levels):
             rows = level.where("kind = 'leaf'").select(*self.keys, "path", "value", "at", "pos")
-            if built is not None:
-                open_ = level.where("kind <> 'leaf'").join(built, [*self.keys, "path"], "left")
+            open_ = level.where("kind <> 'leaf'")
+            if built is not None or self.hollow:
+                # below the deepest level there is nothing
+                nothing = F.lit(None).cast(_MEMBERS.format(at=level.schema["at"].dataType.simpleString()))
+                open_ = open_.withColumn("members", nothing) if built is None else open_.join(built, [*self.keys, "path"], "left")
                 made = F.when(F.col("kind") == "object", _object_of(F.col("members"))).otherwise(_list_of(F.col("members"), F.col("at")))
                 rows = rows.unionByName(open_.select(*self.keys, "path", made.alias("value"), "at", "pos"))
             # only the order of a list asks for the layer
@@ -120,6 +124,44 @@ class Merged:
         return self.roots.join(built.drop("path"), self.keys, "left").select(*self.keys, _object_of(F.col("members")).alias("definition"))
 
 
+@dataclass(frozen=True)
+class Merged:
+    """Definitions merged over their layers, ``keys`` name them.
+
+    ``parts`` are the files, those of one definition in one task but in the last part, if it is of definitions with very many files.
+    """
+
+    keys: list[str]
+    order: list[str]
+    payload: str
+    keyed_lists: tuple[str, ...]
+    parts: list[DataFrame]
+
+    def leaves(self) -> DataFrame:
+        """``(*keys, path, value JSON)`` of the leaves and of objects and lists with nothing in them."""
+        return self._levels(self.parts).leaves()
+
+    def definitions(self) -> DataFrame:
+        """``(*keys, definition VARIANT)``.
+
+        Keyed lists are in the order of ``merged_list_order``: items without a name of earlier layers, the list of the last layer, the
+        named items that no later layer repeats, newest layer first. The files of a definition are merged one after the other by the
+        task that has them; those of definitions with very many files are taken apart and put together again.
+        """
+        few = self.parts[0].sortWithinPartitions(*self.keys, *self.order)
+        fields = few.schema
+        schema = ", ".join([*(f"`{k}` {fields[k].dataType.simpleString()}" for k in self.keys), "definition variant"])
+        found = materialise(few.mapInArrow(merged_layers(self.keys, self.order, self.payload, self.keyed_lists), schema), "merged")
+        return found.unionByName(self._levels(self.parts[1:]).definitions()) if self.parts[1:] else found
+
+    def _levels(self, parts: list[DataFrame]) -> _Levels:
+        return _opened_levels(parts, self.keys, self.order, self.payload, self.keyed_lists)
+
+
+#: Members of an object or list, as ``definitions`` gathers them.
+_MEMBERS = "array<struct<step: string, value: variant, at: {at}, pos: int>>"
+
+
 def _parent() -> Column:
     return F.slice("path", F.lit(1), F.size("path") - 1)
 
@@ -155,23 +197,31 @@ def deep_merge(definitions: DataFrame, keys: list[str], order: list[str], payloa
     """Merge the layers of definitions: objects and keyed lists (by the ``name`` of their items) merge, everything else is replaced.
 
     ``definitions`` has the keys, the columns of ``order`` that sort the layers, and a VARIANT. The files of a definition move to one task
-    once, where all their paths are opened, ``STEPS`` levels in a pass, and reduced to one row for each path, which says what the last
-    file has there. The files of a definition with more than ``MANY`` of them are spread and reduced in two steps. A row stays if it is
-    of a later layer than the last row of another kind at any path above; that is passed down level by level. All steps are aggregates and joins on (keys,
-    path), so the work grows with the size of the definitions, and neither a deep definition nor one with very many layers is gathered in one task.
+    once; those of a definition with more than ``MANY`` of them are spread and reduced in two steps.
     """
     spark, at = definitions.sparkSession, F.struct(*order)
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
-    whole = definitions.where(F.schema_of_variant(payload).startswith("OBJECT")).select(
-        *keys, at.alias("at"), F.array().cast("array<string>").alias("path"), F.lit("object").alias("kind"), F.col(payload).alias("value"),
-        F.lit(0).alias("pos"), F.lit(False).alias("bare"))
+    rows = definitions.select(*dict.fromkeys([*keys, *order, payload]))
     counts = definitions.groupBy(*keys).agg(F.count("*").alias("_n"))
     files, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     tasks = max(spark.sparkContext.defaultParallelism, files // SHARE + 1)
-    parts = [whole.repartition(tasks, *keys)]
+    parts = [rows.repartition(tasks, *keys)]
     if most > MANY:
         many = materialise(counts.where(F.col("_n") > MANY).select(*keys), "many-layers")
-        parts = [whole.join(many, keys, "left_anti").repartition(tasks, *keys), whole.join(many, keys, "left_semi").repartition(tasks, *keys, "at")]
+        parts = [rows.join(many, keys, "left_anti").repartition(tasks, *keys), rows.join(many, keys, "left_semi").repartition(tasks, *keys, at)]
+    return Merged(keys, order, payload, keyed_lists, parts)
+
+
+def _opened_levels(parts: list[DataFrame], keys: list[str], order: list[str], payload: str, keyed_lists: tuple[str, ...]) -> _Levels:
+    """All paths of the files are opened, ``STEPS`` levels in a pass, and reduced to one row for each path, which says what the last
+    file has there. A row stays if it is of a later layer than the last row of another kind at any path above; that is passed down
+    level by level. All steps are aggregates and joins on (keys, path), so the work grows with the size of the definitions, and
+    neither a deep definition nor one with very many layers is gathered in one task.
+    """
+    at = F.struct(*order)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    parts = [part.where(F.schema_of_variant(payload).startswith("OBJECT")).select(
+        *keys, at.alias("at"), F.array().cast("array<string>").alias("path"), F.lit("object").alias("kind"), F.col(payload).alias("value"),
+        F.lit(0).alias("pos"), F.lit(False).alias("bare")) for part in parts]
 
     def opened(rows: DataFrame, depth: int) -> DataFrame:
         """The rows, and in place of each object or list of ``depth`` steps a row without value and one for each of its members."""
@@ -228,7 +278,7 @@ def deep_merge(definitions: DataFrame, keys: list[str], order: list[str], payloa
         if seen.get["open"] == 0:
             break
         parts = [materialise(n.where(ends), "merged-open") for n in nodes]
-    return Merged(keys, roots, _alive(found, keys) if cuts else [level.drop("cut") for level in found], hollow)
+    return _Levels(keys, roots, _alive(found, keys) if cuts else [level.drop("cut") for level in found], hollow)
 
 
 def _alive(levels: list[DataFrame], keys: list[str]) -> list[DataFrame]:
