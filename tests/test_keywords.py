@@ -52,6 +52,15 @@ def test_terms_do_not_move_to_meet_their_frequencies(spark):
     assert "hashpartitioning(term" not in plan and "term-counts" not in plan
 
 
+@pytest.mark.parametrize("best", [1, 3, 10])
+def test_best_terms_of_equal_scores(spark, best):
+    rows = corpus(best, 120)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    whole, part = kw.score_candidates(docs, "id", "text"), kw.score_candidates(docs, "id", "text", best=best)
+    assert part.count() < whole.count()
+    assert by_text(map(tuple, kw.top_keywords(part, "id", best).collect())) == by_text(map(tuple, kw.top_keywords(whole, "id", best).collect()))
+
+
 @pytest.mark.parametrize("top_n, diversity, high", [(3, 0.7, 2), (2, 0.2, 2), (4, 0.9, 1), (3, 0.5, 3), (3, 1.0, 2)])
 def test_mmr_of_the_terms_it_may_choose(spark, top_n, diversity, high):
     rng = random.Random(top_n)
