@@ -96,6 +96,14 @@ def test_mmr_against_python(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_maxsum_takes_no_call_for_each_key(spark):
+    rows = [(k, f"t{i}", 1.0 / (i + 1)) for k in range(5) for i in range(k + 1)]
+    scored = spark.createDataFrame(rows, "id long, term string, score double")
+    chosen = kw.maxsum_keywords(scored, "id", 3, 4)
+    assert sorted(map(tuple, chosen.collect())) == sorted((k, f"t{i}", 1.0 / (i + 1), i + 1) for k in range(5) for i in range(min(3, k + 1)))
+    assert "FlatMapGroupsInPandas" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_to_score(spark):
     for rows in ([], [(1, None), (2, "a")]):
         docs = spark.createDataFrame(rows, "id long, text string")
